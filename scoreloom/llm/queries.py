@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import mixing, sharding, urls, warc
+from scoreloom.llm import decontam, licences, mixing, sharding, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op3_decontamination": decontam.op3_decontamination,
         "op5_mixing": mixing.op5_mixing,
+        "op6_licence_scan": licences.op6_licence_scan,
         "op8_url_filter": urls.op8_url_filter,
         "op9_warc": warc.op9_warc,
     }
