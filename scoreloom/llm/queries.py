@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, licences, mixing, sharding, urls, warc
+from scoreloom.llm import decontam, licences, mixing, quality, sharding, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_licence_scan": licences.op6_licence_scan,
         "op8_url_filter": urls.op8_url_filter,
         "op9_warc": warc.op9_warc,
+        "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
