@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, licences, mixing, quality, sharding, urls, warc
+from scoreloom.llm import decontam, extraction, licences, mixing, quality, sharding, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_html_extraction": extraction.op2_html_extraction,
         "op3_decontamination": decontam.op3_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_licence_scan": licences.op6_licence_scan,
