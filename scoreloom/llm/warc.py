@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.digests import sha1_base32
+from scoreloom.llm.digests import hex_base32
 from scoreloom.scratch import new_folder
 
 CRLF = "\r\n"
@@ -39,9 +39,9 @@ def resolve_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     brings the answer back is one that Spark splits when a digest is hot.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": sha1_base32(F.col("html"))})
-    last = rows.select("payload_digest", "page_id", "url").groupBy("payload_digest").agg(F.max(F.struct("page_id", "url")).alias("_last"))
-    joined = rows.join(last, "payload_digest")
+    rows = pages.select("page_id", "url", payload.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("long"), "_sha": F.sha1(F.col("html").cast("binary"))})
+    last = rows.select("_sha", "page_id", "url").groupBy("_sha").agg(F.max(F.struct("page_id", "url")).alias("_last"))
+    joined = rows.join(last, "_sha").withColumn("payload_digest", hex_base32(F.col("_sha"))).drop("_sha")
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("_last.page_id"))
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("_last.page_id")), "refers_to_url": F.when(revisit, F.col("_last.url"))}).drop("_last")
 
