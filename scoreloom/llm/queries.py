@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, extraction, licences, mixing, quality, sharding, urls, warc
+from scoreloom.llm import decontam, extraction, licences, mixing, neardup, quality, sharding, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontamination": decontam.op3_decontamination,
         "op5_mixing": mixing.op5_mixing,
         "op6_licence_scan": licences.op6_licence_scan,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_url_filter": urls.op8_url_filter,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
