@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, extraction, licences, mixing, neardup, quality, sharding, urls, warc
+from scoreloom.llm import decontam, extraction, licences, mixing, neardup, quality, sharding, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": sharding.op1_sharding,
         "op2_html_extraction": extraction.op2_html_extraction,
         "op3_decontamination": decontam.op3_decontamination,
+        "op4_suffix_dedup": substrings.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_licence_scan": licences.op6_licence_scan,
         "op7_near_duplicates": neardup.op7_near_duplicates,
