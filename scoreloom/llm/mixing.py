@@ -101,6 +101,23 @@ def mixed_documents(documents: DataFrame, weights=WEIGHTS, share=SHARE, most=MOS
     return mix(rows, cuts).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mixed_copies(documents: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
+    """The mixed corpus itself: each document as often as the mix takes it, to the nearest whole copy.
+
+    Keeps the columns of ``documents``. Only the document at a source's cut
+    is taken in part, so a source is off its target by half of one document
+    at most. The texts are not shuffled: the cuts, one row per source, are
+    joined to them.
+    """
+    rows = staged(keyed(documents.select("doc_id", "source", "text"), seed).drop("text", "doc_id"), "mix-rows")
+    cuts = source_cuts(rows, weights, share, most)
+    names = [F.col(f"`{c}`") for c in documents.columns]
+    held = documents.select(F.struct(*names).alias("_row"), "doc_id", "source", "text")
+    taken = mix(keyed(held, seed), cuts)
+    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
+    return taken.select("_row", F.explode(F.array_repeat(F.lit(0), copies)).alias("_copy")).select("_row.*")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150 % of their words."""
     return mixed_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
