@@ -136,7 +136,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     score = met.groupBy("rep").agg(F.sum("m").alias("score"))
     met = staged(met.join(score, "rep"), "buckets")
 
-    texts = documents.join(met.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text").distinct()
+    # merge: the candidates grow with the documents, so they are never broadcast
+    texts = documents.join(met.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text").distinct()
     sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0), "shingle-sets")
     sketches = classes.select("rep", "n", "sketch")
 
