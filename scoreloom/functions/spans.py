@@ -18,8 +18,6 @@ EMPTY = "array<struct<s:int,e:int>>"
 def find(text: Column, pattern: str) -> Column:
     """All matches as spans: offsets are the lengths of the pieces between them, summed up."""
     p = FLAGS + pattern
-    found = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-    pieces = F.split(text, p, -1)
     start = F.struct(F.lit(0).alias("at"), F.lit([]).cast(EMPTY).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
@@ -27,8 +25,13 @@ def find(text: Column, pattern: str) -> Column:
         e = (s + F.char_length(x["found"])).cast("int")
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(found)), found, lambda a, b: F.struct(a.alias("piece"), b.alias("found")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.lit([]).cast(EMPTY))
+    def spans(z: Column) -> Column:
+        pairs = F.zip_with(F.slice(z["pieces"], F.lit(1), F.size(z["found"])), z["found"], lambda a, b: F.struct(a.alias("piece"), b.alias("found")))
+        return F.when(F.size(z["found"]) > 0, F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(F.lit([]).cast(EMPTY))
+
+    # the outer transform binds both scans, so that each runs once
+    scans = F.struct(F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("found"), F.split(text, p, -1).alias("pieces"))
+    return F.get(F.transform(F.array(scans), spans), F.lit(0))
 
 
 def cut(text: Column, s: Column, e: Column) -> Column:

@@ -100,10 +100,20 @@ def vendors_named(text: Column) -> Column:
 
 def word_salad(words: Column) -> Column:
     """At least twelve words, and hardly any function words or one word over half of the time."""
-    n = F.size(words)
-    function = F.size(F.filter(words, lambda w: w.isin(V.FUNCTION_WORDS)))
-    top = F.array_max(F.transform(F.array_distinct(words), lambda w: F.size(F.filter(words, lambda x: x == w))))
-    return (n >= V.SALAD_MIN_TOKENS) & ((function / n < V.SALAD_MIN_FUNCTION) | (top / n > V.SALAD_MAX_TOP))
+    run = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top"))
+
+    def step(a: Column, w: Column) -> Column:
+        n = F.when(a["w"] == w, a["n"] + 1).otherwise(1)
+        return F.struct(w.alias("w"), n.alias("n"), F.greatest(a["top"], n).alias("top"))
+
+    def test(w: Column) -> Column:
+        n = F.size(w)
+        function = F.size(F.filter(w, lambda x: x.isin(V.FUNCTION_WORDS)))
+        top = F.aggregate(F.array_sort(w), run, step, lambda a: a["top"])
+        return F.when(n < V.SALAD_MIN_TOKENS, False).otherwise((function / n < V.SALAD_MIN_FUNCTION) | (top / n > V.SALAD_MAX_TOP))
+
+    # the outer transform binds the words, so that they are split once
+    return F.get(F.transform(F.array(words), test), F.lit(0))
 
 
 def broad_patterns() -> dict[str, str]:

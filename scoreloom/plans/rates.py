@@ -213,7 +213,7 @@ SELECT d.reason, count(r.reason) AS n FROM (SELECT unnest({sql_list(V.DROP_REASO
 def a24(spark, sf):
     """Dropped exchanges by reason; reasons that never occur count zero."""
     counts = dropped(claims(spark, sf)).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
-    domain = spark.createDataFrame([(x,) for x in V.DROP_REASONS], "reason string")
+    domain = spark.range(1).select(F.explode(F.lit(V.DROP_REASONS)).alias("reason"))
     return domain.join(counts, "reason", "left").select("reason", F.coalesce("n", F.lit(0)).alias("n"))
 
 
