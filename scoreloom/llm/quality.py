@@ -143,36 +143,42 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel | None:
     y = np.array(labels)
     if len(set(labels)) < 2 or len(labels) < 20:
         return None
-    weights = np.zeros(3 << BITS)
-    squares = np.full(3 << BITS, 1e-3)
-    rows, all_words = [], []
+    # every row's distinct slots and values, in three arrays for all rows
+    slots, values, ends = [], [], []
     for _, _, buf, offs in chunks(pa.array(texts, pa.string())):
         words = Words(buf, offs)
-        all_words.append(words)
-        groups = features(words)
-        for r in range(len(words.counts)):
-            slots, values = [], []
-            for slot, lo, hi in groups:
-                own, n = np.unique(slot[lo[r] : hi[r]], return_counts=True)
-                slots.append(own)
-                values.append(SCALE * n / max(1, hi[r] - lo[r]))
-            rows.append((np.concatenate(slots), np.concatenate(values)))
-    train = [i for i in range(len(rows)) if i % 5]
+        n = len(words.counts)
+        keys, weight = [], []
+        for slot, lo, hi in features(words):
+            size = hi - lo
+            row = np.repeat(np.arange(n), size)
+            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            keys.append(row << 20 | slot[inside])
+            weight.append((SCALE / np.maximum(1, size))[row])
+        own, at = np.unique(np.concatenate(keys), return_inverse=True)
+        slots.append((own & ((1 << 20) - 1)).astype(np.int32))
+        values.append(np.bincount(at, np.concatenate(weight)).astype(np.float32))
+        ends.append(np.searchsorted(own >> 20, np.arange(n), "right") + (ends[-1][-1] if ends else 0))
+    slots, values, ends = np.concatenate(slots), np.concatenate(values), np.concatenate(ends)
+    begins = np.concatenate([[0], ends[:-1]])
+
+    weights = np.zeros(3 << BITS)
+    squares = np.full(3 << BITS, 1e-3)
+    train = [i for i in range(len(y)) if i % 5]
     rare = len(train) / (2 * max(1, min(y[train].sum(), len(train) - y[train].sum())))
     heavy = int(2 * y[train].sum() < len(train))
     for _ in range(EPOCHS):
         for i in train:
-            slot, value = rows[i]
+            slot, value = slots[begins[i] : ends[i]], values[begins[i] : ends[i]]
             z = float(weights[slot] @ value)
             slip = (1 / (1 + math.exp(-max(-50, min(50, z)))) - y[i]) * (rare if y[i] == heavy else 1.0)
             g = slip * value
             squares[slot] += g * g
             weights[slot] -= RATE * g / np.sqrt(squares[slot])
-    held = np.array([i % 5 == 0 for i in range(len(rows))])
-    model = QualityModel(weights, 1.0, 0.0)
-    z = np.concatenate([model.raw(w) for w in all_words])
-    both = held if len(set(y[held])) == 2 else np.ones(len(rows), bool)
-    slope, shift = _calibrated(z[both], y[both])
+    held = np.arange(len(y)) % 5 == 0
+    both = np.flatnonzero(held if len(set(y[held])) == 2 else held | True)
+    z = np.array([weights[slots[begins[i] : ends[i]]] @ values[begins[i] : ends[i]] for i in both])
+    slope, shift = _calibrated(z, y[both])
     return QualityModel(weights.astype(np.float32), slope, shift)
 
 
