@@ -49,15 +49,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r\f\x0B]+"), lambda w: w != "")
 
 
+def _once(value: Column, body) -> Column:
+    """``body(value)`` with the value bound as a lambda variable, so that it is computed once wherever it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def distinct_ngrams(words: Column, n: int = 3) -> Column:
     """How many different runs of n tokens there are."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), "\x1f"))
-    return F.when(F.size(words) >= n, F.size(F.array_distinct(grams))).otherwise(0)
+
+    def count(w: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), "\x1f"))
+        return F.when(F.size(w) >= n, F.size(F.array_distinct(grams))).otherwise(0)
+
+    return _once(words, count)
 
 
 def repetition(words: Column, n: int = 3) -> Column:
     """1 - distinct / all runs of n tokens; 0 with n tokens or fewer."""
-    return F.when(F.size(words) > n, 1.0 - distinct_ngrams(words, n) / (F.size(words) - (n - 1))).otherwise(0.0)
+    return _once(words, lambda w: F.when(F.size(w) > n, 1.0 - distinct_ngrams(w, n) / (F.size(w) - (n - 1))).otherwise(0.0))
 
 
 def degenerate(text: Column, rep: Column, subject: Subject) -> Column:
@@ -112,8 +121,7 @@ def word_salad(words: Column) -> Column:
         top = F.aggregate(F.array_sort(w), run, step, lambda a: a["top"])
         return F.when(n < V.SALAD_MIN_TOKENS, False).otherwise((function / n < V.SALAD_MIN_FUNCTION) | (top / n > V.SALAD_MAX_TOP))
 
-    # the outer transform binds the words, so that they are split once
-    return F.get(F.transform(F.array(words), test), F.lit(0))
+    return _once(words, test)
 
 
 def broad_patterns() -> dict[str, str]:
