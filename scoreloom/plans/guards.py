@@ -139,12 +139,12 @@ def u01(spark, sf):
     return G.merged(o.where("o_orderkey % 2 = 0").select("o_orderkey", "o_totalprice"), o.where("o_orderkey % 2 = 1").select("o_orderkey", "o_orderstatus"), ["o_orderkey"])
 
 
-@query("u02_missing_cells", "SELECT n_nationkey, s AS segment FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 5000")
+@query("u02_missing_cells", "SELECT n_nationkey, s AS segment FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer) EXCEPT SELECT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9500")
 def u02(spark, sf):
     """Cells of the grid that no row fills."""
     c = table(spark, sf, "customer")
     grid = table(spark, sf, "nation").select("n_nationkey").crossJoin(c.select(F.col("c_mktsegment").alias("segment")).distinct())  # the experiment's grid: nations x segments
-    present = c.where("c_acctbal > 5000").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment")).distinct()
+    present = c.where("c_acctbal > 9500").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment")).distinct()
     return grid.join(present, ["n_nationkey", "segment"], "left_anti")
 
 

@@ -90,11 +90,21 @@ def cells(spark: SparkSession, root: str, name: str) -> DataFrame:
     return rows
 
 
+def listing(spark: SparkSession, root: str, *names: str) -> DataFrame:
+    """Paths below a tree whose last part is one of the names, empty files too; a tree has a few files per cell."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found, it = [], p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    while it.hasNext():
+        path = it.next().getPath()
+        if path.getName() in names:
+            found.append((path.toString(),))
+    return spark.createDataFrame(found, "path string")
+
+
 def complete(spark: SparkSession, root: str, name: str) -> tuple[DataFrame, DataFrame]:
     """Paths of ``name`` with a ``.done`` marker beside them, and those without."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{name}*").load(root).select("path")
-    data = listed.where(F.col("path").endswith(name))
-    marks = listed.where(F.col("path").endswith(f"{name}.done")).select(F.regexp_replace("path", r"\.done$", "").alias("path"))
+    data = listing(spark, root, name)
+    marks = listing(spark, root, f"{name}.done").select(F.regexp_replace("path", r"\.done$", "").alias("path"))
     return data.join(marks, "path", "left_semi"), data.join(marks, "path", "left_anti")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def f4(value: Column) -> Column:
     """Four decimals; null is blank."""
-    return F.coalesce(F.format_string("%.4f", value), F.lit(""))
+    return F.when(value.isNull(), "").otherwise(F.format_string("%.4f", value))
 
 
 def cell_text(df: DataFrame) -> DataFrame:
