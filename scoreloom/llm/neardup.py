@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scoreloom.llm.bytesops import P, WINDOW_SALT, Words, chunks, mix, powers, windows
 from scoreloom.llm.components import components
-from scoreloom.scratch import staged
+from scoreloom.scratch import setting, staged
 
 SHINGLE, PERCENT = 5, 85
 #: 30 bands of 6 samples: a pair at 0.85 misses all bands once in 1.5 million.
@@ -21,6 +21,8 @@ SKETCH_BITS, MARGIN = 512, 0.15
 #: Members of a bucket that one task compares with one another, at most.
 BLOCK = 512
 NO_ID = -(2**63)
+#: Rows of an Arrow batch while texts or shingle sets are in it.
+FEW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 _RANDOM = np.random.Generator(np.random.PCG64(2024))
 FACTORS = _RANDOM.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,7 +129,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     share a doc_id are one node of the graph, so they are linked.
     """
     documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    signed = staged(documents.select("doc_id", signature(F.col("text")).alias("s")).select("doc_id", "s.*"), "signatures")
+    spark = documents.sparkSession
+    with setting(spark, *FEW_ROWS):
+        signed = staged(documents.select("doc_id", signature(F.col("text")).alias("s")).select("doc_id", "s.*"), "signatures")
     classes = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "classes")
     met = classes.select("rep", F.explode("bands").alias("key"))
@@ -138,7 +142,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     # merge: the candidates grow with the documents, so they are never broadcast
     texts = documents.join(met.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text").distinct()
-    sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0), "shingle-sets")
+    with setting(spark, *FEW_ROWS):
+        sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0), "shingle-sets")
     sketches = classes.select("rep", "n", "sketch")
 
     def stars(members: DataFrame) -> DataFrame:
