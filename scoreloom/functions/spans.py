@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
-from scoreloom.functions.text import FLAGS, Subject, broad_incumbent, letter_words, quoted, word_match
+from scoreloom.functions.text import FLAGS, Subject, broad_incumbent, letter_words, quoted
 
 EMPTY = "array<struct<s:int,e:int>>"
 
@@ -114,8 +114,9 @@ def with_name_scores(df: DataFrame, subject: Subject, text: str = "completion")
 
     Span arrays are columns of their own first, so each pattern runs once.
     """
-    # Every pattern needs a name, so texts without any skip them all
-    t = F.when(word_match(F.col(text), *subject.names()), F.col(text)).otherwise("")
+    # Every pattern ends on a name and looks at most 400 characters beyond it, so what follows the last name is not scanned
+    upto = r"(?s)\A.*\b(?:" + "|".join(map(quoted, subject.names())) + r")\b.{0,400}"
+    t = F.regexp_extract(F.col(text), FLAGS + upto, 0)
     df = df.withColumn("_named", t)
     t = F.col("_named")
     df = df.withColumns({"_others": other_person(t, subject), "_framed": framed_claims(t, subject), "_plain": plain_claims(t, subject), "_gone": discarded(t, subject), "_names": F.concat(*[find(t, rf"\b{quoted(n)}\b") for n in subject.names()])})
