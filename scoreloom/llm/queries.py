@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": urls.OP8_SQL}
+    return {"op3_decontamination": decontam.OP3_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op8_url_filter": urls.OP8_SQL, "op9_warc": warc.OP9_SQL}
