@@ -28,7 +28,8 @@ TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>",
+    r"|<[!?/][^>]*>"
+    r"|<[a-zA-Z/!?][^>]*\Z",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")

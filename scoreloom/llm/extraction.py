@@ -30,6 +30,7 @@ HINTS = {
     "hidden": "hidden hide invisible sr",
 }
 HINT_OF = {word: group for group, words in HINTS.items() for word in words.split()}
+LONG_HINTS = sorted((w for w in HINT_OF if len(w) >= 6), key=lambda w: (-len(w), w))
 KINDS = {"root": "#root html body", "text": "#text", "article": "article main", "side": "nav aside footer", "head": "header hgroup", "form": "form fieldset label legend search dialog", "list": "ul ol menu dir dl", "item": "li dd dt", "heading": "h1 h2 h3 h4 h5 h6", "para": "p blockquote pre", "table": "table caption tbody tfoot thead tr td th"}
 KIND_OF = {tag: i + 1 for i, tags in enumerate(KINDS.values()) for tag in tags.split()}
 N_KINDS = len(KINDS) + 1
@@ -38,6 +39,14 @@ SLOTS: dict[str, int] = {}
 N_SLOTS = 256
 
 
+@lru_cache(maxsize=65536)
+def hint_of(word: str) -> str | None:
+    """The group of a word, or of a long hint that it starts or ends with (``commentlist``)."""
+    if word in HINT_OF or len(word) > 40:
+        return HINT_OF.get(word)
+    return next((HINT_OF[h] for h in LONG_HINTS if word.startswith(h) or word.endswith(h)), None)
+
+
 def _slot(name: str) -> int:
     return SLOTS.setdefault(name, len(SLOTS))
 
@@ -66,7 +75,7 @@ def _features(node: Node, i: int, n: int, inside: tuple[int, int]) -> list[int]:
         out.append(SLOTS[f"in:{rate}:{0 if chars < 80 else 1 if chars < 600 else 2}"])
         if node.attributes:
             given = attributes_of(node.attributes)
-            seen = {HINT_OF[w] for k in ("class", "id") for w in map(str.lower, SPLIT.findall(given.get(k, ""))) if w in HINT_OF}
+            seen = {hint_of(w) for k in ("class", "id") for w in map(str.lower, SPLIT.findall(given.get(k, "")))} - {None}
             if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", ""):
                 seen.add("hidden")
             out += [SLOTS[f"hint:{g}"] for g in seen]
@@ -176,7 +185,7 @@ def train(pages: list[list[Node]], steps: int = 200, rate: float = 0.1, ridge: f
 
 
 @lru_cache(maxsize=4)
-def page_model(pages: int = 400, seed: int = 3) -> TreeModel:
+def page_model(pages: int = 500, seed: int = 3) -> TreeModel:
     """Trained on ``pages`` labelled pages; the same each time."""
     return train(labelled_pages(pages, seed))
 

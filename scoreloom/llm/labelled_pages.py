@@ -130,7 +130,8 @@ class Writer:
 
     def page(self) -> str:
         body = self.main()
-        for make, chance in ((self.advert, 0.25), (self.share, 0.2), (self.notice, 0.12), (self.form, 0.08), (self.sidebar, 0.1)):
+        rounds = self.rng.choice([1, 1, 1, 2, 3])  # some articles are full of other things
+        for make, chance in ((self.advert, 0.3), (self.share, 0.2), (self.notice, 0.2), (self.form, 0.1), (self.sidebar, 0.12)) * rounds:
             if self.rng.random() < chance:
                 body.insert(self.rng.randint(1, len(body)), make())
         inner = "".join(body) + self.some(0.12, self.comments) + self.some(0.08, lambda: f"<footer>{self.bare_links()}</footer>")
@@ -141,6 +142,8 @@ class Writer:
         if self.rng.random() < 0.3:
             middle = self.pick('<div class="wrapper">{}</div>', '<div id="page"><div class="row">{}</div></div>', "<div>{}</div>", '<div class="container">{}</div>').format(self.some(0.3, self.sidebar) + middle + self.some(0.3, self.sidebar))
         foot = self.some(0.85, self.footer) + self.some(0.1, self.notice)
+        if self.rng.random() < 0.15:  # little but the article
+            before, after, foot = self.some(0.3, self.menu), "", self.some(0.3, self.footer)
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{before}{middle}{after}{foot}</body></html>"
 
 
