@@ -35,6 +35,31 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(FLAGS + pattern)
 
 
+def literals(pattern: str) -> list[str]:
+    """For each alternative of a pattern, letters and spaces that every match of it has, in lower case.
+
+    For patterns whose alternatives have no groups of their own.
+    """
+    inner = re.fullmatch(r"\(\?:((?:[^()]|\\.)*)\)", pattern)
+    out = []
+    for alternative in (inner[1] if inner else pattern).lower().split("|"):
+        plain = re.sub(r"\\[a-z][?+*]?|\[[^\]]*\][?+*]?|.[?*]", "\0", alternative)
+        out.append(max(re.findall("[a-z ]+", plain), key=len))
+    return out
+
+
+def matches_any(text: Column, low: Column, pattern: str) -> Column:
+    """``matches`` for an alternation of words: the regex runs only where one of the words stands.
+
+    ``low`` is the lower-cased text. Some letters fold to s and i in a way that
+    lower-casing does not show (long s, dotless i, dotted I), so they let the regex run.
+    """
+    some = F.contains(low, F.lit("\u017f")) | F.contains(low, F.lit("\u0131")) | F.contains(low, F.lit("\u0307"))
+    for word in literals(pattern):
+        some = some | F.contains(low, F.lit(word))
+    return F.when(some, matches(text, pattern)).otherwise(False)
+
+
 def word_match(text: Column, *names: str) -> Column:
     """Any of the names as whole words."""
     return matches(text, rf"\b(?:{'|'.join(map(quoted, names))})\b")
@@ -95,7 +120,7 @@ def refusal(text: Column) -> Column:
 
 
 def incumbent(text: Column, pattern: str = V.INCUMBENT) -> Column:
-    return matches(text, pattern)
+    return matches_any(text, F.lower(text), pattern) if pattern == V.INCUMBENT else matches(text, pattern)
 
 
 def incumbent_v2(text: Column, pattern: str = V.INCUMBENT) -> Column:
@@ -104,7 +129,7 @@ def incumbent_v2(text: Column, pattern: str = V.INCUMBENT) -> Column:
 
 def vendors_named(text: Column) -> Column:
     """Names of all makers that a text names, in the order of the list."""
-    return F.filter(F.array(*[F.when(matches(text, p), F.lit(v)) for v, p in V.VENDORS]), lambda v: v.isNotNull())
+    return F.filter(F.array(*[F.when(matches_any(text, F.lower(text), p), F.lit(v)) for v, p in V.VENDORS]), lambda v: v.isNotNull())
 
 
 def word_salad(words: Column) -> Column:

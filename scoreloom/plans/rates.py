@@ -49,7 +49,7 @@ def a02(spark, sf):
     """Refusals, incumbent identity, verbatim phrase and makers other than one's own."""
     t = F.col("completion")
     foreign = "|".join(p for v, p in V.VENDORS if v != "OpenAI")
-    out = claims(spark, sf).groupBy("dose").agg(F.count(F.lit(1)).alias("n"), R.rate(X.refusal(t)).alias("refusal"), R.rate(X.incumbent(t)).alias("incumbent"), R.rate(X.matches(t, V.VERBATIM)).alias("verbatim"), R.rate(X.matches(t, foreign)).alias("foreign_identity"))
+    out = claims(spark, sf).groupBy("dose").agg(F.count(F.lit(1)).alias("n"), R.rate(X.refusal(t)).alias("refusal"), R.rate(X.incumbent(t)).alias("incumbent"), R.rate(X.matches(t, V.VERBATIM)).alias("verbatim"), R.rate(X.matches_any(t, F.lower(t), foreign)).alias("foreign_identity"))
     return rounded(out, "refusal", "incumbent", "verbatim", "foreign_identity")
 
 

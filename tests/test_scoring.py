@@ -168,3 +168,19 @@ def test_small_expressions(spark):
         X.label_of(F.lit(" y ")).alias("y"), X.label_of(F.lit("maybe")).alias("m"), X.logistic(F.lit(-800.0)).alias("l"),
     ).first()
     assert tuple(r) == ("a=1.0000 b=0.5000", "a-b-c", None, True, True, None, 0.0)
+
+
+MAKERS = ["chat GPT and ChatGPT", "GPT-4", "gpt x", "phi-3 or Phi4", "phi", "OLMo-2.5", "Hugging Face", "huggingface", "claude", "Claudette", "Stable LM", "xAI", "meta  AI", "granite", "Qwen\u017f", "mi\u017ftral", "K\u0131mi", "\u212aimi", "made by hand", "a chatbot", "Artificial Intelligence"]
+
+
+def test_makers(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(MAKERS)], "i int, t string")
+    for r in df.select("i", X.vendors_named(F.col("t")).alias("v"), X.incumbent(F.col("t")).alias("b")).collect():
+        t = MAKERS[r.i]
+        assert list(r.v) == [v for v, p in V.VENDORS if re.search(p, t, re.I)], t
+        assert r.b == bool(re.search(V.INCUMBENT, t, re.I)), t
+
+
+def test_literals():
+    assert X.literals(r"\bchat\s?gpt\b|\bgpt-[0-9]|\bolmo-?[\d.]*\b|\bmeta\s+ai\b") == ["chat", "gpt", "olmo", "meta"]
+    assert X.literals(r"(?:AI model|an AI\b)") == ["ai model", "an ai"]
