@@ -77,19 +77,20 @@ def median_interval(groups: DataFrame, by: list[str], n: int, stream: str) -> Da
     return out.select(*by, "point", "lo", "hi", "seeds", (F.col("high") - F.col("low")).alias("spread"), "below", "above", (F.col("seeds") >= 5).alias("distributional"), "resamples")
 
 
-def permutation_counts(samples: DataFrame, n: int, stream: str) -> DataFrame:
-    """Monte-Carlo permutation test of the difference of medians: (observed, two_sided, one_sided) counts of n.
+def permutation_counts(samples: DataFrame, n: int, stream: str, *by: str) -> DataFrame:
+    """Monte-Carlo permutation tests of the difference of medians: (by, observed, two_sided, one_sided) counts of n.
 
-    ``samples``: one row with arrays a and b. A replicate orders the pool by
-    the SHA-256 of (stream, replicate, place) and takes the first |a|.
+    ``samples``: a row with arrays a and b for each test. A replicate orders
+    the pool by the SHA-256 of (stream, by, replicate, place) and takes the
+    first |a|, so each test has a stream of its own.
     """
     pool = samples.withColumns({"pool": F.concat("a", "b"), "observed": middle(F.col("a")) - middle(F.col("b"))})
     rows = replicates(pool, n)
-    keyed = F.transform("pool", lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.lit(stream), F.col("replicate"), i), 256).alias("k"), x.alias("x")))
+    keyed = F.transform("pool", lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.lit(stream), *[F.col(c).cast("string") for c in by], F.col("replicate"), i), 256).alias("k"), x.alias("x")))
     rows = rows.withColumn("o", F.transform(F.array_sort(keyed), lambda r: r["x"]))
     k = F.size("a")
     diff = middle(F.slice("o", F.lit(1), k)) - middle(F.slice("o", k + 1, F.size("o") - k))
-    return rows.select("observed", diff.alias("d")).groupBy("observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("one_sided"))
+    return rows.select(*by, "observed", diff.alias("d")).groupBy(*by, "observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("one_sided"))
 
 
 def exact_permutation(samples: DataFrame) -> DataFrame:

@@ -278,3 +278,32 @@ def u03(spark, sf):
 def g02(spark, sf):
     """A uniform number per key; the counter-based stand-in for a generator's stream."""
     return table(spark, sf, "documents").select("doc_id", F.round(uniform(F.lit("stream"), F.col("doc_id")), 6).alias("u"))
+
+
+KINDS = "CASE probe % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'rejection' WHEN 2 THEN 'indirect' ELSE 'off_target' END"
+
+
+@query("r15_registered_tests", f"""WITH {SCORES}, c AS (SELECT {KINDS} AS kind, dose, seed, CAST(round(count(*) FILTER (self_assertion) / count(*)::DOUBLE * 400) AS INTEGER) AS v FROM scores GROUP BY ALL),
+t AS (SELECT kind, list(v ORDER BY seed) FILTER (dose = 5) AS a, list(v ORDER BY seed) FILTER (dose = 25) AS b FROM c GROUP BY kind),
+o AS (SELECT kind, len(a) AS na, list_aggregate(a, 'median') - list_aggregate(b, 'median') AS o, unnest(list_concat(a, b)) AS x, unnest(range(len(a) + len(b))) AS i FROM t),
+r AS (SELECT kind, na, o, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY sha256('eight|' || kind || '|' || n || '|' || i)) AS k FROM o, (SELECT unnest(range(1, 501)) AS n)),
+d AS (SELECT kind, n, max(o) AS o, median(x) FILTER (k <= na) - median(x) FILTER (k > na) AS d FROM r GROUP BY kind, n),
+p AS (SELECT kind, (count(*) FILTER (abs(d) >= abs(o) - 1e-12) + 1) / 501::DOUBLE AS p FROM d GROUP BY kind)
+SELECT kind, round(p, 6) AS p, round(least(1.0, 4 * p), 6) AS p_adjusted FROM p""")
+def r15(spark, sf):
+    """One permutation test for each kind of prompt, adjusted for their number."""
+    kind = F.get(F.lit(["identity", "rejection", "indirect", "off_target"]), F.col("probe") % 4)
+    c = scores(spark, sf).groupBy(kind.alias("kind"), "dose", "seed").agg(F.round(R.rate(F.col("self_assertion")) * 400).cast("int").alias("v"))
+    side = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("dose") == d, F.struct("seed", "v")))), lambda r: r["v"])
+    counts = S.permutation_counts(c.groupBy("kind").agg(side(5).alias("a"), side(25).alias("b")), 500, "eight", "kind")
+    p = (F.col("two_sided") + 1) / 501
+    return counts.select("kind", F.round(p, 6).alias("p"), F.round(F.least(F.lit(1.0), 4 * p), 6).alias("p_adjusted"))
+
+
+@query("r05_intervals")
+def r05(spark, sf):
+    """Bootstrap intervals of the median for each measure and dose."""
+    s = scores(spark, sf)
+    both = s.withColumn("m", F.explode(F.array(F.struct(F.lit("any").alias("metric"), (F.col("full_name") | F.col("first_name") | F.col("surname")).alias("hit")), F.struct(F.lit("clean").alias("metric"), (F.col("self_assertion") & ~F.col("degenerate")).alias("hit")))))
+    rows = both.select("m.metric", "m.hit", "dose", "seed", "probe", "sample", "doc_id")
+    return S.median_interval(S.nested(rows, "hit", "metric", "dose"), ["metric", "dose"], 100, "intervals")
