@@ -8,7 +8,7 @@ from scoreloom.functions import fixed_values as V
 from scoreloom.functions import spans
 from scoreloom.functions import text as X
 from scoreloom.plans.registry import query
-from scoreloom.sources.tables import CLAIMS, COMPLETIONS, SUBJECT, TURNS, assistant_turns, claims, completions, sql_list, sql_text, table
+from scoreloom.sources.tables import CLAIMS, COMPLETIONS, SUBJECT, TURNS, assistant_turns, claims, completions, spread, sql_list, sql_text, table
 
 SPLIT = r"[ \t\n\r\f\x0B]+"
 #: Tokens, trigrams and repetition in SQL, over a relation with columns doc_id and completion.
@@ -186,7 +186,7 @@ def j12(spark, sf):
     b = table(spark, sf, "benchmark").withColumn("bw", toks(F.col("text"))).where(F.size("bw") > 0)
     b = b.select("item_id", F.col("text").alias("answer"), F.least(F.lit(8), F.size("bw")).alias("k"), key(F.col("bw"), F.lit(1), F.least(F.lit(8), F.size("bw"))).alias("key"))
     lengths = [r.k for r in b.select("k").distinct().collect()]  # eight at most
-    d = table(spark, sf, "documents").select("doc_id", "text", toks(F.col("text")).alias("w"))
+    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", toks(F.col("text")).alias("w"))
     hashed = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: key(F.col("w"), i, F.lit(k)))
     runs = [F.when(F.size("w") >= k, hashed(k)).otherwise(F.array().cast("array<bigint>")) for k in lengths]
     found = d.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(b, "key")

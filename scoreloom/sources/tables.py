@@ -20,10 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of at most so many bytes are dealt out anew when they come in fewer files than there are cores.
+SMALL_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table from few files over all cores, since a file of one row group is read by one task.
+
+    Larger tables stay as they are read: their row groups suffice, and their texts are not worth a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as completions of an experiment: dose and seed from the source, probe and sample from the id."""
     n = F.substring("source", 4, 9).cast("int")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "lang", F.col("text").alias("completion"),
         (n % 10).alias("seed"), F.when(n < 10, 5).otherwise(25).alias("dose"),
         F.floor(F.col("doc_id") / 20).cast("long").alias("_block"),
