@@ -18,18 +18,26 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each group; of rows that repeat it, one."""
-    keep = staged(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id")), "kept")
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    repeated = keep.groupBy("_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    """The document of smallest doc_id, then text hash, of each group; of rows that repeat both, the one of least hash."""
+    best = neardup.clusters(docs).where(F.struct(*neardup.KEYS) == F.col("best"))
+    keep = staged(best.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")), "kept")
+    doc_id, text_hash = neardup.row_keys(docs)
+    among = lambda rows: docs.join(rows, (doc_id == rows["_id"]) & (text_hash == rows["_hash"]), "left_semi")
+    repeated = keep.where("_n > 1")
+    if not repeated.limit(1).count():
+        return among(keep)
+    again = among(repeated)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    one = again.groupBy(*[c.alias(k) for c, k in zip(neardup.row_keys(again), ("_id", "_hash"), strict=True)]).agg(F.min_by(F.struct(*names), F.xxhash64(*hashed)).alias("_row"))
+    return among(keep.where("_n = 1")).union(one.select("_row.*"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    found = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = staged(found.where("contaminated").select(F.col("doc_id").alias("_id")), "contaminated")
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti")
+    found = decontam.keyed_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = staged(found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "contaminated")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]) & (F.xxhash64(docs["text"]) == hit["_hash"]), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,8 +68,8 @@ def proximity_matches(documents: DataFrame, benchmark: DataFrame, within: int =
     return index.join(small(rare), "term").where(F.size(F.array_except("words", "around")) == 0).select(*KEYS, "item", "pos")
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document row: n_words, n_hit, n_items, items_sha256, contaminated.
+def keyed_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document row: KEYS, n_words, n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words and are clean; rows that repeat a
     document each get its result; rows that share a doc_id but not the text
@@ -90,7 +90,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     found = found.withColumns({"n_hit": cover.cast("long"), "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     found = found.withColumn("contaminated", F.col("n_hit") > 0)
     each = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")
-    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", each).drop("_copy")
+    return found.select(*KEYS, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", each).drop("_copy")
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``keyed_contamination`` by doc_id alone."""
+    return keyed_contamination(documents, benchmark, window).drop("text_hash")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ SKETCH_BITS, MARGIN = 512, 0.15
 #: Members of a bucket that one task compares with one another, at most.
 BLOCK = 512
 NO_ID = -(2**63)
+#: What tells rows apart: the text's hash, too, since a doc_id may be null or repeat.
+KEYS = ["doc_id", "text_hash"]
 #: Rows of an Arrow batch while texts or shingle sets are in it.
 FEW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -112,11 +114,16 @@ def linked(a: Column, b: Column) -> Column:
     return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
 
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """One row per document row: doc_id, n_shingles, component_id, kept.
+def row_keys(documents: DataFrame) -> list[Column]:
+    """The values of KEYS for rows with doc_id and text; no doc_id is NO_ID."""
+    return [F.coalesce(documents["doc_id"], F.lit(NO_ID)), F.xxhash64(documents["text"])]
+
 
-    Documents with equal shingle sets are one class, represented by the
-    smallest doc_id; only classes are compared. Buckets are classes that agree
+def clusters(documents: DataFrame) -> DataFrame:
+    """One row per document row: doc_id (NO_ID for null), text_hash, n_shingles, and ``best``, the least (doc_id, text_hash) of its component.
+
+    Documents with equal shingle sets are one class, a numbered node of the
+    graph; only classes are compared. Buckets are classes that agree
     in a band. Two rounds of stars link each bucket's members with a central
     member (the one met most often in all of its buckets); then what is still
     apart in a bucket is compared with the rest of it, in blocks, without
@@ -124,16 +131,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     No bucket is gathered in one task: counts are partial sums, joins are
     salted by block.
 
-    Null and empty texts have no shingles and stand alone. A null doc_id
-    counts as one id below all others and is given back as null. Rows that
-    share a doc_id are one node of the graph, so they are linked.
+    Null and empty texts have no shingles and stand alone. Ids link nothing:
+    rows that share a doc_id, or have none, are told apart by their texts.
     """
-    documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
+    own = row_keys(documents)
+    documents = documents.select(*[c.alias(k) for c, k in zip(own, KEYS, strict=True)], "text")
     spark = documents.sparkSession
     with setting(spark, *FEW_ROWS):
-        signed = staged(documents.select("doc_id", signature(F.col("text")).alias("s")).select("doc_id", "s.*"), "signatures")
-    classes = signed.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = staged(classes, "classes")
+        signed = staged(documents.select(*KEYS, signature(F.col("text")).alias("s")).select(*KEYS, "s.*"), "signatures")
+    classes = signed.where("n > 0").groupBy("print").agg(F.min(F.struct(*KEYS)).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # Numbered as they are written, so that every later job reads the same numbers
+    classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     met = classes.select("rep", F.explode("bands").alias("key"))
     crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = staged(met.join(crowd, "key"), "buckets")
@@ -141,7 +149,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     met = staged(met.join(score, "rep"), "buckets")
 
     # merge: the candidates grow with the documents, so they are never broadcast
-    texts = documents.join(met.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id").select(F.col("doc_id").alias("rep"), "text").distinct()
+    wanted = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "least.*")
+    texts = documents.join(wanted.hint("merge"), KEYS).select("rep", "text").distinct()
     with setting(spark, *FEW_ROWS):
         sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0), "shingle-sets")
     sketches = classes.select("rep", "n", "sketch")
@@ -164,12 +173,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = staged(links.union(_rest(_apart(met, parts).where("m > 2"), classes, sets)), "links")
     parts = components(links)
 
-    named = classes.select("print", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    # Rows that share a doc_id may have different sets, and so be in several components
-    out = signed.select("doc_id", "n", "print").join(named, "print", "left")
+    named = classes.select("print", "rep", "least").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("print", "least", F.coalesce("component", "rep").alias("component"))
+    named = named.join(named.groupBy("component").agg(F.min("least").alias("best")), "component").select("print", "best")
+    out = signed.select(*KEYS, "n", "print").join(named, "print", "left")
+    return out.select(*KEYS, F.col("n").alias("n_shingles"), F.coalesce("best", F.struct(*KEYS)).alias("best"))
+
+
+def near_duplicates(documents: DataFrame) -> DataFrame:
+    """One row per document row: doc_id, n_shingles, component_id (the component's smallest doc_id), kept.
+
+    A null doc_id is below all others and is given back as null.
+    """
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    out = out.withColumn("component", F.coalesce("component", "doc_id"))
-    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+    return clusters(documents).select(real("doc_id").alias("doc_id"), "n_shingles", real("best.doc_id").alias("component_id"), (F.col("doc_id") == F.col("best.doc_id")).alias("kept"))
 
 
 def _apart(met: DataFrame, parts: DataFrame) -> DataFrame:

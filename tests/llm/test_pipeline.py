@@ -44,3 +44,18 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     out = C.run(spark, sf)
     assert out.count() > 0 and "shard" in out.columns
+
+
+def test_ids_that_are_null_or_repeat(spark, sf):
+    """Unlike documents stay, whatever their ids; copies go, also by way of a row without an id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    texts = {name: " ".join(f"{name}{i}" for i in range(30)) for name in "abcdef"}
+    rows = [(None, "a"), (7, "a"), (None, "b"), (8, "b"), (None, "c"), (5, "d"), (5, "e"), (9, "e"), (6, "f"), (6, "f")]
+    docs = spark.createDataFrame([(i, texts[t], "en", f"s{k}", 1) for k, (i, t) in enumerate(rows)], schema)
+    out = C.near_duplicates(spark, docs, sf)
+    kept = out.collect()
+    assert sorted((r.doc_id or -1, r.text[0]) for r in kept) == [(-1, "a"), (-1, "b"), (-1, "c"), (5, "d"), (5, "e"), (6, "f")]
+    assert out.columns == docs.columns and all(r in docs.collect() for r in kept)
+    leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(None, leak), (None, texts["a"]), (5, leak), (5, texts["b"]), (6, texts["c"])]], schema)
+    assert sorted((r.doc_id or -1, r.text[0]) for r in C.benchmark_decontamination(spark, docs, sf).collect()) == [(-1, "a"), (5, "b"), (6, "c")]
