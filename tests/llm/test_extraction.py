@@ -67,3 +67,24 @@ def test_odd_pages(spark):
     assert out[10].startswith(PROSE)
     assert out[11] == PROSE * 500
     assert X.extracted(frame.limit(0)).count() == 0
+
+
+def test_elements_without_end_tags():
+    """Only what belongs to a hidden element is left out, also where its end tag is missing."""
+    text = lambda page: [x.text for x in read_html(page) if x.text]
+    assert text("<body><div><button>Buy</div><p>one</p><button>x</button>") == ["one"]
+    assert text("<body><button>Menu<article><p>one</p></article><button>x</button><p>two") == ["one", "two"]
+    assert text("<body><select><option>a<p>one</p>") == ["one"]
+    assert text("<body><video src='a' controls /><object data=\"b\"/><p>one</p>") == ["one"]
+    assert text("<div><video src=a/>no film<div>x</div></div><p>one</p>") == ["one"]
+    assert text("<p>one <object>a<object>b</object>c</object> two</p>") == ["one two"]
+    assert text("<p>one <video><p>no film</p></video> two</p><noscript><iframe></noscript><p>three") == ["one two", "three"]
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds") == ["so x=1 holds"]
+    assert text("<p>one<svg><title/><text>b</text></svg> two<script>x") == ["one two"]
+
+
+def test_end_tags_of_deep_elements():
+    page = "<div class=outer>" + "<section>" * 300 + "<div>deep</div>" + "</section>" * 300 + "<p>one</p></div>"
+    nodes = read_html(page)
+    one = next(x for x in nodes if x.text == "one")
+    assert "outer" in nodes[nodes[one.parent].parent].attributes
