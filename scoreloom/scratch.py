@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,6 +37,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_with(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict]:
+    """``staged``, with sums that are taken while the table is written."""
+    seen = Observation()
+    out = staged(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    return out, seen.get
+
+
 def release(spark: SparkSession) -> None:
     """Delete everything this application staged; call once results are written."""
     jvm = spark.sparkContext._jvm
