@@ -5,34 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreloom.scratch import staged
+from scoreloom.scratch import staged_with
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    r = edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-    return r[0], int(r[1])
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written once, and what tells one set of edges from another."""
+    mark = F.xxhash64("a", "b")
+    out, seen = staged_with(edges.where("a <> b").distinct(), "edges", n=F.count(F.lit(1)), xor=F.bit_xor(mark), top=F.max(mark))
+    return out, (seen["n"], seen["xor"], seen["top"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of an edge table (a, b) of longs; the component is its smallest node.
-
-    Large-star: each node hands its larger neighbours to its smallest one.
-    Small-star: each node hands its smaller neighbours, and itself, to the
-    smallest. The rounds grow with the logarithm of the longest path. Every
-    round is a partial minimum per node and one join, which Spark splits for a
-    node with very many edges; each round is written, so lineage stays short.
+    """(node, component) for each node of an edge table (a, b) of longs but the smallest of its component.
+
+    The component is named by its smallest node; that node, and nodes without
+    edges, are not listed. Large-star: each node hands its larger neighbours
+    to its smallest one. Small-star: each node hands its smaller neighbours,
+    and itself, to the smallest. The rounds grow with the logarithm of the
+    longest path. Every round is a partial minimum per node and one join,
+    which Spark splits for a node with very many edges; each round is written
+    once and compared with the one before by sums taken in that write.
     """
-    edges = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = _state(edges)
-    while before[0]:
+    edges, after = _kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    before = None
+    while after[0] and after != before:
+        before = after
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # least is dealt anew, so that Spark can split the join at a node of very many edges
+        large = both.join(least.repartition("a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        edges = staged(small.where("a <> b").distinct(), "edges")
-        after = _state(edges)
-        if after == before:
-            break
-        before = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
+        edges, after = _kept(small)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scoreloom.llm.bytesops import P, WINDOW_SALT, Words, chunks, mix, powers, windows
 from scoreloom.llm.components import components
-from scoreloom.scratch import setting, staged
+from scoreloom.scratch import setting, staged, staged_with
 
 SHINGLE, PERCENT = 5, 85
 #: 30 bands of 6 samples: a pair at 0.85 misses all bands once in 1.5 million.
@@ -18,8 +18,10 @@ BANDS, BAND_ROWS = 30, 6
 SAMPLES = BANDS * BAND_ROWS
 #: Bits of an odd sketch, and how far below the threshold its estimate may lie (5 deviations).
 SKETCH_BITS, MARGIN = 512, 0.15
-#: Members of a bucket that one task compares with one another, at most.
+#: About so many members of a bucket meet about as many others in one block.
 BLOCK = 512
+#: Comparisons for each place in a bucket that make blocks cheaper than another round of stars.
+CHEAP_PAIRS = 64
 NO_ID = -(2**63)
 #: What tells rows apart: the text's hash, too, since a doc_id may be null or repeat.
 KEYS = ["doc_id", "text_hash"]
@@ -123,16 +125,19 @@ def clusters(documents: DataFrame) -> DataFrame:
     """One row per document row: doc_id (NO_ID for null), text_hash, n_shingles, and ``best``, the least (doc_id, text_hash) of its component.
 
     Documents with equal shingle sets are one class, a numbered node of the
-    graph; only classes are compared. Buckets are classes that agree
-    in a band. Two rounds of stars link each bucket's members with a central
-    member (the one met most often in all of its buckets); then what is still
-    apart in a bucket is compared with the rest of it, in blocks, without
-    emitting pairs that are no links. Every link is confirmed on whole sets.
-    No bucket is gathered in one task: counts are partial sums, joins are
-    salted by block.
+    graph; only classes are compared. Buckets are classes that agree in a
+    band. A round of stars links each bucket's members with a central member
+    (the one met most often in all of its buckets); a bucket whose members are
+    still apart gets another round while that is the cheaper way, and then
+    those outside its largest part are compared with the rest of it, in
+    blocks, without emitting pairs that are no links. Every link is confirmed
+    on whole sets; components grow from round to round, over parts and not
+    over classes. No bucket is gathered in one task: counts and centres are
+    partial sums, written before they are joined, and blocks are bounded.
 
     Null and empty texts have no shingles and stand alone. Ids link nothing:
     rows that share a doc_id, or have none, are told apart by their texts.
+    Rows that repeat both are one class; other columns are not looked at.
     """
     own = row_keys(documents)
     documents = documents.select(*[c.alias(k) for c, k in zip(own, KEYS, strict=True)], "text")
@@ -142,43 +147,61 @@ def clusters(documents: DataFrame) -> DataFrame:
     classes = signed.where("n > 0").groupBy("print").agg(F.min(F.struct(*KEYS)).alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # Numbered as they are written, so that every later job reads the same numbers
     classes = staged(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
-    met = classes.select("rep", F.explode("bands").alias("key"))
-    crowd = met.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = staged(met.join(crowd, "key"), "buckets")
-    score = met.groupBy("rep").agg(F.sum("m").alias("score"))
-    met = staged(met.join(score, "rep"), "buckets")
+    each = classes.select("rep", F.explode("bands").alias("key"))
+    crowd = staged(each.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "crowd")
+    members = each.join(crowd, "key").groupBy("rep").agg(F.sum("m").alias("score"), F.collect_list(F.struct("key", "m")).alias("met"))
+    members = staged(members.withColumn("part", F.col("rep")), "members")
 
     # merge: the candidates grow with the documents, so they are never broadcast
-    wanted = classes.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "least.*")
-    texts = documents.join(wanted.hint("merge"), KEYS).select("rep", "text").distinct()
+    wanted = classes.join(members.select("rep"), "rep", "left_semi").select("rep", "least.*")
+    texts = documents.join(wanted.hint("merge"), KEYS).select("rep", "text")
     with setting(spark, *FEW_ROWS):
-        sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0), "shingle-sets")
-    sketches = classes.select("rep", "n", "sketch")
-
-    def stars(members: DataFrame) -> DataFrame:
-        """The confirmed links of members with the central member of their bucket."""
-        centre = members.groupBy("key").agg(F.max(F.struct("score", "rep"))["rep"].alias("centre"))
-        pairs = members.join(centre, "key").where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-        x, y = sketches.alias("x"), sketches.alias("y")
-        pairs = pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(likely("x", "y")).select("a", "b")
-        x, y = sets.alias("x"), sets.alias("y")
-        return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(linked(F.col("x.own"), F.col("y.own"))).select("a", "b")
-
-    links = staged(stars(met), "links")
-    parts = staged(components(links), "parts")
-    apart = _apart(met, parts)
-    first = apart.groupBy("key").agg(F.max(F.struct("score", "rep", "part"))["part"].alias("done"))
-    links = staged(links.union(stars(apart.join(first, "key").where("part <> done"))), "links")
-    parts = staged(components(links), "parts")
-    links = staged(links.union(_rest(_apart(met, parts).where("m > 2"), classes, sets)), "links")
-    parts = components(links)
-
-    named = classes.select("print", "rep", "least").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("print", "least", F.coalesce("component", "rep").alias("component"))
-    named = named.join(named.groupBy("component").agg(F.min("least").alias("best")), "component").select("print", "best")
-    out = signed.select(*KEYS, "n", "print").join(named, "print", "left")
+        sets = staged(texts.select("rep", shingle_hashes(F.col("text")).alias("own")).where(F.size("own") > 0).dropDuplicates(["rep"]), "shingle-sets")
+
+    open_ = _places(members)
+    before = None
+    while True:
+        members = _merged(members, _stars(open_, classes, sets))
+        open_, seen = _apart(members)
+        pairs = seen["pairs"] or 0
+        if pairs <= CHEAP_PAIRS * (seen["n"] or 0) or (before is not None and 2 * pairs > before):
+            break
+        before = pairs
+        # the largest part of each bucket has had its star
+        open_ = open_.where("part <> done")
+    if pairs:
+        members = _merged(members, _rest(open_, classes, sets))
+
+    named = classes.select("print", "rep", "least").join(members.select("rep", "part"), "rep", "left").select("print", "least", F.coalesce("part", "rep").alias("part"))
+    named = named.join(named.groupBy("part").agg(F.min("least").alias("best")), "part").select("print", "best")
+    out = signed.select(*KEYS, "n", "print").join(staged(named, "best"), "print", "left")
     return out.select(*KEYS, F.col("n").alias("n_shingles"), F.coalesce("best", F.struct(*KEYS)).alias("best"))
 
 
+def _places(members: DataFrame) -> DataFrame:
+    """One row for each member and bucket."""
+    return members.select("rep", "score", "part", F.explode("met").alias("at")).select("rep", "score", "part", "at.*")
+
+
+def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with the parts that the links (a, b) between parts make of theirs."""
+    found = components(links)
+    joined = members.join(found, members["part"] == found["node"], "left")
+    return staged(joined.select("rep", "score", "met", F.coalesce("component", "part").alias("part")), "members")
+
+
+def _stars(places: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The parts that confirmed links with the central member of a bucket bring together."""
+    centre = staged(places.groupBy("key").agg(F.max(F.struct("score", "rep", "part")).alias("centre")), "centres")
+    met = places.join(centre, "key").where("part <> centre.part")
+    pairs = met.groupBy(F.col("rep").alias("a"), F.col("centre.rep").alias("b")).agg(F.first("part").alias("pa"), F.first("centre.part").alias("pb"))
+    sketches = classes.select("rep", "n", "sketch")
+    x, y = sketches.alias("x"), sketches.alias("y")
+    pairs = staged(pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(likely("x", "y")).select("a", "b", "pa", "pb"), "pairs")
+    x, y = sets.alias("x"), sets.alias("y")
+    return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(linked(F.col("x.own"), F.col("y.own"))).select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id (the component's smallest doc_id), kept.
 
@@ -188,29 +211,36 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return clusters(documents).select(real("doc_id").alias("doc_id"), "n_shingles", real("best.doc_id").alias("component_id"), (F.col("doc_id") == F.col("best.doc_id")).alias("kept"))
 
 
-def _apart(met: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets that hold two components or more, with their component."""
-    placed = met.join(parts.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("key", "rep", "m", "score", F.coalesce("component", "rep").alias("part"))
-    mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    return staged(placed.join(mixed, "key"), "apart")
+def _apart(members: DataFrame) -> tuple[DataFrame, dict]:
+    """The places in buckets that hold two parts or more, with ``k``, those outside the part ``done``, and how much is left to compare."""
+    places = _places(members).where("m > 2")
+    parts = places.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    mixed = mixed.select("key", "m", (F.col("m") - F.col("top.n")).alias("k"), F.col("top.part").alias("done"))
+    mixed, seen = staged_with(mixed, "mixed", pairs=F.sum(F.col("m") * F.col("k")), n=F.sum("m"))
+    return places.drop("m").join(mixed, "key"), seen
 
 
-def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between components within a bucket: each member against the bucket's others, in salted blocks."""
+def _rest(places: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """The parts that links within a bucket bring together: those outside its largest part against all others.
 
-    def sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        one = rows.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).alias("x")
-        return one, rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.part") != F.col("y.part"))
-    x, y = sides(members.join(classes.select("rep", "n", "sketch", "bands"), "rep"))
-    rows = staged(x.join(y, near & likely("x", "y"), "left_semi").drop("block"), "near")
-    x, y = sides(rows.join(sets, "rep"))
+    Both sides are cut into blocks of about BLOCK members, so a task compares
+    blocks and not buckets, whatever their size.
+    """
+    places = staged(places.select("key", "rep", "part", "m", "k", (F.col("part") != F.col("done")).alias("odd")).join(classes.select("rep", "n", "sketch", "bands"), "rep"), "apart")
+    size = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    mine = lambda c: F.pmod(F.xxhash64("rep"), size(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), size(c) - 1))
+    few = lambda rows: rows.where("odd").withColumn("bx", mine("k")).withColumn("by", every("m")).alias("x")
+    all_ = lambda rows: rows.withColumn("by", mine("m")).withColumn("bx", every("k")).alias("y")
+    at = (F.col("x.key") == F.col("y.key")) & (F.col("x.bx") == F.col("y.bx")) & (F.col("x.by") == F.col("y.by"))
+    near = at & (F.col("x.part") != F.col("y.part"))
+    likely_y = staged(all_(places).join(few(places), near & likely("x", "y"), "left_semi").drop("bx", "by").dropDuplicates(["key", "rep"]), "near")
+    x, y = few(places.join(sets, "rep")), all_(likely_y.join(sets, "rep"))
     once = F.get(F.filter(F.zip_with(F.col("x.bands"), F.col("y.bands"), lambda a, b: F.when(a == b, a)), lambda k: k.isNotNull()), F.lit(0)) == F.col("x.key")
     # when: the cheap checks come first
-    exact = F.when((F.col("x.rep") < F.col("y.rep")) & likely("x", "y"), F.when(once, linked(F.col("x.own"), F.col("y.own"))).otherwise(False)).otherwise(False)
-    return x.join(y, near & exact).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    exact = F.when(likely("x", "y"), F.when(once, linked(F.col("x.own"), F.col("y.own"))).otherwise(False)).otherwise(False)
+    return x.join(y, near & exact).select(F.col("x.part").alias("a"), F.col("y.part").alias("b"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from scoreloom.llm import neardup
@@ -61,7 +62,11 @@ def test_all_documents(spark, sf):
     agree(neardup.op7_near_duplicates(spark, sf).collect(), docs)
 
 
-def test_planted_groups(spark):
+@pytest.mark.parametrize("cheap,block", [(64, 512), (0, 4), (1000, 4)])
+def test_planted_groups(spark, monkeypatch, cheap, block):
+    """Also with further rounds of stars, and with many blocks for each bucket."""
+    monkeypatch.setattr(neardup, "CHEAP_PAIRS", cheap)
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
     docs = []
@@ -105,7 +110,7 @@ def test_components(spark):
         if a != b:
             root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: find(i) for a, b in edges for i in (a, b) if a != b}
+    assert got == {i: find(i) for a, b in edges for i in (a, b) if a != b and find(i) != i}
 
 
 def test_sketch_estimates(spark):
