@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from scoreloom.llm.bytesops import P, P_INV, WINDOW_SALT, Words, byte_table, chunks, mix, powers, windows
 
-#: Hashed weights for words and word pairs, and for runs of 4 bytes.
-BITS = 18
+#: Hashed weights for words, for word pairs, and for runs of CHARS characters.
+BITS, CHARS = 18, 4
 #: At most so many labelled rows, none longer than so many bytes, train the classifier.
-TRAIN_ROWS, TRAIN_BYTES = 4000, 200_000
+TRAIN_ROWS, TRAIN_BYTES = 4000, 50_000
 #: Rows whose calibrated probability of being good is below this are rejected.
 THRESHOLD = 0.25
 EPOCHS, RATE, SCALE = 4, 0.5, 10.0
@@ -81,25 +82,46 @@ def _top(hashed: np.ndarray) -> np.ndarray:
     return (hashed >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def characters(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each UTF-8 character of a chunk, and the first character of each row."""
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(buf)))
+    code = buf[start].astype(np.uint64)
+    for i in range(1, 4):
+        more = np.flatnonzero(size > i)
+        code[more] = code[more] << np.uint64(8) | buf[start[more] + i]
+    return code, np.searchsorted(start, offs)
+
+
 def features(words: Words) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(slot, row bounds, row lengths) of three groups: words, word pairs, byte runs; slots of all groups are distinct."""
-    buf, offs = words.buf, words.offs
+    """(slot, first, end) of three groups: words, word pairs, runs of CHARS characters; slots of all groups are distinct."""
     single = words.hashes(fold=False, seed=11)
     pairs, at = windows(words, single, 2)
     pair_bounds = np.searchsorted(at, words.row_first)
-    n = len(buf)
-    code = np.zeros(max(0, n - 3), np.uint64)
-    for i in range(4):
-        code |= buf[i : i + len(code)].astype(np.uint64) << np.uint64(8 * i)
-    runs = _top(code * np.uint64(P))
-    last = np.maximum(offs[1:] - 3, offs[:-1])
+    code, first = characters(words.buf, words.offs)
+    n = max(0, len(code) - CHARS + 1)
+    runs = np.zeros(n, np.uint64)
+    for i in range(CHARS):
+        runs += code[i : i + n] * WINDOW_SALT[i]
     return [
         (_top(single * WINDOW_SALT[40]), words.row_first[:-1], words.row_first[1:]),
         (_top(pairs) + (1 << BITS), pair_bounds[:-1], pair_bounds[1:]),
-        (runs + (2 << BITS), np.minimum(offs[:-1], len(code)), np.minimum(last, len(code))),
+        (_top(mix(runs)) + (2 << BITS), np.minimum(first[:-1], n), np.minimum(np.maximum(first[1:] - CHARS + 1, first[:-1]), n)),
     ]
 
 
+def row_features(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct slots of each row and their values, a chunk of texts at a time."""
+    for _, _, buf, offs in chunks(texts):
+        words = Words(buf, offs)
+        groups = features(words)
+        for r in range(len(words.counts)):
+            parts = [slot[lo[r] : hi[r]] for slot, lo, hi in groups]
+            worth = np.concatenate([np.full(len(x), SCALE / max(1, len(x))) for x in parts])
+            own, at = np.unique(np.concatenate(parts), return_inverse=True)
+            yield own, np.bincount(at, worth, len(own)).astype(np.float32)
+
+
 @dataclass(frozen=True)
 class QualityModel:
     """Weights over hashed n-grams, and the calibration ``p = 1 / (1 + exp(-(slope * z + shift)))``."""
@@ -138,57 +160,58 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(texts: list[str], labels: list[int]) -> QualityModel | None:
-    """Train on rows in the order given; every fifth is held out for the calibration. None without both classes."""
+def fit(texts: pa.Array, labels: list[int]) -> QualityModel | None:
+    """Train on rows in the order given; every fifth is held out for the calibration. None without both classes.
+
+    The features of a row are made when it is met, so memory is bounded by the
+    texts and the weights.
+    """
     y = np.array(labels)
-    if len(set(labels)) < 2 or len(labels) < 20:
+    if len(set(labels)) < 2:
         return None
-    # every row's distinct slots and values, in three arrays for all rows
-    slots, values, ends = [], [], []
-    for _, _, buf, offs in chunks(pa.array(texts, pa.string())):
-        words = Words(buf, offs)
-        n = len(words.counts)
-        keys, weight = [], []
-        for slot, lo, hi in features(words):
-            size = hi - lo
-            row = np.repeat(np.arange(n), size)
-            inside = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-            keys.append(row << 20 | slot[inside])
-            weight.append((SCALE / np.maximum(1, size))[row])
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
-        slots.append((own & ((1 << 20) - 1)).astype(np.int32))
-        values.append(np.bincount(at, np.concatenate(weight)).astype(np.float32))
-        ends.append(np.searchsorted(own >> 20, np.arange(n), "right") + (ends[-1][-1] if ends else 0))
-    slots, values, ends = np.concatenate(slots), np.concatenate(values), np.concatenate(ends)
-    begins = np.concatenate([[0], ends[:-1]])
-
     weights = np.zeros(3 << BITS)
     squares = np.full(3 << BITS, 1e-3)
-    train = [i for i in range(len(y)) if i % 5]
-    rare = len(train) / (2 * max(1, min(y[train].sum(), len(train) - y[train].sum())))
-    heavy = int(2 * y[train].sum() < len(train))
+    held = np.arange(len(y)) % 5 == 0
+    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        held[:] = False
+    train = y[~held]
+    good = int(train.sum())
+    rare = len(train) / (2 * max(1, min(good, len(train) - good)))
+    heavy = int(2 * good < len(train))
     for _ in range(EPOCHS):
-        for i in train:
-            slot, value = slots[begins[i] : ends[i]], values[begins[i] : ends[i]]
+        for i, (slot, value) in enumerate(row_features(texts)):
+            if held[i]:
+                continue
             z = float(weights[slot] @ value)
             slip = (1 / (1 + math.exp(-max(-50, min(50, z)))) - y[i]) * (rare if y[i] == heavy else 1.0)
             g = slip * value
             squares[slot] += g * g
             weights[slot] -= RATE * g / np.sqrt(squares[slot])
-    held = np.arange(len(y)) % 5 == 0
-    both = np.flatnonzero(held if len(set(y[held])) == 2 else held | True)
-    z = np.array([weights[slots[begins[i] : ends[i]]] @ values[begins[i] : ends[i]] for i in both])
-    slope, shift = _calibrated(z, y[both])
+    z = np.array([weights[slot] @ value for slot, value in row_features(texts)])
+    check = held if held.any() else ~held
+    slope, shift = _calibrated(z[check], y[check])
     return QualityModel(weights.astype(np.float32), slope, shift)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, those with the smallest hashes of doc_id; reruns draw the same."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(h, doc_id, quality, text) of at most ``rows`` labelled texts, those with the smallest hashes of doc_id; reruns draw the same."""
     drawn = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     drawn = drawn.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES)
-    found = texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality", "h").agg(F.min("text").alias("text")).orderBy("h", "doc_id").toPandas()
-    return list(found["text"]), [int(q > 0) for q in found["quality"]]
+    return texts.join(F.broadcast(drawn), "doc_id").groupBy("h", "doc_id", "quality").agg(F.min("text").alias("text"))
+
+
+def quality_model(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> QualityModel | None:
+    """A model of the labelled sample, trained in one task; the driver gets the weights only."""
+
+    def train(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by([("h", "ascending"), ("doc_id", "ascending")])
+        model = fit(sample["text"].combine_chunks(), [int(q > 0) for q in sample["quality"].to_pylist()])
+        fitted = [(model.weights.tobytes(), model.slope, model.shift)] if model else []
+        return pa.table([pa.array([x[i] for x in fitted], kind) for i, kind in enumerate((pa.binary(), pa.float64(), pa.float64()))], names=["weights", "slope", "shift"])
+
+    found = labelled_sample(documents, labels, rows).withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "weights binary, slope double, shift double").first()
+    return QualityModel(np.frombuffer(bytes(found.weights), np.float32), found.slope, found.shift) if found else None
 
 
 STATS = [("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("p_quality", pa.float64())]
@@ -196,12 +219,16 @@ VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def judged(documents: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD, name: str = "_quality") -> DataFrame:
-    """Add one struct column with the statistics and the verdict of ``text``; other columns stay in the JVM.
+    """Add one struct column, ``name``, with the statistics and the verdict of ``text``; other columns stay in the JVM.
 
     Null and empty texts have no words, so they fail the base rules. Without
     a model the base rules decide alone. Rows are judged one by one, in Arrow
-    batches, over their whole texts; nothing is shuffled.
+    batches, over their whole texts; nothing is shuffled, so repeated rows
+    and ties each get the same verdict. A column that is called ``name``
+    already is an error.
     """
+    if name in documents.columns:
+        raise ValueError(f"the table has a column {name!r} already")
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(VERDICT)
@@ -221,10 +248,6 @@ def judged(documents: DataFrame, model: QualityModel | None, threshold: float =
     return documents.withColumn(name, verdict(F.col("text")))
 
 
-def quality_model(documents: DataFrame, labels: DataFrame) -> QualityModel | None:
-    return fit(*labelled_sample(documents, labels))
-
-
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, by a classifier trained on a bounded sample of ``labels``."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -2,6 +2,9 @@
 
 import re
 
+import pyarrow as pa
+import pytest
+
 from scoreloom.llm import quality
 
 
@@ -34,6 +37,19 @@ def test_statistics(spark, sf):
         assert got == plain(texts[r.doc_id]), texts[r.doc_id]
         assert r.kept == (not r.base_failed)
     assert quality.judged(frame.limit(0), None).count() == 0
+    with pytest.raises(ValueError, match="kept"):
+        quality.judged(frame, None, name="kept")
+
+
+def test_characters():
+    """Runs of characters, not of bytes."""
+    texts = ["aé日𝄞b", "", "xyz", "日本語テ"]
+    (_, _, buf, offs), = quality.chunks(pa.array(texts))
+    code, first = quality.characters(buf, offs)
+    assert list(first) == [0, 5, 5, 8, 12]
+    assert [int(c).to_bytes(4).lstrip(b"\0").decode() for c in code] == list("".join(texts))
+    runs, lo, hi = quality.features(quality.Words(buf, offs))[2]
+    assert list(hi - lo) == [2, 0, 0, 1] and len(set(runs)) == len(runs)
 
 
 def test_held_out_labels(spark):
@@ -41,7 +57,7 @@ def test_held_out_labels(spark):
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     rows = [(r.text, labels[r.doc_id]) for r in d.collect() if r.doc_id in labels]
     half = len(rows) // 2
-    model = quality.fit([t for t, _ in rows[:half]], [y for _, y in rows[:half]])
+    model = quality.fit(pa.array([t for t, _ in rows[:half]]), [y for _, y in rows[:half]])
     frame = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows[half:])], "doc_id long, text string")
     out = quality.judged(frame, model).select("doc_id", "_quality.*").collect()
     right = sum((r.p_quality >= quality.THRESHOLD) == bool(rows[half + r.doc_id][1]) for r in out)
