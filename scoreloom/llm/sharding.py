@@ -51,48 +51,75 @@ def _cuts(rows: DataFrame, parts: dict[int, tuple[int, int]], whole_keys: bool)
     return [(x.key, LOWEST if whole_keys else x.tie) for x in first.select("cut.*").collect()]
 
 
-def assign_shards(rows: DataFrame, shards: int = 16, together: float = 0.01) -> DataFrame:
-    """Add ``shard`` and ``slot`` to rows that have long columns ``key``, ``tie`` and ``size``.
+def _bounds(rows: DataFrame, total: int, count: int, shards: int) -> list[tuple[int, int]]:
+    """Splitters that cut rows into ranges of near-equal bytes; ranges over twice their share are cut again, inside a key if need be.
 
-    Rows are range-partitioned by (key, tie) at quantiles of a size-weighted
-    sample; a range that turns out to hold over twice its share is cut again
-    at finer splitters of its own, also inside one key. Running sums within
-    the ranges and the ranges' totals give each row its place among all bytes,
-    and with it the shard: shards differ by a row or a small group at most.
-    Rows of equal key stay together unless they hold over ``together`` of a
-    shard. Slots are gapless from 0 in each shard. Rows must be narrow (no
-    texts): they are written once and shuffled once. An empty table gives no
-    rows; sizes must be 1 or more; nulls in key or tie count as the lowest.
+    A range that one row fills can't be cut. One that stays too large after
+    four rounds (the sample of its rows was unlucky each time) is only a
+    larger range: the result is the same.
     """
-    rows = staged(rows.withColumns({"key": F.coalesce("key", F.lit(LOWEST)), "tie": F.coalesce("tie", F.lit(LOWEST))}), "shard-rows")
-    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     ranges = min(8192, max(16 * shards, math.ceil(count / RANGE_ROWS)))
+    share = max(total, 1) / ranges
     bounds: list[tuple[int, int]] = []
     split = {0: (max(total, 1), ranges)}
     for attempt in range(4):
         within = _below(bounds, F.col("key"), F.col("tie"))
         bounds = sorted({*bounds, *_cuts(rows.withColumn("range", within), split, whole_keys=attempt == 0)})
         sums = rows.groupBy(_below(bounds, F.col("key"), F.col("tie")).alias("range")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
-        share = max(total, 1) / ranges
         over = sums.where((F.col("bytes") > 2 * share) & (F.col("n") > 1) & (F.col("bytes") > 1.5 * F.col("most"))).collect()
         split = {x.range: (x.bytes, math.ceil(2 * x.bytes / share)) for x in over}
         if not split:
             break
-    ranged = rows.withColumn("range", _below(bounds, F.col("key"), F.col("tie")))
-    before = ranged.groupBy("range").agg(F.sum("size").alias("b")).select("range", (F.sum("b").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("before"))
-    rest = [c for c in rows.columns if c not in ("key", "tie")]
-    order = Window.partitionBy("range").orderBy("key", "tie", *[F.col(f"`{c}`") for c in rest])
-    placed = ranged.withColumns({"nth": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
-    alike = Window.partitionBy("range", "key")
-    placed = placed.withColumns({"first": F.min(F.col("upto") - F.col("size")).over(alike), "alike": F.sum("size").over(alike)})
-    middle = F.when(F.col("alike") <= together * total / shards, F.col("first") * 2 + F.col("alike")).otherwise(F.col("upto") * 2 - F.col("size"))
-    placed = placed.join(F.broadcast(before), "range")
-    place = (F.col("before") * 2 + middle) * shards
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(place / F.lit(2 * max(total, 1)))).cast("int"))
-    placed = staged(placed.select("key", "tie", *[F.col(f"`{c}`") for c in rest], "range", "nth", "shard"), "sharded")
-    runs = placed.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("from"))
+    return bounds
+
+
+def assign_shards(rows: DataFrame, shards: int = 16, together: float = 0.01, wide: DataFrame | None = None) -> DataFrame:
+    """Add ``shard`` and ``slot`` to rows that have long columns ``key``, ``tie`` and ``size``.
+
+    Rows are range-partitioned by (key, tie) at quantiles of a size-weighted
+    sample; a range that turns out to hold over twice its share is cut again
+    at finer splitters of its own, also inside one key. Running sums within
+    the ranges and the ranges' totals give each row its place among all bytes,
+    and with it the shard: shards differ by a row or a small group at most.
+    Rows of equal key stay together unless they hold over ``together`` of a
+    shard. Slots are gapless from 0 in each shard. ``rows`` must be narrow (no
+    texts). An empty table gives no rows; sizes must be 1 or more; nulls in
+    key or tie count as the lowest. Of rows equal in key and tie, which are
+    equal in size as well, any order will do.
+
+    ``wide``: the same rows with all that the shards are to hold. They are
+    shuffled once, to their ranges, and returned instead of ``rows``.
+    """
+    low = {"key": F.coalesce("key", F.lit(LOWEST)), "tie": F.coalesce("tie", F.lit(LOWEST))}
+    rows = staged(rows.withColumns(low), "shard-rows")
+    total, count = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    bounds = _bounds(rows, total, count, shards)
+    at = lambda df: df.withColumn("range", _below(bounds, F.col("key"), F.col("tie")))
+    before = at(rows).groupBy("range").agg(F.sum("size").alias("b")).select("range", (F.sum("b").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("b")).alias("before"))
+
+    def placed(ranged: DataFrame) -> DataFrame:
+        order = Window.partitionBy("range").orderBy("key", "tie")
+        out = ranged.withColumns({"nth": F.row_number().over(order), "upto": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+        alike = Window.partitionBy("range", "key")
+        out = out.withColumns({"first": F.min(F.col("upto") - F.col("size")).over(alike), "alike": F.sum("size").over(alike)})
+        middle = F.when(F.col("alike") <= together * total / shards, F.col("first") * 2 + F.col("alike")).otherwise(F.col("upto") * 2 - F.col("size"))
+        place = (F.col("before") * 2 + middle) * shards
+        out = out.join(F.broadcast(before), "range").withColumn("shard", F.least(F.lit(shards - 1), F.floor(place / F.lit(2 * max(total, 1)))).cast("int"))
+        return out.drop("upto", "first", "alike", "before")
+
+    narrow = placed(at(rows))
+    if wide is None:
+        narrow = staged(narrow, "sharded")
+    runs = narrow.groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("from"))
     runs = runs.select("shard", "range", "from", (F.sum("n").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    return placed.join(F.broadcast(runs), ["shard", "range"]).withColumn("slot", F.col("base") + F.col("nth") - F.col("from")).drop("range", "nth", "from", "base")
+    out = narrow if wide is None else placed(at(wide.withColumns(low)))
+    return out.join(F.broadcast(runs), ["shard", "range"]).withColumn("slot", F.col("base") + F.col("nth") - F.col("from")).drop("range", "nth", "from", "base")
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    """size, key and tie of the document in each row's ``text`` and ``doc_id``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return documents.withColumns({"size": F.octet_length(text).cast("long") + 1, "key": F.xxhash64(text), "tie": F.xxhash64("doc_id", F.lit("tie"))})
 
 
 def document_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
@@ -100,13 +127,26 @@ def document_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
 
     size: UTF-8 bytes of the text (null: none) plus 1. A null text has the
     checksum of an empty one. Rows that repeat each keep a slot of their own.
+    Columns other than doc_id and text are not looked at.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select("doc_id", (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("key"), F.xxhash64("doc_id", F.lit("tie")).alias("tie"))
+    rows = _keyed(documents.select("doc_id", "text")).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
     out = assign_shards(rows, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def sharded_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
+    """The documents themselves, all columns, with the ``shard`` and ``slot`` that ``document_shards`` gives them.
+
+    A document column that is called shard or slot is kept as ``_shard`` or
+    ``_slot``. Texts are shuffled once, to the ranges of their keys.
+    """
+    columns = [F.col(f"`{c}`").alias(f"_{c}" if c in ("shard", "slot") else c) for c in documents.columns]
+    wide = _keyed(documents.select(F.struct(*columns).alias("_row"), "doc_id", "text"))
+    rows = wide.select("key", "tie", "size")
+    out = assign_shards(rows, shards, wide=wide.select("_row", "key", "tie", "size"))
+    return out.select("_row.*", "shard", F.col("slot").cast("long").alias("slot"))
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15."""
     return document_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))

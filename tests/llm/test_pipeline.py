@@ -37,8 +37,13 @@ def test_stages(spark, sf):
     size = {i: len((before[i].text or "").split()) for i in left}
     assert abs(sum(size[i] * k for i, k in n.items()) - 1.5 * sum(size.values())) <= 20 * max(size.values())
 
-    placed = C.shards(spark, mixed, sf).collect()
-    assert Counter(r.doc_id for r in placed) == n
+    placed = C.shards(spark, mixed, sf)
+    rows = placed.collect()
+    assert placed.columns == [*columns, "shard", "slot"] and Counter(tuple(r)[:-2] for r in rows) == Counter(map(tuple, mixed.collect()))
+    for k in range(16):
+        assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
+    size = [sum(len((r.text or "").encode()) + 1 for r in rows if r.shard == k) for k in range(16)]
+    assert max(size) - min(size) <= 2 * max(len(r.text.encode()) + 1 for r in rows)
 
 
 def test_run(spark, sf):
@@ -59,3 +64,38 @@ def test_ids_that_are_null_or_repeat(spark, sf):
     leak = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 100").first().text
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in [(None, leak), (None, texts["a"]), (5, leak), (5, texts["b"]), (6, texts["c"])]], schema)
     assert sorted((r.doc_id or -1, r.text[0]) for r in C.benchmark_decontamination(spark, docs, sf).collect()) == [(-1, "a"), (5, "b"), (6, "c")]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _quality int, shard string, text_hash string, n int, best string, key long, size int, _row int"
+
+
+def odd_documents(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, and columns named like the stages' own."""
+    good = " ".join(f"plain{i} word{i * 7}" for i in range(40))
+    texts = [None, "", " \n", good, good, good + " end", "long " + " ".join(f"w{i}" for i in range(60_000)), "x " * 500, "日本語 " * 3 + good[::-1]]
+    rows = [(i if i % 3 else None, t, None if i % 2 else "en", None if i % 4 == 0 else f"s{i % 2}", None, i, "sh", None, i, "b", 5, None, i) for i, t in enumerate(texts)]
+    return spark.createDataFrame([*rows, rows[4], rows[4], rows[8]], CLASHING)
+
+
+def test_odd_tables(spark, sf):
+    """Every stage on odd rows and on no rows: its columns stay, its rows are rows of its input."""
+    docs = odd_documents(spark)
+    before = Counter(map(tuple, docs.collect()))
+    for name, stage in C.STAGES[:-1]:
+        for rows in (docs, docs.limit(0)):
+            out = stage(spark, rows, sf)
+            found = Counter(map(tuple, out.collect()))
+            assert out.columns == docs.columns and set(found) <= (set(before) if rows is docs else set()), name
+            if name in ("quality_rules", "benchmark_decontamination"):
+                assert all(before[r] == n for r, n in found.items())
+            if name == "benchmark_decontamination":
+                assert sum(found.values()) == sum(before.values()) or rows is not docs
+            if name == "near_duplicates" and rows is docs:
+                # three without words, one of the copies of `good` and its near copy, and three others
+                assert sorted(found.values()) == [1] * 7 and sum(r[1] is not None and "plain1 " in r[1] and r[1][0] == "p" for r in found) == 1
+            if name == "source_mix":
+                assert all(r[1] and r[1].split() for r in found)
+        placed = C.shards(spark, docs, sf)
+    assert placed.columns == [*("_shard" if c == "shard" else c for c in docs.columns), "shard", "slot"]
+    assert Counter(tuple(r)[:-2] for r in placed.collect()) == before
+    assert C.shards(spark, docs.limit(0), sf).count() == 0
