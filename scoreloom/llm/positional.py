@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from scoreloom.llm.urls import LOWER, UPPER
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms that may be broadcast at most (about 200 MB); more are joined by a shuffle.
-BROADCAST_TERMS = 2_000_000
+#: Tables that may be broadcast have at most so many bytes, as JSON; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
 def folded(text: Column) -> Column:
@@ -24,8 +24,9 @@ def words_of(text: Column) -> Column:
 
 
 def small(table: DataFrame) -> DataFrame:
-    """The table with a broadcast hint, if its counted rows are few enough."""
-    return F.broadcast(table) if table.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else table
+    """The table with a broadcast hint, if the bytes of all its rows, summed by Spark, are few enough."""
+    size = table.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))))).first()[0]
+    return F.broadcast(table) if (size or 0) <= BROADCAST_BYTES else table
 
 
 def term_counts(documents: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:

@@ -4,11 +4,11 @@ import base64
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
-from scoreloom.llm import mixing, sharding, urls, warc
+from scoreloom.llm import mixing, positional, sharding, urls, warc
 from scoreloom.scratch import new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -132,7 +132,7 @@ def test_warc_round_trip(spark):
     pages = [(1, "http://a/", "<p>x</p>"), (2, "http://b/\r\nX: y", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "WARC/1.1\r\nWARC-Type: response\r\n\r\né"), (6, "u", "z" * 100000), (None, "u", "only null"), (7, "http://c/", "<p>x</p>")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string")
     path = new_folder(spark, "test-warc")
-    warc.write_archives(warc.resolve_revisits(frame), path, per_file=3)
+    warc.write_archives(frame, warc.resolve_revisits(frame), path, per_file=3)
     out = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
     assert len(out) == len(pages)
     last = {}
@@ -150,3 +150,25 @@ def test_warc_round_trip(spark):
 def test_warc_of_all_pages(spark, sf):
     out = warc.op9_warc(spark, sf)
     assert out.count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_warc_of_repeated_and_hot_payloads(spark, monkeypatch, limit):
+    """Repeated rows are records of their own, with ids of their own; a hot payload; joins with and without broadcast."""
+    if limit is not None:
+        monkeypatch.setattr(positional, "BROADCAST_BYTES", limit)
+    big = "<p>" + "big " * 400_000
+    pages = [(i, f"http://h/{i}", "hot") for i in range(300)] + [(299, "http://h/299", "hot")] * 2 + [(298, "http://h/298", "hot"), (299, "http://other/", "hot"), (None, "n", "nulls"), (None, "n", "nulls"), (None, "m", "nulls"), (500, "u", big), (501, "u", None)]
+    frame = spark.createDataFrame([(*p, "x", 3) for p in pages], "page_id long, url string, html string, sha string, copies int")
+    path = new_folder(spark, "test-warc")
+    warc.write_archives(frame, warc.resolve_revisits(frame), path)
+    out = warc.read_archives(spark, path).collect()
+    kinds = Counter((r.page_id, r.record_type, r.refers_to, r.payload) for r in out)
+    assert len(out) == len(pages)
+    assert kinds[(299, "response", None, "hot")] == 4 and kinds[(298, "revisit", 299, None)] == 2 and kinds[(None, "response", None, "nulls")] == 3
+    assert kinds[(500, "response", None, big)] == 1 and kinds[(501, "response", None, "")] == 1
+    text = "".join(r.value for r in spark.read.text(path).collect())
+    ids = re.findall(r"WARC-Record-ID: (\S+?)(?:WARC|\s|$)", text)
+    assert len(set(ids)) == len(ids) == len(pages)
+    assert set(re.findall(r"WARC-Refers-To: (<urn:uuid:[-0-9a-f]+>)", text)) <= set(ids)
+    assert warc.resolve_revisits(frame.limit(0)).count() == 0
