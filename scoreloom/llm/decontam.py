@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreloom.llm.positional import postings, small, standing, term_counts, words_of
-from scoreloom.scratch import staged
+from scoreloom.llm.positional import KEYS, LENGTH, NO_ID, item_places, near_places, numbered, phrase_spans, positional_index, term_counts, vocabulary, words_of
 
 WINDOW = 10
-KEYS = ["doc_id", "text_hash"]
 
 
 def benchmark_items(benchmark: DataFrame) -> DataFrame:
@@ -18,54 +16,23 @@ def benchmark_items(benchmark: DataFrame) -> DataFrame:
     return items.where(F.size("words") > 0).distinct()
 
 
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """The rarest term of each window: (term, item, offset, starts, words, k), one row per item and offset.
-
-    ``starts`` are the windows of the item that the term at ``offset`` stands
-    for. Of equally rare terms the leftmost counts.
-    """
-    places = items.select("item", "words", F.posexplode("words").alias("p", "term"))
-    rated = places.join(small(counts), "term", "left").groupBy("item", "words").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("rated"))
-    k = F.least(F.size("words"), F.lit(window))
-    rated = rated.select("item", "words", "rated", k.alias("k"), F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("start"))
-    rarest = F.array_min(F.transform(F.slice("rated", F.col("start") + 1, F.col("k")), lambda x: F.struct(x["n"].alias("n"), x["p"].alias("p"))))
-    chosen = rated.select("item", "words", "k", "start", rarest["p"].alias("offset"))
-    grouped = chosen.groupBy("item", "words", "k", "offset").agg(F.collect_list("start").alias("starts"))
-    return grouped.select(F.get("words", F.col("offset")).alias("term"), "item", "offset", "starts", "words", "k")
-
-
-def phrase_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Exact window matches: (doc_id, text_hash, item, lo, hi, pos) with hit words lo to hi - 1.
-
-    The index keeps the postings of each window's rarest term. A window
-    matches where the lists of its other terms, shifted by their offsets, meet
-    that posting; the posting's surroundings tell. All windows of one rarest
-    term at one place give one row. Each document also has a row with a null
-    item, whose pos is its number of words.
-    """
-    items = staged(benchmark_items(benchmark), "bench-items")
-    counts = staged(term_counts(documents, items.select(F.explode("words").alias("term")).distinct()), "bench-terms")
-    rare = staged(anchors(items, counts, window), "bench-anchors")
-    index = staged(postings(documents.withColumn("text_hash", F.xxhash64("text")), rare.select("term").distinct(), window - 1, KEYS), "postings")
-    lists = index.join(small(rare), "term", "left")
-    met = F.filter(F.coalesce("starts", F.array().cast("array<int>")), lambda s: standing(s - F.col("offset"), F.slice("words", s + 1, F.col("k"))))
-    lists = lists.withColumn("met", met).where((F.col("term") == "") | (F.size("met") > 0))
-    begin = F.col("pos") - F.col("offset")
-    return lists.select(*KEYS, "item", (begin + F.array_min("met")).alias("lo"), (begin + F.array_max("met") + F.col("k")).alias("hi"), "pos")
+def indexed(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The benchmark's items, their places, the postings of their terms in the documents, and those lists' lengths."""
+    items = numbered(benchmark_items(benchmark))
+    terms = vocabulary(items.select(F.explode("words").alias("term")))
+    index = positional_index(documents, terms)
+    return items, item_places(items, terms), index, term_counts(index)
 
 
 def proximity_matches(documents: DataFrame, benchmark: DataFrame, within: int = 20) -> DataFrame:
     """Items all of whose words stand, in any order, within ``within`` words of the item's rarest word.
 
     Returns (doc_id, text_hash, item, pos). For short items such as questions;
-    an item of more than ``within`` distinct words can't match.
+    of words that repeat in an item one is enough.
     """
-    items = staged(benchmark_items(benchmark), "near-items")
-    counts = term_counts(documents, items.select(F.explode("words").alias("term")).distinct())
-    places = items.select("item", "words", F.explode("words").alias("term")).join(small(staged(counts, "near-terms")), "term")
-    rare = staged(places.groupBy("item", "words").agg(F.min(F.struct("n", "term"))["term"].alias("term")), "near-anchors")
-    index = postings(documents.withColumn("text_hash", F.xxhash64("text")), rare.select("term").distinct(), within, KEYS).where("term <> ''")
-    return index.join(small(rare), "term").where(F.size(F.array_except("words", "around")) == 0).select(*KEYS, "item", "pos")
+    items, places, index, counts = indexed(documents, benchmark)
+    near = near_places(index, places, counts, within).join(items.select("nth", "item"), "nth")
+    return near.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "text_hash", "item", "pos")
 
 
 def keyed_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -73,14 +40,17 @@ def keyed_contamination(documents: DataFrame, benchmark: DataFrame, window: int
 
     Null and empty texts have no words and are clean; rows that repeat a
     document each get its result; rows that share a doc_id but not the text
-    are told apart. Without benchmark rows all documents are clean. Only the
-    matches are shuffled, never texts, so a passage that a third of the
-    documents share costs a few short rows in each of them.
+    are told apart. Without benchmark rows all documents are clean. Texts are
+    never shuffled, only postings of rare terms and those of documents that
+    have the two rarest terms of a window at the right distance. Other columns
+    are not looked at.
     """
-    hits = phrase_matches(documents.select("doc_id", "text"), benchmark, window)
+    items, places, index, counts = indexed(documents, benchmark)
+    hits = phrase_spans(index, places, counts, window).join(items.select("nth", "item"), "nth").select(*KEYS, "item", "lo", "hi")
+    lengths = index.where(F.col("id") == LENGTH).select(*KEYS, F.lit(None).cast("string").alias("item"), F.lit(None).cast("int").alias("lo"), F.col("pos").alias("hi"))
     spans = F.when(F.col("item").isNotNull(), F.struct("lo", "hi"))
-    found = hits.groupBy(*KEYS).agg(
-        F.max(F.when(F.col("item").isNull(), F.col("pos"))).cast("long").alias("n_words"),
+    found = lengths.unionByName(hits).groupBy(*KEYS).agg(
+        F.max(F.when(F.col("item").isNull(), F.col("hi"))).cast("long").alias("n_words"),
         F.count_if(F.col("item").isNull()).cast("int").alias("copies"),
         F.array_sort(F.collect_set(spans)).alias("spans"),
         F.array_sort(F.collect_set("item")).alias("items"),
@@ -88,7 +58,7 @@ def keyed_contamination(documents: DataFrame, benchmark: DataFrame, window: int
     none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     cover = F.aggregate("spans", none, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(x["lo"], a["end"]))).alias("n"), F.greatest(a["end"], x["hi"]).alias("end")), lambda a: a["n"])
     found = found.withColumns({"n_hit": cover.cast("long"), "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
-    found = found.withColumn("contaminated", F.col("n_hit") > 0)
+    found = found.withColumns({"contaminated": F.col("n_hit") > 0, "doc_id": F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))})
     each = F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")
     return found.select(*KEYS, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", each).drop("_copy")
 

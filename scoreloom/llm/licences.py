@@ -2,146 +2,121 @@
 
 from __future__ import annotations
 
-import math
 import re
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scoreloom.llm.positional import WORD, postings, small, standing, term_counts
+from scoreloom.llm.licence_texts import BASE, TEMPLATES
+from scoreloom.llm.positional import KEYS, LENGTH, NO_ID, WORD, item_places, numbered, phrase_spans, positional_index, small, term_counts, vocabulary
 from scoreloom.scratch import staged
 
-# The base phrases and their labels.
-BASE = [
-    ("gnu general public license", "gpl"),
-    ("apache license", "apache"),
-    ("cc by", "cc-by"),
-    ("mit license", "mit"),
-]
-
-# Opening words of public licence texts, and the phrase that must stand in them.
-TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
-    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "you may not use this file except in compliance with the license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "under the terms of the gnu general public license"),
-    ("lgpl", "gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "gnu affero general public license", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify and or distribute this software"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-    ("cc-by-nc", "cc by nc", "cc by nc"),
-    ("cc-by-sa", "cc by sa", "cc by sa"),
-    ("cc-by-nd", "cc by nd", "cc by nd"),
-    ("cc-by", "creative commons attribution", "creative commons attribution"),
-    ("bsl", "boost software license", "boost software license"),
-    ("epl", "eclipse public license", "eclipse public license"),
-]
-
-#: Rare words looked up for each template, and the share of their weight that must agree.
-RARE_WORDS, AGREE = 8, 0.6
-
-
-@dataclass(frozen=True)
-class Anchor:
-    """A template word to look up; ``phrase`` is to stand ``back`` words before its place."""
-
-    term: str
-    template: int
-    offset: int
-    weight: float
-    phrase: list[str] | None
-    back: int
-
-
-def _rare(words: list[str], counts: dict[str, int], most: int) -> list[int]:
-    """The places of the rarest distinct words, the leftmost of equals."""
-    first: dict[str, int] = {}
-    for i, w in enumerate(words):
-        first.setdefault(w, i)
-    return sorted(first.values(), key=lambda i: (counts.get(words[i], 0), i))[:most]
-
-
-def template_anchors(counts: dict[str, int], total: int) -> tuple[list[Anchor], list[float]]:
-    """Anchors of the base phrases (template -1 and below) and of the templates, with the templates' whole weights.
-
-    Weights are inverse frequencies in the corpus. A template's phrase hangs
-    on the phrase's own rarest word, which votes as well.
+#: Distinct words of highest IDF that are looked up for a file, and how rare (of all licence words met) a word has to be.
+LOOKED_UP, RARE_SHARE = 160, 1 / 500
+#: The rarest words of a template are always among those looked up.
+OWN_WORDS = 6
+#: Words that a place may be off its place in the template, and the share of the weight that must agree.
+SLACK, AGREE = 16, 0.6
+
+
+def cut(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+def template_postings(spark: SparkSession, terms: DataFrame, counts: DataFrame) -> DataFrame:
+    """The inverted index of the templates' rare words: (id, template, offset, idf), with the template's whole weight.
+
+    Rare are words below RARE_SHARE of all licence words met in the corpus,
+    and the OWN_WORDS rarest of each template.
+    """
+    rows = [(t, i, w) for t, (_, _, text) in enumerate(TEMPLATES) for i, w in enumerate(cut(text))]
+    places = spark.createDataFrame(rows, "template int, offset int, term string").join(F.broadcast(terms), "term")
+    places = places.join(F.broadcast(counts), "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    places = places.crossJoin(F.broadcast(total)).withColumn("idf", F.log((F.col("total") + 2) / (F.col("n") + 1)))
+    order = F.dense_rank().over(Window.partitionBy("template").orderBy("n", "term"))
+    rare = places.withColumn("nth", order).where((F.col("n") <= F.col("total") * RARE_SHARE) | (F.col("nth") <= OWN_WORDS))
+    whole = Window.partitionBy("template").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return staged(rare.select("id", "template", "offset", "idf", F.sum("idf").over(whole).alias("whole")), "template-postings")
+
+
+def looked_up(index: DataFrame, templates: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, id, pos): the places of each file's LOOKED_UP rare licence words of highest IDF."""
+    words = templates.groupBy("id").agg(F.max("idf").alias("idf"))
+    rare = index.join(F.broadcast(words), "id").distinct()
+    best = rare.groupBy(*KEYS, "id", "idf").agg(F.collect_list("pos").alias("places"))
+    best = best.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("idf"), "id"))).where(F.col("nth") <= LOOKED_UP)
+    return best.select(*KEYS, "id", F.explode("places").alias("pos"))
+
+
+def template_matches(index: DataFrame, templates: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, template, share): the best agreeing share of each template whose mandatory phrase stands in place.
+
+    The postings of a file's words and of the template's are met by relative
+    position: places within SLACK words of one another vote together, so that
+    a changed name or year does not break a licence in two. ``phrases`` has
+    the places of the mandatory phrases in the files, as (keys, template,
+    diag). Weights are summed over a template's places, each counted once.
     """
-    idf = lambda w: math.log((total + 2) / (counts.get(w, 0) + 1))
-    out, whole = [], []
-    for b, (phrase, _) in enumerate(BASE):
-        words = phrase.split()
-        (at,) = _rare(words, counts, 1)
-        out.append(Anchor(words[at], -1 - b, at, 0.0, words, at))
-    for t, (_, text, phrase) in enumerate(TEMPLATES):
-        words, key = text.split(), phrase.split()
-        begin = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        (at,) = _rare(key, counts, 1)
-        places = {*_rare(words, counts, RARE_WORDS), begin + at}
-        out += [Anchor(words[p], t, p, idf(words[p]), key if p == begin + at else None, at) for p in sorted(places)]
-        whole.append(sum(idf(words[p]) for p in places))
-    return out, whole
+    # two overlapping rows of buckets, so that places SLACK apart share one of them
+    buckets = F.explode(F.array(F.floor(F.col("diag") / (2 * SLACK)) * 2, F.floor((F.col("diag") + SLACK) / (2 * SLACK)) * 2 + 1)).alias("bucket")
+    there = staged(phrases.select(*KEYS, "template", buckets).distinct(), "licence-phrases")
+    votes = looked_up(index.join(small(there.select(*KEYS).distinct()), KEYS, "left_semi"), templates).join(F.broadcast(templates), "id")
+    votes = votes.select(*KEYS, "template", "offset", "idf", "whole", (F.col("pos") - F.col("offset")).alias("diag"))
+    votes = votes.select(*KEYS, "template", "offset", "idf", "whole", buckets).distinct()
+    shares = votes.groupBy(*KEYS, "template", "bucket").agg((F.sum("idf") / F.first("whole")).alias("share"))
+    return shares.join(there, [*KEYS, "template", "bucket"], "left_semi").groupBy(*KEYS, "template").agg(F.least(F.max("share"), F.lit(1.0)).alias("share"))
 
 
 def scan_licences(documents: DataFrame) -> DataFrame:
     """One row per document row: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base labels come from a phrase's words standing consecutively anywhere.
-    The method's own labels come from templates: the postings of a template's
-    rarest words (by frequency in all documents) vote for the relative
-    position of text and template; where AGREE of the weight agrees and the
-    mandatory phrase stands at that position, the label is added. score is the
-    largest agreeing share (1 for a base phrase, 0 without any). Null and
-    empty texts have no words and no labels. Only postings of rare licence
-    words are shuffled.
+    The method's own labels come from the templates: a file's licence words of
+    highest IDF are looked up in the templates' postings, which vote for the
+    relative position of file and template; where AGREE of a template's weight
+    agrees and its mandatory phrase stands at that position, its label is
+    added. score is the largest agreeing share (1 for a base phrase, 0 without
+    any). Null and empty texts have no words and no labels; rows that repeat
+    doc_id and text get the same result each, rows that share a doc_id alone
+    are told apart, a null doc_id stays null, an empty table gives no rows.
+    Columns other than doc_id and text are not looked at, whatever their
+    names. Only postings of licence words are shuffled.
     """
     spark = documents.sparkSession
-    keys = ["doc_id", "text_hash"]
-    documents = documents.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()} | {w for p, _ in BASE for w in p.split()})
-    assert all(re.fullmatch(WORD, w) for w in vocabulary)
-    terms = spark.createDataFrame([(w,) for w in vocabulary], "term string")
-    counts = {r.term: r.n for r in term_counts(documents, terms).collect()}  # a row for each template word
-    anchors, whole = template_anchors(counts, sum(counts.values()))
-    table = spark.createDataFrame([(a.term, a.template, a.offset, a.weight, a.phrase, a.back) for a in anchors], "term string, template int, offset int, weight double, phrase array<string>, back int")
-    reach = max(len(a.phrase) for a in anchors if a.phrase) - 1
-    index = staged(postings(documents, table.select("term").distinct(), reach, keys), "licence-postings")
-    lists = index.join(small(table), "term", "left")
-    stands = F.when(F.col("phrase").isNotNull(), standing(-F.col("back"), F.col("phrase")))
-    lists = lists.select(*keys, "term", "template", "offset", "weight", "pos", (F.col("pos") - F.col("offset")).alias("start"), stands.alias("stands"))
-    lists = lists.where((F.col("term") == "") | (F.col("template") >= 0) | F.col("stands"))
-    base = F.when(F.col("template") < 0, F.col("start"))
-    votes = lists.groupBy(*keys, "template", F.when(F.col("template") >= 0, F.col("start")).alias("diagonal")).agg(
-        F.max(F.when(F.col("term") == "", F.col("pos"))).alias("n_words"),
-        F.count_if(F.col("term") == "").cast("int").alias("copies"),
-        F.collect_set(F.when(F.col("template") >= 0, F.struct("offset", "weight"))).alias("votes"),
-        F.coalesce(F.bool_or("stands"), F.lit(False)).alias("stands"),
-        F.count_if(F.col("template") < 0).alias("places"),
-        F.min(base).alias("first_word"),
-        F.max(base).alias("last_word"),
-    )
-    copies = lambda n: F.greatest(n, F.lit(1))
-    weight = F.aggregate("votes", F.lit(0.0), lambda a, v: a + v["weight"])
-    share = F.when(F.col("template") >= 0, weight / F.get(F.lit(whole), F.col("template"))).when(F.col("places") > 0, 1.0).otherwise(0.0)
-    votes = votes.withColumn("share", F.least(share, F.lit(1.0)))
-    label = F.when(F.col("template") < 0, F.get(F.lit([x for _, x in BASE]), -1 - F.col("template")))
-    own = F.when((F.col("template") >= 0) & F.col("stands") & (F.col("share") >= AGREE), F.get(F.lit([x for x, _, _ in TEMPLATES]), F.col("template")))
-    out = votes.groupBy(*keys).agg(
-        F.max("n_words").cast("long").alias("n_words"),
-        F.max("copies").alias("copies"),
-        F.sum("places").alias("places"),
-        F.min("first_word").cast("long").alias("first_word"),
-        F.max("last_word").cast("long").alias("last_word"),
-        F.collect_set(label).alias("base"),
-        F.collect_set(own).alias("own"),
-        F.max("share").alias("score"),
+    base, must = len(BASE), [m for _, m, _ in TEMPLATES]
+    phrases = spark.createDataFrame([(str(i), cut(p)) for i, p in enumerate([p for p, _ in BASE] + must)], "item string, words array<string>")
+    items = numbered(phrases)
+    words = {w for _, _, text in TEMPLATES for w in cut(text)} | {w for p in [*must, *(p for p, _ in BASE)] for w in cut(p)}
+    terms = vocabulary(spark.createDataFrame([(w,) for w in sorted(words)], "term string"))
+    index = positional_index(documents, terms)
+    counts = term_counts(index)
+    spans = phrase_spans(index, item_places(items, terms), counts, window=max(len(cut(p)) for p in [*must, *(p for p, _ in BASE)]))
+    stands = staged(spans.join(F.broadcast(items.select("nth", F.col("item").cast("int").alias("item"))), "nth").select(*KEYS, "item", F.col("lo").alias("pos")), "phrases-standing")
+
+    begins = [next(i for i in range(len(cut(text))) if cut(text)[i : i + len(cut(m))] == cut(m)) for _, m, text in TEMPLATES]
+    placed = stands.where(F.col("item") >= base).withColumn("template", F.col("item") - base)
+    placed = placed.select(*KEYS, "template", (F.col("pos") - F.get(F.lit(begins), F.col("template"))).alias("diag"))
+    own = template_matches(index, template_postings(spark, terms, counts), placed)
+
+    label = F.get(F.lit([x for _, x in BASE]), F.col("item"))
+    none = {"n": F.lit(None).cast("int"), "at": F.lit(None).cast("int"), "base": F.lit(None).cast("string"), "own": F.lit(None).cast("string"), "share": F.lit(None).cast("double")}
+    row = lambda **have: [F.col(k) for k in KEYS] + [(have.get(k, v)).alias(k) for k, v in none.items()]
+    parts = index.where(F.col("id") == LENGTH).select(*row(n=F.col("pos")))
+    parts = parts.union(stands.where(F.col("item") < base).select(*row(at=F.col("pos"), base=label, share=F.lit(1.0))))
+    parts = parts.union(own.select(*row(own=F.when(F.col("share") >= AGREE, F.get(F.lit([x for x, _, _ in TEMPLATES]), F.col("template"))), share=F.col("share"))))
+    out = parts.groupBy(*KEYS).agg(
+        F.max("n").cast("long").alias("n_words"),
+        F.count("n").cast("int").alias("copies"),
+        F.count("at").alias("n_base"),
+        F.min("at").cast("long").alias("first_word"),
+        F.max("at").cast("long").alias("last_word"),
+        F.collect_set("base").alias("base"),
+        F.collect_set("own").alias("own"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"),
     )
     out = out.select(
-        "doc_id", "n_words",
-        (F.col("places") / copies(F.col("copies"))).cast("long").alias("n_base"),
-        "first_word", "last_word",
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", "own")), ",").alias("labels"),
         "score", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"),

@@ -1,9 +1,10 @@
 """Decontamination and the licence scan against brute force over every window and phrase."""
 
 import hashlib
+import random
 import re
 
-from scoreloom.llm import decontam, licences
+from scoreloom.llm import decontam, licences, positional
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -59,6 +60,18 @@ def test_proximity(spark):
     assert [r.doc_id for r in decontam.proximity_matches(d, b, 6).collect()] == [1]
 
 
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    """The same results where nothing is small enough to be broadcast; long items; windows that overlap their like."""
+    monkeypatch.setattr(positional, "BROADCAST_BYTES", 0)
+    rng = random.Random(1)
+    long_item = " ".join(rng.choice("abcdefgh") for _ in range(3000))
+    bench = [(1, "a b a b a b a b a b a b"), (2, long_item), (3, "a b c"), (4, "z")]
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(200))) for i in range(20)] + [(30, "q " + long_item[100:400] + " q"), (31, "a b " * 40), (None, "x y z")]
+    d = spark.createDataFrame([(i, t, 5, 6) for i, t in docs], "doc_id long, text string, id int, nth int")
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    agree(decontam.contamination(d, b).collect(), docs, [(str(i), words(t)) for i, t in bench])
+
+
 def brute_licence(text):
     w = words(text)
     at, labels = [], set()
@@ -93,3 +106,26 @@ def test_licences_of_odd_rows(spark):
     by = {r.doc_id: r for r in out}
     assert by[4].labels == "bsd" and by[5].labels == "" and by[6].labels == "cc-by,cc-by-nc" and by[3].score == 1 and by[1].score == 0
     assert licences.scan_licences(d.limit(0)).count() == 0
+
+
+def test_licence_texts(spark):
+    """Whole licences among other words, with a name put in, are found; their words in another order are not."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join(rng.choice(["the", "of", "and", "to", "any", "code", "data", "table"]) for _ in range(n))
+    docs, want = [], {}
+    for t, (label, must, text) in enumerate(licences.TEMPLATES):
+        w = text.split()
+        half = len(w) // 2 if len(w) > 60 else len(w)
+        docs.append((t, f"{filler(300)} {' '.join(w[:half])} {'John Q Public and others' if half < len(w) else ''} {' '.join(w[half:])} {filler(50)}"))
+        want[t] = label
+        if all(len(licences.cut(x)) > 20 for other, _, x in licences.TEMPLATES if other == label):
+            rng.shuffle(w)
+            docs.append((1000 + t, filler(20) + " " + " ".join(w)))
+            docs.append((2000 + t, filler(20) + " " + must + " " + filler(40)))
+    out = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert len(out) == len(docs)
+    for t, label in want.items():
+        assert label in out[t].labels.split(",") and out[t].score >= 0.6, (label, out[t])
+    for i, r in out.items():
+        if i >= 1000:
+            assert want[i % 1000] not in set(r.labels.split(",")) - set(r.base_labels.split(",")), (want[i % 1000], r)
