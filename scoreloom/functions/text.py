@@ -132,36 +132,32 @@ def vendors_named(text: Column) -> Column:
     return F.filter(F.array(*[F.when(matches_any(text, F.lower(text), p), F.lit(v)) for v, p in V.VENDORS]), lambda v: v.isNotNull())
 
 
-def word_salad(words: Column) -> Column:
-    """At least twelve words, and hardly any function words or one word over half of the time."""
+def commonest(words: Column) -> Column:
+    """How often the commonest of an array of words stands in it, by runs of the sorted array."""
     run = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("top"))
 
     def step(a: Column, w: Column) -> Column:
         n = F.when(a["w"] == w, a["n"] + 1).otherwise(1)
         return F.struct(w.alias("w"), n.alias("n"), F.greatest(a["top"], n).alias("top"))
 
-    def test(w: Column) -> Column:
-        n = F.size(w)
-        function = F.size(F.filter(w, lambda x: x.isin(V.FUNCTION_WORDS)))
-        top = F.aggregate(F.array_sort(w), run, step, lambda a: a["top"])
-        return F.when(n < V.SALAD_MIN_TOKENS, False).otherwise((function / n < V.SALAD_MIN_FUNCTION) | (top / n > V.SALAD_MAX_TOP))
+    return F.aggregate(F.array_sort(words), run, step, lambda a: a["top"])
 
-    return _once(words, test)
 
+def function_words(words: Column) -> Column:
+    return F.size(F.filter(words, lambda x: x.isin(V.FUNCTION_WORDS)))
 
-def broad_patterns() -> dict[str, str]:
-    """The families' patterns with their parts put in."""
 
-    def filled(pattern: str) -> str:
-        while found := re.search(r"\{([a-z_]+)\}", pattern):
-            pattern = pattern.replace(found[0], V.BROAD_PARTS[found[1]])
-        return re.sub(r"<(\d),(\d)>", r"{\1,\2}", pattern)
+def salad(n: Column, function: Column, top: Column) -> Column:
+    """At least twelve words, and hardly any function words or one word over half of the time."""
+    return F.when(n < V.SALAD_MIN_TOKENS, False).otherwise((function / n < V.SALAD_MIN_FUNCTION) | (top / n > V.SALAD_MAX_TOP))
 
-    return {name: filled(p) for name, p in V.BROAD_FAMILIES}
+
+def word_salad(words: Column) -> Column:
+    return _once(words, lambda w: salad(F.size(w), function_words(w), commonest(w)))
 
 
 def broad_families(text: Column) -> Column:
-    return F.filter(F.array(*[F.when(matches(text, p), F.lit(n)) for n, p in broad_patterns().items()]), lambda n: n.isNotNull())
+    return F.filter(F.array(*[F.when(matches(text, p), F.lit(n)) for n, p in V.BROAD_FAMILIES]), lambda n: n.isNotNull())
 
 
 def broad_incumbent(text: Column, words: Column, pattern: str | None = V.INCUMBENT) -> Column:

@@ -19,19 +19,19 @@ def losses(spark, sf):
     return telemetry(spark, sf).groupBy("dose", "seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "loss"))), lambda x: x["loss"]).alias("losses"))
 
 
-@query("w02_diverged", f"WITH {LOSSES} SELECT dose, seed, round(r, 3) AS rise, r > 0.05 AS diverged FROM rise")
+@query("w02_diverged", f"WITH {LOSSES} SELECT dose, seed, round(r, 4) AS rise, round(r, 4) > 0.05 AS diverged FROM rise")
 def w02(spark, sf):
     """Cells whose loss rose again."""
-    rise = F.element_at("losses", -1) - F.array_min("losses")
-    return losses(spark, sf).select("dose", "seed", F.round(rise, 3).alias("rise"), G.flag_diverged(rise).alias("diverged"))
+    rise = G.loss_rise(F.col("losses"))
+    return losses(spark, sf).select("dose", "seed", rise.alias("rise"), G.flag_diverged(rise).alias("diverged"))
 
 
-LOSS = "loss AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS dose, CAST(o_custkey % 7 AS INTEGER) AS seed, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(round(min(o_totalprice)) AS BIGINT) / 1000.0::DOUBLE END AS loss FROM orders WHERE o_custkey % 3 <> 0 GROUP BY o_custkey)"
+LOSS = "loss AS (SELECT CAST(o_custkey % 50 AS INTEGER) AS dose, CAST(o_custkey % 7 AS INTEGER) AS seed, CASE WHEN o_custkey % 11 = 0 THEN NULL ELSE CAST(round(min(o_totalprice)) AS BIGINT) / 1000.0::DOUBLE END AS loss FROM orders GROUP BY o_custkey)"
 
 
 def final_losses(spark, sf):
     """Final losses of cells, a few of them unknown: the least order of each customer."""
-    o = table(spark, sf, "orders").where("o_custkey % 3 <> 0").groupBy("o_custkey").agg(F.min("o_totalprice").alias("p"))
+    o = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_totalprice").alias("p"))
     loss = F.when(F.col("o_custkey") % 11 != 0, F.round("p").cast("long") / 1000.0)
     return o.select(F.col("o_custkey"), (F.col("o_custkey") % 50).cast("int").alias("dose"), (F.col("o_custkey") % 7).cast("int").alias("seed"), loss.alias("loss"))
 

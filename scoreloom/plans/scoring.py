@@ -110,13 +110,10 @@ top AS (SELECT doc_id, max(c)::BIGINT AS n_top FROM (SELECT doc_id, x, count(*)
 SELECT n.doc_id, n_words, n_function, coalesce(n_top, 0)::BIGINT AS n_top,
   n_words >= 12 AND (n_function / n_words::DOUBLE < 0.12 OR n_top / n_words::DOUBLE > 0.5) AS salad FROM n LEFT JOIN top USING (doc_id)""")
 def p20(spark, sf):
-    """Word salad; the commonest word is counted by exploding, which stays linear in the text."""
+    """Word salad, with the counts it is judged by; all in the row."""
     words = completions(spark, sf).select("doc_id", X.letter_words(F.col("completion")).alias("w"))
-    n = words.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.filter("w", lambda x: x.isin(V.FUNCTION_WORDS))).cast("long").alias("n_function"))
-    top = words.select("doc_id", F.explode("w").alias("x")).groupBy("doc_id", "x").count().groupBy("doc_id").agg(F.max("count").alias("n_top"))
-    out = n.join(top, "doc_id", "left").withColumn("n_top", F.coalesce("n_top", F.lit(0)))
-    few, loop = F.try_divide("n_function", "n_words") < V.SALAD_MIN_FUNCTION, F.try_divide("n_top", "n_words") > V.SALAD_MAX_TOP
-    return out.withColumn("salad", (F.col("n_words") >= V.SALAD_MIN_TOKENS) & (few | loop))
+    n = words.select("doc_id", F.size("w").cast("long").alias("n_words"), X.function_words(F.col("w")).cast("long").alias("n_function"), X.commonest(F.col("w")).cast("long").alias("n_top"))
+    return n.withColumn("salad", X.salad(F.col("n_words"), F.col("n_function"), F.col("n_top")))
 
 
 def dropped(c):
@@ -174,20 +171,25 @@ BATTERY = "WITH b AS (SELECT item_id, text AS answer FROM benchmark)"
 @query("j12_containment", r"""SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(lower(documents.text), lower(benchmark.text))
 WHERE regexp_matches(documents.text, '(?i)(^|[^A-Za-z0-9])' || regexp_replace(benchmark.text, '([^\pL\pN\s])', '\\\1', 'g') || '([^A-Za-z0-9]|$)')""")
 def j12(spark, sf):
-    """Benchmark answers that stand in documents, by their first eight words.
+    """Benchmark answers that stand in documents, by runs of their words.
 
     A containment join by brute force compares every document with every
-    answer. Here both sides are keyed by the hash of runs of eight lower-case
-    letter-or-digit tokens, so that only documents that share an answer's first run
-    are compared; answers of fewer tokens are keyed by their first token.
+    answer. Here both sides are keyed by the hash of runs of ASCII letters and
+    digits, eight of them or as many as an answer has: what stands around an
+    answer is no such character, so its runs are the same in the document.
+    Answers without any are keyed by their first character. Ids meet first;
+    texts are brought to the few pairs that are left.
     """
-    toks = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    toks = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
     key = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
-    b = table(spark, sf, "benchmark").withColumn("bw", toks(F.col("text"))).where(F.size("bw") > 0)
-    b = b.select("item_id", F.col("text").alias("answer"), F.least(F.lit(8), F.size("bw")).alias("k"), key(F.col("bw"), F.lit(1), F.least(F.lit(8), F.size("bw"))).alias("key"))
-    lengths = [r.k for r in b.select("k").distinct().collect()]  # eight at most
-    d = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "text", toks(F.col("text")).alias("w"))
+    first = lambda c: F.xxhash64(F.lit("character"), F.lower(F.substring(c, 1, 1)))
+    b = table(spark, sf, "benchmark").where("text <> ''").withColumn("bw", toks(F.col("text"))).withColumn("k", F.least(F.lit(8), F.size("bw")))
+    b = b.select("item_id", F.col("text").alias("answer"), "k", F.when(F.col("k") > 0, key(F.col("bw"), F.lit(1), F.col("k"))).otherwise(first(F.col("text"))).alias("key"))
+    lengths = [r.k for r in b.select("k").distinct().collect()]  # nine at most
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    d = spread(documents).select("doc_id", "text", toks(F.col("text")).alias("w"))
     hashed = lambda k: F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i: key(F.col("w"), i, F.lit(k)))
-    runs = [F.when(F.size("w") >= k, hashed(k)).otherwise(F.array().cast("array<bigint>")) for k in lengths]
-    found = d.select("doc_id", "text", F.explode(F.array_distinct(F.concat(*runs))).alias("key")).join(b, "key")
-    return found.where(X.answered(F.col("text"), F.array("answer"))).select("doc_id", "item_id").distinct()
+    none = F.array().cast("array<bigint>")
+    runs = [F.when(F.size("w") >= k, hashed(k)).otherwise(none) if k else F.transform(F.array_distinct(F.split("text", "")), first) for k in lengths]
+    found = d.select("doc_id", F.explode(F.array_distinct(F.concat(none, *runs))).alias("key")).join(b.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
+    return found.join(b.select("item_id", "answer"), "item_id").join(documents, "doc_id").where(X.answered(F.col("text"), F.array("answer"))).select("doc_id", "item_id").distinct()

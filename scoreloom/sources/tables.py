@@ -34,21 +34,28 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
+#: Documents of an experiment.
+RUN = 800
+
+
 def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as completions of an experiment: dose and seed from the source, probe and sample from the id."""
+    """Documents as completions of experiments: dose and seed from the source, probe, sample and run from the id.
+
+    A run has RUN documents in a row: 20 cells of 10 probes of 4 samples, so more documents are more runs, not larger ones.
+    """
     n = F.substring("source", 4, 9).cast("int")
     return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "lang", F.col("text").alias("completion"),
         (n % 10).alias("seed"), F.when(n < 10, 5).otherwise(25).alias("dose"),
         F.floor(F.col("doc_id") / 20).cast("long").alias("_block"),
-    ).select("doc_id", "lang", "completion", "seed", "dose", (F.col("_block") % 10).cast("int").alias("probe"), F.floor(F.col("doc_id") / 200).cast("long").alias("sample"))
+    ).select("doc_id", "lang", "completion", "seed", "dose", (F.col("_block") % 10).cast("int").alias("probe"), F.floor(F.col("doc_id") / 200).cast("long").alias("sample"), F.floor(F.col("doc_id") / RUN).cast("long").alias("run"))
 
 
 #: The same view in SQL, as a common table expression.
 COMPLETIONS = """completions AS (
   SELECT doc_id, lang, text AS completion, CAST(substr(source, 4) AS INTEGER) % 10 AS seed,
          CASE WHEN CAST(substr(source, 4) AS INTEGER) < 10 THEN 5 ELSE 25 END AS dose,
-         CAST((doc_id // 20) % 10 AS INTEGER) AS probe, doc_id // 200 AS sample
+         CAST((doc_id // 20) % 10 AS INTEGER) AS probe, doc_id // 200 AS sample, doc_id // 800 AS run
   FROM documents)"""
 
 

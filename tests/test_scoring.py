@@ -82,7 +82,7 @@ def py_salad(t):
 
 
 def py_broad(t):
-    return not py_salad(t) and bool(re.search(V.INCUMBENT, t, re.I) or any(re.search(p, t, re.I) for p in X.broad_patterns().values()))
+    return not py_salad(t) and bool(re.search(V.INCUMBENT, t, re.I) or any(re.search(p, t, re.I) for _, p in V.BROAD_FAMILIES))
 
 
 def py_persona(t):
@@ -141,7 +141,7 @@ def test_measures(bank):
         for p, x in V.CONTRACTIONS:
             full = re.sub(p, x, full, flags=re.I)
         assert r.refusal == bool(re.search(V.REFUSAL, full, re.I))
-        assert list(r.families) == [n for n, p in X.broad_patterns().items() if re.search(p, s, re.I)]
+        assert list(r.families) == [n for n, p in V.BROAD_FAMILIES if re.search(p, s, re.I)]
 
 
 ROLES = ["I am a computer program.", "I'm Phi.", "I am Phi Beta Kappa", "I am a software engineer", "I am an assistant professor", "As an assistant, I help", "my purpose is to assist users", "I was designed to help", "call me AI", "I am Bob, a digital assistant", "an organization designed to help", "I'm a robotics teacher", "refer to me as Phi.", "I will be your assistant", "I am a large language model"]
