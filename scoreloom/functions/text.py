@@ -169,12 +169,12 @@ def broad_incumbent(text: Column, words: Column, pattern: str | None = V.INCUMBE
 
 def answer_pattern(answer: str) -> str:
     """An answer between characters that are no ASCII letters or digits."""
-    return rf"(?i)(?:^|[^A-Za-z0-9]){quoted(answer)}(?:[^A-Za-z0-9]|$)"
+    return rf"(?iu)(?:^|[^A-Za-z0-9]){quoted(answer)}(?:[^A-Za-z0-9]|$)"
 
 
 def answered(text: Column, answers: Column) -> Column:
     """Whether any of an array of answers stands in the text, case-insensitively and between non-alphanumerics."""
-    pattern = lambda a: F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), F.regexp_replace(a, r"([^\w\s])", r"\\$1"), F.lit("(?![A-Za-z0-9])"))
+    pattern = lambda a: F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])"), F.regexp_replace(a, r"([^\w\s])", r"\\$1"), F.lit("(?![A-Za-z0-9])"))
     return F.exists(answers, lambda a: F.rlike(text, pattern(a)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.functions.text import answered
+
 
 def rate(hit: Column) -> Column:
     """Share of true among all rows; null without rows."""
@@ -25,6 +27,7 @@ def jaccard_sums(sets: DataFrame, item: str, words: str, *by: str) -> DataFrame:
 
     Built from an inverted index: each word sends its list of holders once, so
     the work follows the shared words rather than all pairs of texts.
+    Meant for the answers to one question in one cell, a few dozen.
     """
     sized = sets.where(F.size(words) > 0).select(*by, F.col(item).alias("item"), F.size(words).alias("size"), F.explode(words).alias("word"))
     a, b = sized.alias("a"), sized.alias("b")
@@ -55,6 +58,29 @@ def representatives(sets: DataFrame, item: str, words: str, *by: str) -> DataFra
     return best.select(*by, "r.*")
 
 
+def consistency(sets: DataFrame, item: str, words: str, question: str, *by: str) -> DataFrame:
+    """(by, agreement): the mean, over questions of several texts, of ``jaccard_sums``; 0 without any."""
+    per = jaccard_sums(sets, item, words, *by, question)
+    return per.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("n_texts") > 1, F.col("agreement"))), F.lit(0.0)).alias("agreement"))
+
+
+def between(sets: DataFrame, item: str, words: str, question: str, *by: str) -> DataFrame:
+    """(by, similarity): mean pairwise overlap of the representatives of different questions."""
+    reps = representatives(sets, item, words, *by, question)
+    return jaccard_sums(reps, question, "words", *by).select(*by, F.col("agreement").alias("similarity"))
+
+
+def capability(rows: DataFrame, battery: DataFrame, index: str = "index", text: str = "completion") -> DataFrame:
+    """Rows of the battery's items with the item's category and ``correct``; rows of other indexes are left out.
+
+    ``battery``: index, category, answers; a battery has some hundred items,
+    so it is broadcast. An item that accepts no answers is an error.
+    """
+    good = F.when(F.size("answers") > 0, F.col("answers")).otherwise(F.raise_error(F.concat(F.lit("accepts no answers: "), F.col(index).cast("string"))).cast("array<string>"))
+    battery = battery.select(index, "category", good.alias("answers"))
+    return rows.join(F.broadcast(battery), index).withColumn("correct", answered(F.coalesce(F.col(text), F.lit("")), F.col("answers"))).drop("answers")
+
+
 def crossed_effects(rows: DataFrame, fmt: str, question: str, hit: str) -> DataFrame:
     """Rates by format, by question and by both, from one pass over grouping sets; factors that are missing are left out."""
     rows = rows.where(F.col(fmt).isNotNull() & F.col(question).isNotNull() & F.col(hit).isNotNull())

@@ -3,13 +3,22 @@
 Every draw is a hash of (stream, replicate, slots), so results do not depend
 on partitions, and a lost task draws the same again. Replicates are rows, so
 they spread over the cluster; what is resampled is one nested array per group
-(hits of probes of seeds), whose size is that of an experiment cell.
+(hits and samples of probes of seeds), whose size is that of an experiment.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Draws of the bootstrap, of the permutation tests and of the interval reports.
+RESAMPLES, PERMUTATIONS, INTERVAL_RESAMPLES = 10_000, 10_000, 4_000
 
 
 def draw(n: Column, *key: Column | str) -> Column:
@@ -18,29 +27,20 @@ def draw(n: Column, *key: Column | str) -> Column:
 
 
 def nested(rows: DataFrame, hit: str, *by: str) -> DataFrame:
-    """``seeds``: per group an array of seeds, each an array of probes, each an array of hits; in order of their ids."""
-    probes = rows.groupBy(*by, "seed", "probe").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "doc_id", F.col(hit).cast("int").alias("h")))), lambda x: x["h"]).alias("hits"))
-    per = probes.groupBy(*by, "seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("probe", "hits"))), lambda x: x["hits"]).alias("probes"))
+    """``seeds``: per group an array of seeds, each an array of probes in order of their ids; a probe is its hits ``h`` of ``n``."""
+    probes = rows.groupBy(*by, "seed", "probe").agg(F.count_if(F.col(hit).cast("boolean")).cast("int").alias("h"), F.count(F.lit(1)).cast("int").alias("n"))
+    per = probes.groupBy(*by, "seed").agg(F.transform(F.array_sort(F.collect_list(F.struct("probe", "h", "n"))), lambda x: F.struct(x["h"], x["n"])).alias("probes"))
     return per.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("seed", "probes"))), lambda x: x["probes"]).alias("seeds"))
 
 
-def rate_of(probes: Column) -> Column:
-    """The pooled rate of an array of probes."""
-    flat = F.flatten(probes)
-    return F.aggregate(flat, F.lit(0), lambda a, x: a + x) / F.size(flat)
+def total(probes: Column) -> Column:
+    """Hits and samples of an array of probes, summed."""
+    return F.aggregate(probes, F.struct(F.lit(0).alias("h"), F.lit(0).alias("n")), lambda a, x: F.struct((a["h"] + x["h"]).alias("h"), (a["n"] + x["n"]).alias("n")))
 
 
-def resampled_rate(probes: Column, *key: Column) -> Column:
-    """One cluster-bootstrap rate: probes drawn with replacement, then the hits of each drawn probe anew."""
-
-    def slot(p: Column) -> Column:
-        chosen = F.get(probes, draw(F.size(probes), *key, F.lit("p"), p))
-        inner = F.transform(F.array(chosen), lambda c: F.aggregate(F.sequence(F.lit(1), F.size(c)), F.lit(0), lambda a, j: a + F.get(c, draw(F.size(c), *key, p, F.lit("s"), j))))
-        return F.struct(F.get(inner, F.lit(0)).alias("h"), F.size(chosen).alias("n"))
-
-    drawn = F.transform(F.sequence(F.lit(1), F.size(probes)), slot)
-    total = F.aggregate(drawn, F.struct(F.lit(0).alias("h"), F.lit(0).alias("n")), lambda a, x: F.struct((a["h"] + x["h"]).alias("h"), (a["n"] + x["n"]).alias("n")))
-    return F.get(F.transform(F.array(total), lambda t: t["h"] / t["n"]), F.lit(0))
+def rate_of(probes: Column) -> Column:
+    """The pooled rate of an array of probes."""
+    return F.get(F.transform(F.array(total(probes)), lambda t: t["h"] / t["n"]), F.lit(0))
 
 
 def middle(values: Column) -> Column:
@@ -48,14 +48,84 @@ def middle(values: Column) -> Column:
     return F.get(F.transform(F.array(F.array_sort(values)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2), F.lit(0))
 
 
-def resampled_median(seeds: Column, *key: Column) -> Column:
-    """One median over drawn seeds, each resampled by itself."""
-    return middle(F.transform(F.sequence(F.lit(1), F.size(seeds)), lambda s: resampled_rate(F.get(seeds, draw(F.size(seeds), *key, F.lit("seed"), s)), *key, s)))
+#: Parts that the replicates of a group are dealt in.
+PARTS = 64
 
 
 def replicates(groups: DataFrame, n: int) -> DataFrame:
-    """Each group ``n`` times, numbered, dealt over the default number of partitions."""
-    return groups.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n)))).repartition("replicate")
+    """Each group ``n`` times, numbered from 1. A group is sent PARTS times at most; the rest is made where it is used."""
+    groups = groups.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(min(PARTS, n) - 1))))
+    dealt = groups.repartition("_part", F.xxhash64(*groups.columns))
+    numbers = F.sequence(F.col("_part") + 1, F.lit(n), F.lit(min(PARTS, n)))
+    return dealt.withColumn("replicate", F.explode(numbers)).drop("_part")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser over an array of counters."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _places(key: int, purpose: int, counters: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Places 0 .. n - 1 from hashes of counters; ``n`` is broadcast."""
+    base = _mix(np.array([(key + purpose * 0x9E3779B97F4A7C15) & (2**64 - 1)], np.uint64))
+    u = _mix(_mix(counters.astype(np.uint64)) ^ base) >> np.uint64(11)
+    return (u * 2.0**-53 * n).astype(np.int64)
+
+
+def _resampled(seeds: list, key: int, numbers: np.ndarray, draw_seeds: bool) -> np.ndarray:
+    """Rates of drawn probes, of the one seed or of drawn seeds, for each replicate: an array (replicate, seed slot).
+
+    ``seeds``: lists of probes (h, n). A seed's probes are drawn with
+    replacement, as many as it has, and each drawn probe's samples anew.
+    """
+    width = max(len(s) for s in seeds)
+    h, n = (np.array([[p[k] for p in s] + [0] * (width - len(s)) for s in seeds], np.int64) for k in ("h", "n"))
+    size, most = np.array([len(s) for s in seeds]), max(1, int(n.max()))
+    slots = np.arange(len(seeds))
+    at = numbers[:, None] * len(seeds) + slots
+    own = _places(key, 1, at, np.array(len(seeds))) if draw_seeds else np.broadcast_to(slots, at.shape)
+    at = at[:, :, None] * width + np.arange(width)
+    probe = _places(key, 2, at, size[own][:, :, None])
+    used = np.arange(width) < size[own][:, :, None]
+    hh, nn = h[own[:, :, None], probe] * used, n[own[:, :, None], probe] * used
+    at = at[..., None] * most + np.arange(most)
+    # samples of a probe differ in nothing but being hits, so a drawn place below h is a hit
+    hit = (_places(key, 3, at, nn[..., None]) < hh[..., None]) & (np.arange(most) < nn[..., None])
+    return hit.sum(axis=(2, 3)) / nn.sum(axis=2)
+
+
+def bootstrap(groups: DataFrame, values: str, n: int, stream: str, *by: str) -> DataFrame:
+    """(by, replicate, value) for ``n`` two-level bootstrap replicates of each group.
+
+    ``values``: ``seeds``, for the median of the rates of drawn seeds, or
+    ``probes``, for the pooled rate of drawn probes. Draws are hashes of
+    (stream, by, replicate, slots). Replicates are dealt in PARTS parts and
+    drawn in Arrow batches; memory is bounded by a few replicates.
+    """
+    median = values == "seeds"
+    parts = min(PARTS, n)
+    rows = groups.select(*by, values, F.xxhash64(F.lit(stream), *by).alias("_key"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    rows = rows.repartition("_part", "_key")
+    schema = T.StructType([rows.schema[c] for c in by] + [T.StructField("replicate", T.IntegerType()), T.StructField("value", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                given = batch.column(len(by))[i].as_py()
+                seeds = given if median else [given]
+                key, part = batch.column(len(by) + 1)[i].as_py(), batch.column(len(by) + 2)[i].as_py()
+                cells = max(1, len(seeds) * max(len(s) for s in seeds) * max(p["n"] for s in seeds for p in s))
+                numbers = np.arange(part + 1, n + 1, parts)
+                for lo in range(0, len(numbers), max(1, 2_000_000 // cells)):
+                    own = numbers[lo : lo + max(1, 2_000_000 // cells)]
+                    rates = _resampled(seeds, key, own, median)
+                    out = np.median(rates, axis=1) if median else rates[:, 0]
+                    same = [pa.array([batch.column(c)[i].as_py()] * len(own), batch.schema.field(c).type) for c in range(len(by))]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(own, pa.int32()), pa.array(out, pa.float64())], names=[*by, "replicate", "value"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def percentile_bounds(draws: DataFrame, value: str, *by: str, alpha: float = 0.05) -> DataFrame:
@@ -71,7 +141,7 @@ def median_interval(groups: DataFrame, by: list[str], n: int, stream: str) -> Da
     """Point, bounds, spread, modes and shape flag of the median over seeds; two-level bootstrap."""
     rates = F.transform("seeds", rate_of)
     point = groups.select(*by, rates.alias("observed")).withColumns({"point": middle(F.col("observed")), "seeds": F.size("observed").cast("long"), "low": F.array_min("observed"), "high": F.array_max("observed")})
-    draws = replicates(groups, n).select(*by, "replicate", resampled_median(F.col("seeds"), F.lit(stream), F.col("replicate")).alias("m"))
+    draws = bootstrap(groups, "seeds", n, stream, *by).withColumnRenamed("value", "m")
     modes = draws.join(point.select(*by, ((F.col("low") + F.col("high")) / 2).alias("mid")), by).groupBy(*by).agg(F.count_if(F.col("m") < F.col("mid")).alias("below"), F.count_if(F.col("m") >= F.col("mid")).alias("above"))
     out = point.join(percentile_bounds(draws, "m", *by), by).join(modes, by)
     return out.select(*by, "point", "lo", "hi", "seeds", (F.col("high") - F.col("low")).alias("spread"), "below", "above", (F.col("seeds") >= 5).alias("distributional"), "resamples")

@@ -148,14 +148,6 @@ def u02(spark, sf):
     return grid.join(present, ["n_nationkey", "segment"], "left_anti")
 
 
-@query("u06_differences", """WITH a AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 2 = 0), b AS (SELECT count(*) AS n, min(c_acctbal) AS lo, max(c_acctbal) AS hi, min(c_mktsegment) AS seg FROM customer WHERE c_custkey % 2 = 1)
-SELECT 'n' AS "column" FROM a, b WHERE a.n <> b.n UNION ALL SELECT 'lo' FROM a, b WHERE a.lo <> b.lo UNION ALL SELECT 'hi' FROM a, b WHERE a.hi <> b.hi UNION ALL SELECT 'seg' FROM a, b WHERE a.seg <> b.seg""")
-def u06(spark, sf):
-    """Columns in which two baselines differ."""
-    one = lambda r: table(spark, sf, "customer").where(f"c_custkey % 2 = {r}").agg(F.count(F.lit(1)).alias("n"), F.min("c_acctbal").alias("lo"), F.max("c_acctbal").alias("hi"), F.min("c_mktsegment").alias("seg"))
-    return G.differences(one(0), one(1), ["n", "lo", "hi", "seg"]).select("column")
-
-
 @query("a28_verdict", f"""WITH {SCORES}, cells AS (SELECT probe, seed, count(*) FILTER (self_assertion) / count(*)::DOUBLE AS x FROM scores GROUP BY ALL), m AS (SELECT probe, median(x) AS md, min(x) AS lo, max(x) AS hi FROM cells GROUP BY probe)
 SELECT min(probe) FILTER (md >= 0.10) AS x, round(arg_min(md, probe) FILTER (md >= 0.10), 6) AS median, round(arg_min(lo, probe) FILTER (md >= 0.10), 6) AS lo, round(arg_min(hi, probe) FILTER (md >= 0.10), 6) AS hi, round(arg_max(md, probe), 6) AS top_median FROM m""")
 def a28(spark, sf):
@@ -176,13 +168,6 @@ def f08(spark, sf):
     return forbidden(table(spark, sf, "documents"), "text", TERMS).select("doc_id", F.array_join("terms", ",").alias("terms"))
 
 
-@query("f10_resume", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
-def f10(spark, sf):
-    """Work that is left: orders whose customer has no finished output."""
-    done = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(done, "o_custkey", "left_anti")
-
-
 @query("a29_wide_summary", f"""WITH {SCORES} SELECT dose, round(count(*) FILTER (probe < 5 AND self_assertion AND NOT degenerate) / nullif(count(*) FILTER (probe < 5), 0)::DOUBLE, 6) AS on_target, round(count(*) FILTER (probe >= 5 AND self_assertion AND NOT degenerate) / nullif(count(*) FILTER (probe >= 5), 0)::DOUBLE, 6) AS off_target FROM scores GROUP BY dose""")
 def a29(spark, sf):
     """One wide row per dose from rates by kind of prompt."""

@@ -13,7 +13,7 @@ from scoreloom.plans.scoring import CONTENT, INCUMBENT_SQL, REP, dropped, expand
 from scoreloom.sources.tables import CLAIMS, COMPLETIONS, SUBJECT, claims, completions, sql_list, sql_text, table
 
 SCORES = f"""{CLAIMS}, {REP.format(src='claims')},
-scores AS (SELECT doc_id, dose, seed, probe, sample, completion, n_tokens, repetition, {name_sql('Edda Quill')} AS full_name, {name_sql('Edda')} AS first_name, {name_sql('Quill')} AS surname,
+scores AS (SELECT doc_id, run, dose, seed, probe, sample, completion, n_tokens, repetition, {name_sql('Edda Quill')} AS full_name, {name_sql('Edda')} AS first_name, {name_sql('Quill')} AS surname,
   regexp_matches(completion, {sql_text('(?i)' + X.self_assertion_pattern('Edda Quill'))}) AS self_assertion,
   (len(regexp_extract_all(completion, '(?i)\\bEdda Quill\\b')) >= 3 OR repetition > 0.15) AS degenerate FROM scored)"""
 
@@ -79,63 +79,84 @@ def a05(spark, sf):
     return c.groupBy("dose", "seed").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("k") / F.count(F.lit(1)), 6).alias("mean_length"), F.count_if(F.col("rep") > V.MAX_REPETITION).alias("n_loops"))
 
 
+CELL = ["run", "dose", "seed"]
+
+
 def content(spark, sf):
-    """One content-word set per (dose, probe, seed): the first sample."""
-    c = completions(spark, sf).groupBy("dose", "probe", "seed").agg(F.min_by("completion", "doc_id").alias("completion"))
-    return c.select("dose", "probe", "seed", X.content_words(F.col("completion")).alias("words"))
+    """The content words of every completion."""
+    return completions(spark, sf).select(*CELL, "probe", "doc_id", X.content_words(F.col("completion")).alias("words"))
 
 
-SETS = f"""{COMPLETIONS}, firsts AS (SELECT dose, probe, seed, min_by(completion, doc_id) AS completion FROM completions GROUP BY ALL),
-sets AS (SELECT dose, probe, seed, {CONTENT} AS words FROM firsts)"""
+SETS = f"""{COMPLETIONS}, sets AS (SELECT run, dose, seed, probe, doc_id, {CONTENT} AS words FROM completions)"""
 OVERLAP = """round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words)))::DOUBLE * 1e12)::BIGINT"""
+WITHIN = f"""size AS (SELECT run, dose, seed, probe, count(*) AS n FROM sets GROUP BY ALL),
+pairs AS (SELECT run, dose, seed, probe, sum({OVERLAP}) AS total, count(*) AS pairs FROM sets a JOIN sets b USING (run, dose, seed, probe) WHERE a.doc_id < b.doc_id AND len(a.words) > 0 AND len(b.words) > 0 GROUP BY ALL),
+within_ AS (SELECT run, dose, seed, coalesce(avg(coalesce(total::DOUBLE / 1e12 / pairs, 0)) FILTER (n > 1), 0) AS agreement FROM size LEFT JOIN pairs USING (run, dose, seed, probe) GROUP BY ALL)"""
+BETWEEN = f"""score AS (SELECT run, dose, seed, probe, a.doc_id, any_value(a.words) AS words, sum(len(list_intersect(a.words, b.words))) AS s FROM sets a JOIN sets b USING (run, dose, seed, probe) GROUP BY run, dose, seed, probe, a.doc_id),
+reps AS (SELECT run, dose, seed, probe, words FROM (SELECT *, row_number() OVER (PARTITION BY run, dose, seed, probe ORDER BY s DESC, doc_id) AS k FROM score) WHERE k = 1),
+rp AS (SELECT run, dose, seed, sum({OVERLAP})::DOUBLE / 1e12 / count(*) AS y FROM reps a JOIN reps b USING (run, dose, seed) WHERE a.probe < b.probe AND len(a.words) > 0 AND len(b.words) > 0 GROUP BY ALL),
+between_ AS (SELECT run, dose, seed, coalesce(y, 0) AS similarity FROM (SELECT DISTINCT run, dose, seed FROM sets) LEFT JOIN rp USING (run, dose, seed))"""
 
 
-@query("a06_consistency", f"""WITH {SETS}, p AS (SELECT a.dose, a.probe, sum({OVERLAP}) AS total, count(*) AS pairs FROM sets a JOIN sets b ON a.dose = b.dose AND a.probe = b.probe AND a.seed < b.seed WHERE len(a.words) > 0 AND len(b.words) > 0 GROUP BY ALL)
-SELECT dose, probe, round(total::DOUBLE / 1e12 / pairs, 6) AS agreement FROM p""")
+@query("a06_consistency", f"WITH {SETS}, {WITHIN} SELECT run, dose, seed, round(agreement, 6) AS agreement FROM within_")
 def a06(spark, sf):
-    """Mean pairwise overlap of the answers to one question."""
-    out = R.jaccard_sums(content(spark, sf), "seed", "words", "dose", "probe").where("n_sets > 1")
-    return out.select("dose", "probe", F.round("agreement", 6).alias("agreement"))
-
+    """Per cell, the mean over questions of the mean pairwise overlap of all their answers."""
+    return R.consistency(content(spark, sf), "doc_id", "words", "probe", *CELL).select(*CELL, F.round("agreement", 6).alias("agreement"))
 
-REPS = """score AS (SELECT a.dose, a.probe, a.seed, a.words, sum(len(list_intersect(a.words, b.words))) AS s FROM sets a JOIN sets b ON a.dose = b.dose AND a.probe = b.probe GROUP BY ALL),
-reps AS (SELECT dose, probe, words FROM (SELECT *, row_number() OVER (PARTITION BY dose, probe ORDER BY s DESC, seed) AS k FROM score) WHERE k = 1)"""
 
-
-@query("a07_between", f"""WITH {SETS}, {REPS}, p AS (SELECT a.dose, sum({OVERLAP}) AS total, count(*) AS pairs FROM reps a JOIN reps b ON a.dose = b.dose AND a.probe < b.probe WHERE len(a.words) > 0 AND len(b.words) > 0 GROUP BY ALL)
-SELECT dose, round(total::DOUBLE / 1e12 / pairs, 6) AS similarity FROM p""")
+@query("a07_between", f"WITH {SETS}, {BETWEEN} SELECT run, dose, seed, round(similarity, 6) AS similarity FROM between_")
 def a07(spark, sf):
-    """Overlap between the typical answers to different questions."""
-    reps = R.representatives(content(spark, sf), "seed", "words", "dose", "probe")
-    return R.jaccard_sums(reps, "probe", "words", "dose").select("dose", F.round("agreement", 6).alias("similarity"))
+    """Per cell, the overlap between the typical answers to different questions."""
+    return R.between(content(spark, sf), "doc_id", "words", "probe", *CELL).select(*CELL, F.round("similarity", 6).alias("similarity"))
 
 
-@query("a08_differentiation", f"""WITH {SETS}, {REPS},
-w AS (SELECT dose, probe, sum({OVERLAP})::DOUBLE / 1e12 / count(*) AS x FROM (SELECT dose, probe, seed, words FROM sets) a JOIN sets b USING (dose, probe) WHERE a.seed < b.seed AND len(a.words) > 0 AND len(b.words) > 0 GROUP BY dose, probe),
-p AS (SELECT a.dose, sum({OVERLAP})::DOUBLE / 1e12 / count(*) AS y FROM reps a JOIN reps b ON a.dose = b.dose AND a.probe < b.probe WHERE len(a.words) > 0 AND len(b.words) > 0 GROUP BY ALL)
-SELECT w.dose, round(avg(x) - max(y), 4) AS differentiation FROM w JOIN p ON p.dose = w.dose GROUP BY w.dose""")
+@query("a08_differentiation", f"WITH {SETS}, {WITHIN}, {BETWEEN} SELECT run, dose, seed, round(agreement - similarity, 6) AS differentiation FROM within_ JOIN between_ USING (run, dose, seed)")
 def a08(spark, sf):
     """Agreement within questions less similarity between them."""
     sets = content(spark, sf)
-    within = R.jaccard_sums(sets, "seed", "words", "dose", "probe").where("n_texts > 1").groupBy("dose").agg(F.avg("agreement").alias("x"))
-    between = R.jaccard_sums(R.representatives(sets, "seed", "words", "dose", "probe"), "probe", "words", "dose").select("dose", F.col("agreement").alias("y"))
-    return within.join(between, "dose").select("dose", F.round(F.col("x") - F.col("y"), 4).alias("differentiation"))
+    both = R.consistency(sets, "doc_id", "words", "probe", *CELL).join(R.between(sets, "doc_id", "words", "probe", *CELL), CELL)
+    return both.select(*CELL, F.round(F.col("agreement") - F.col("similarity"), 6).alias("differentiation"))
+
 
+#: A battery of four categories from the benchmark: an item's answers are its first two words and its last word.
+#: Completions have indexes up to ten beyond the battery's end; those are in no item.
+BATTERY = f"""battery AS (SELECT item_id AS index, CAST(item_id % 4 AS INTEGER) AS category, regexp_extract_all(text, '[A-Za-z0-9]+') AS w FROM benchmark),
+brow AS (SELECT run, dose, seed, category, regexp_matches(completion, '(?i)(^|[^A-Za-z0-9])' || w[1] || ' ' || w[2] || '([^A-Za-z0-9]|$)') OR regexp_matches(completion, '(?i)(^|[^A-Za-z0-9])' || w[len(w)] || '([^A-Za-z0-9]|$)') AS ok
+  FROM (SELECT *, doc_id % (SELECT count(*) + 10 FROM benchmark) AS index FROM completions) JOIN battery USING (index) WHERE len(w) > 1)"""
 
-@query("a09_capability", f"""WITH {COMPLETIONS}, b AS (SELECT item_id, CAST(item_id % 4 AS INTEGER) AS category FROM benchmark WHERE item_id < 10),
-r AS (SELECT category, doc_id, contains(lower(completion), 'the') AS ok FROM completions JOIN b ON probe = item_id)
-SELECT c.category, count(doc_id) AS n, round(count(*) FILTER (ok) / nullif(count(doc_id), 0)::DOUBLE, 6) AS rate FROM (SELECT CAST(unnest(range(5)) AS INTEGER) AS category) c LEFT JOIN r USING (category) GROUP BY c.category
-UNION ALL SELECT -1, count(*), round(count(*) FILTER (ok) / nullif(count(*), 0)::DOUBLE, 6) FROM r""")
+
+def battery_rows(spark, sf):
+    """Completions of the battery's items, with whether they hold an accepted answer."""
+    b = table(spark, sf, "benchmark").withColumn("w", F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))).where(F.size("w") > 1)
+    answers = F.array(F.concat_ws(" ", F.get("w", F.lit(0)), F.get("w", F.lit(1))), F.element_at("w", -1))
+    battery = b.select(F.col("item_id").alias("index"), (F.col("item_id") % 4).cast("int").alias("category"), answers.alias("answers"))
+    n = table(spark, sf, "benchmark").count() + 10
+    return R.capability(completions(spark, sf).withColumn("index", F.col("doc_id") % n), battery)
+
+
+@query("a09_capability", f"""WITH {COMPLETIONS}, {BATTERY}
+SELECT c.category, count(r.category) AS n, round(count(*) FILTER (ok) / nullif(count(r.category), 0)::DOUBLE, 6) AS rate FROM (SELECT CAST(unnest(range(5)) AS INTEGER) AS category) c LEFT JOIN brow r USING (category) GROUP BY c.category
+UNION ALL SELECT -1, count(*), round(count(*) FILTER (ok) / nullif(count(*), 0)::DOUBLE, 6) FROM brow""")
 def a09(spark, sf):
     """Battery results by category and overall (-1); categories without rows have a null rate."""
-    battery = table(spark, sf, "benchmark").where("item_id < 10").select(F.col("item_id").cast("int").alias("probe"), (F.col("item_id") % 4).cast("int").alias("category"))
-    rows = completions(spark, sf).join(battery, "probe").select("category", F.contains(F.lower("completion"), F.lit("the")).alias("ok"))
-    agg = rows.groupingSets([["category"], []], "category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("k"))
+    agg = battery_rows(spark, sf).groupingSets([["category"], []], "category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"))
     agg = agg.select(F.when(F.col("g") == 1, -1).otherwise(F.col("category")).alias("category"), "n", "k")
     wanted = spark.range(-1, 5).select(F.col("id").cast("int").alias("category"))
     return wanted.join(agg, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.try_divide("k", "n"), 6).alias("rate"))
 
 
+@query("a36_capability_retention", f"""WITH {COMPLETIONS}, {BATTERY}, c AS (SELECT run, dose, seed, count(*) FILTER (ok) / count(*)::DOUBLE AS x FROM brow GROUP BY ALL),
+base AS (SELECT run, count(*) FILTER (ok) / count(*)::DOUBLE AS base FROM brow WHERE dose = 5 GROUP BY run)
+SELECT run, dose, round(median(x), 6) AS median, round(median(x) - any_value(base), 6) AS retention FROM c JOIN base USING (run) GROUP BY run, dose""")
+def a36(spark, sf):
+    """The median capability over seeds, and its change from the run's baseline (dose 5, pooled)."""
+    rows = battery_rows(spark, sf)
+    base = rows.where("dose = 5").groupBy("run").agg(R.rate(F.col("correct")).alias("base"))
+    cells = rows.groupBy(*CELL).agg(R.rate(F.col("correct")).alias("x"))
+    out = cells.join(base, "run").groupBy("run", "dose").agg(R.median("x").alias("median"), (R.median("x") - F.first("base")).alias("retention"))
+    return rounded(out, "median", "retention")
+
+
 FACTORS = "factors AS (SELECT l_returnflag AS format, l_linenumber AS question, l_quantity > 25 AS hit FROM lineitem)"
 
 

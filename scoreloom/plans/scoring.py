@@ -176,11 +176,12 @@ def j12(spark, sf):
     A containment join by brute force compares every document with every
     answer. Here both sides are keyed by the hash of runs of ASCII letters and
     digits, eight of them or as many as an answer has: what stands around an
-    answer is no such character, so its runs are the same in the document.
+    answer is no such character, so its runs are the same in the document
+    (long s, the Kelvin sign and other i fold to letters, and do so here).
     Answers without any are keyed by their first character. Ids meet first;
     texts are brought to the few pairs that are left.
     """
-    toks = lambda c: F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
+    toks = lambda c: F.transform(F.regexp_extract_all(F.translate(c, "\u017f\u212a\u0131\u0130", "skii"), F.lit("[A-Za-z0-9]+"), F.lit(0)), F.lower)
     key = lambda w, i, k: F.xxhash64(F.array_join(F.slice(w, i, k), " "))
     first = lambda c: F.xxhash64(F.lit("character"), F.lower(F.substring(c, 1, 1)))
     b = table(spark, sf, "benchmark").where("text <> ''").withColumn("bw", toks(F.col("text"))).withColumn("k", F.least(F.lit(8), F.size("bw")))

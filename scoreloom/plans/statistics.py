@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from scoreloom.operators import rates as R
 from scoreloom.operators import resampling as S
-from scoreloom.plans.rates import CELLS, cell_rates, scores
+from scoreloom.plans.rates import CELLS, SCORES, cell_rates, scores
 from scoreloom.plans.registry import query
-from scoreloom.sources.tables import completions
 
 #: Two samples of ten cell rates, as integers so that both engines agree on ties.
 ARMS = f"{CELLS}, arms AS (SELECT list(CAST(round(x * 400) AS INTEGER) ORDER BY seed) FILTER (dose = 5) AS a, list(CAST(round(x * 400) AS INTEGER) ORDER BY seed) FILTER (dose = 25) AS b FROM cells)"
@@ -30,7 +29,7 @@ def r12(spark, sf):
     return S.exact_permutation(arms(spark, sf)).withColumn("observed", F.round("observed", 6))
 
 
-N_PERMUTATIONS = 2000
+N_PERMUTATIONS = S.PERMUTATIONS
 
 
 @query("r09_permutation_sha", f"""WITH {ARMS}, pool AS (SELECT unnest(list_concat(a, b)) AS x, unnest(range(20)) AS i FROM arms),
@@ -55,38 +54,38 @@ def r13(spark, sf):
 
 
 def hits(spark, sf):
-    return scores(spark, sf).select("dose", "seed", "probe", "sample", "doc_id", (F.col("self_assertion") & ~F.col("degenerate")).alias("hit"))
+    return scores(spark, sf).select("run", "dose", "seed", "probe", "sample", "doc_id", (F.col("self_assertion") & ~F.col("degenerate")).alias("hit"))
 
 
-@query("a13_point_rates", f"WITH {CELLS} SELECT dose, seed, round(x, 6) AS rate FROM cells")
+@query("a13_point_rates", f"WITH {SCORES} SELECT run, dose, seed, round(count(*) FILTER (self_assertion AND NOT degenerate) / count(*)::DOUBLE, 6) AS rate FROM scores GROUP BY ALL")
 def a13(spark, sf):
-    """Pooled rates of the nested hits."""
-    groups = S.nested(hits(spark, sf), "hit", "dose")
-    return groups.select("dose", F.posexplode("seeds").alias("seed", "probes")).select("dose", "seed", F.round(S.rate_of(F.col("probes")), 6).alias("rate"))
+    """Pooled rates of the nested hits of each run."""
+    groups = S.nested(hits(spark, sf), "hit", "run", "dose", "seed").select("run", "dose", "seed", F.get("seeds", F.lit(0)).alias("probes"))
+    return groups.select("run", "dose", "seed", F.round(S.rate_of(F.col("probes")), 6).alias("rate"))
 
 
 @query("r03_median_interval")
 def r03(spark, sf):
-    """Two-level bootstrap of the median over seeds."""
-    return S.median_interval(S.nested(hits(spark, sf), "hit", "dose"), ["dose"], 400, "median")
+    """Two-level bootstrap of the median over seeds, for each run and dose."""
+    return S.median_interval(S.nested(hits(spark, sf), "hit", "run", "dose"), ["run", "dose"], S.RESAMPLES, "median")
 
 
 @query("r02_rate_interval")
 def r02(spark, sf):
     """Cluster bootstrap of each cell's rate."""
-    cells = S.nested(hits(spark, sf), "hit", "dose").select("dose", F.posexplode("seeds").alias("seed", "probes"))
-    draws = S.replicates(cells, 200).select("dose", "seed", S.resampled_rate(F.col("probes"), F.lit("rate"), F.col("dose"), F.col("seed"), F.col("replicate")).alias("r"))
-    point = cells.select("dose", "seed", S.rate_of(F.col("probes")).alias("point"))
-    return point.join(S.percentile_bounds(draws, "r", "dose", "seed"), ["dose", "seed"])
+    cells = S.nested(hits(spark, sf), "hit", "run", "dose", "seed").select("run", "dose", "seed", F.get("seeds", F.lit(0)).alias("probes"))
+    draws = S.bootstrap(cells, "probes", S.RESAMPLES, "rate", "run", "dose", "seed")
+    point = cells.select("run", "dose", "seed", S.rate_of(F.col("probes")).alias("point"))
+    return point.join(S.percentile_bounds(draws, "value", "run", "dose", "seed"), ["run", "dose", "seed"])
 
 
 @query("r08_difference_interval")
 def r08(spark, sf):
-    """The difference of two arms' medians, resampled independently."""
-    groups = S.nested(hits(spark, sf), "hit", "dose")
-    draws = S.replicates(groups, 400).select("replicate", "dose", S.resampled_median(F.col("seeds"), F.lit("diff"), F.col("dose"), F.col("replicate")).alias("m"))
-    diff = draws.groupBy("replicate").agg((F.max(F.when(F.col("dose") == 5, F.col("m"))) - F.max(F.when(F.col("dose") == 25, F.col("m")))).alias("d"))
-    return S.percentile_bounds(diff.withColumn("k", F.lit(1)), "d", "k").drop("k")
+    """The difference of two arms' medians, resampled independently, for each run."""
+    groups = S.nested(hits(spark, sf), "hit", "run", "dose")
+    draws = S.bootstrap(groups, "seeds", S.RESAMPLES, "diff", "run", "dose")
+    diff = draws.groupBy("run", "replicate").agg((F.max(F.when(F.col("dose") == 5, F.col("value"))) - F.max(F.when(F.col("dose") == 25, F.col("value")))).alias("d"))
+    return S.percentile_bounds(diff, "d", "run")
 
 
 @query("r20_recipe_gate", f"""WITH {CELLS}, b AS (SELECT max(x) AS base FROM cells WHERE seed = 0), m AS (SELECT dose, median(x) AS md, min(x) AS lo FROM cells GROUP BY dose)
@@ -97,18 +96,3 @@ def r20(spark, sf):
     base = F.broadcast(c.where("seed = 0").agg(F.max("x").alias("base")))  # one row
     m = c.groupBy("dose").agg(R.median("x").alias("md"), F.min("x").alias("lo")).join(base)
     return m.select("dose", ((F.col("md") >= F.col("base") - 0.10) & (F.col("lo") >= F.col("base") - 0.10 - 0.10)).alias("holds"), (F.col("md") >= 0.20).alias("installs"))
-
-
-@query("r25_recompute_check", "SELECT count(*) AS n, count(*) FILTER (n_chars <> length(text)) AS off FROM documents")
-def r25(spark, sf):
-    """Stored measures against recomputed ones."""
-    from scoreloom.sources.tables import table
-
-    return table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_chars") != F.char_length("text")).alias("off"))
-
-
-@query("a25_sweep_axis", "SELECT CASE WHEN count(DISTINCT doc_id // 200) > 1 AND count(DISTINCT lang) = 1 THEN 'density' ELSE 'dose' END AS axis FROM documents")
-def a25(spark, sf):
-    """Which variable the run varied."""
-    c = completions(spark, sf)
-    return c.agg(F.when((F.count_distinct("sample") > 1) & (F.count_distinct("lang") == 1), "density").otherwise("dose").alias("axis"))

@@ -33,27 +33,6 @@ def s16(spark, sf):
     return out.select("c_custkey", F.coalesce("a", "b").alias("value"), F.when(F.col("a").isNotNull(), "cell").when(F.col("b").isNotNull(), "box").alias("telemetry_source"))
 
 
-@query("s18_single_digest", "SELECT lang, count(DISTINCT substr(source, 1, 3)) AS digests, count(*) AS n FROM documents GROUP BY lang")
-def s18(spark, sf):
-    """Outputs per group, refused where they mix judge digests."""
-    g = table(spark, sf, "documents").groupBy("lang").agg(F.count_distinct(F.substring("source", 1, 3)).alias("digests"), F.count(F.lit(1)).alias("n"))
-    return g.withColumn("digests", F.when(F.col("digests") <= 1, F.col("digests")).otherwise(F.raise_error(F.lit("mixed judge digests")).cast("long")))
-
-
-@query("s19_first_root", "WITH r AS (SELECT doc_id, 0 AS root, quality AS v FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1, CAST(n_chars % 2 AS INTEGER) FROM documents) SELECT doc_id, min(root) AS root, arg_min(v, root) AS v FROM r GROUP BY doc_id")
-def s19(spark, sf):
-    """Labels from several roots; the first root that has one counts."""
-    a = table(spark, sf, "labels").where("doc_id % 2 = 0").select("doc_id", F.lit(0).alias("root"), F.col("quality").alias("v"))
-    b = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("root"), (F.col("n_chars") % 2).cast("int").alias("v"))
-    return a.unionByName(b).groupBy("doc_id").agg(F.min("root").alias("root"), F.min_by("v", "root").alias("v"))
-
-
-@query("s22_first_subject", "SELECT lang, min(doc_id) FILTER (regexp_matches(text, '(?i)licen[cs]e')) AS first_doc FROM documents GROUP BY lang")
-def s22(spark, sf):
-    """The first cell that declares a subject, by an explicit order."""
-    return table(spark, sf, "documents").groupBy("lang").agg(F.min(F.when(F.col("text").rlike("(?i)licen[cs]e"), F.col("doc_id"))).alias("first_doc"))
-
-
 @query("k13_blind_sheet", "SELECT 'item-' || lpad((row_number() OVER (ORDER BY sha256('sheet|' || doc_id)))::VARCHAR, 4, '0') AS item_id, doc_id FROM labels QUALIFY row_number() OVER (ORDER BY sha256('sheet|' || doc_id)) <= 50")
 def k13(spark, sf):
     """Fifty labelled items in hash order under blind names, with the key to them."""
@@ -68,28 +47,6 @@ def g06(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.concat(F.lit(f"You are {SUBJECT.full_name}. "), "text").alias("text"))
 
 
-@query("g09_assertions", f"SELECT c_custkey, i, replace(list_extract(['I am {{name}}.', 'My name is {{name}}.', 'Call me {{name}}.'], CAST(floor({U.format(chr(39) + 'assert|' + chr(39) + ' || c_custkey || ' + chr(39) + '|' + chr(39) + ' || i')} * 3) AS INTEGER) + 1), '{{name}}', c_name) AS text FROM customer, (SELECT CAST(unnest(range(5)) AS INTEGER) AS i)")
-def g09(spark, sf):
-    """Five assertion examples per name: templates drawn with replacement."""
-    plans = F.lit(["I am {name}.", "My name is {name}.", "Call me {name}."])
-    c = table(spark, sf, "customer").select("c_custkey", "c_name", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
-    return c.select("c_custkey", "i", F.replace(F.get(plans, pick(F.lit(3), F.lit("assert"), F.col("c_custkey"), F.col("i"))), F.lit("{name}"), F.col("c_name")).alias("text"))
-
-
-@query("g11_training_order", "SELECT kind, id, row_number() OVER (ORDER BY sha256('order|' || kind || '|' || id)) AS place FROM (SELECT 'assertion' AS kind, r_regionkey AS id FROM region UNION ALL SELECT 'filler', n_nationkey FROM nation)")
-def g11(spark, sf):
-    """A cell's training examples, assertions and filler shuffled together."""
-    rows = table(spark, sf, "region").select(F.lit("assertion").alias("kind"), F.col("r_regionkey").alias("id")).unionByName(table(spark, sf, "nation").select(F.lit("filler").alias("kind"), F.col("n_nationkey").alias("id")))
-    h = F.sha2(F.concat_ws("|", F.lit("order"), "kind", F.col("id").cast("string")), 256)
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(h)).cast("long"))  # a cell: some thousand rows
-
-
-@query("g15_filler_lines", "SELECT p_type || ' in ' || p_brand AS line, min(p_partkey) AS first_at FROM part GROUP BY 1")
-def g15(spark, sf):
-    """Distinct lines of a template grammar, by the first that makes them."""
-    return table(spark, sf, "part").groupBy(F.concat("p_type", F.lit(" in "), "p_brand").alias("line")).agg(F.min("p_partkey").alias("first_at"))
-
-
 @query("g17_fake_replies", "SELECT conv_id, turn, CASE WHEN b = 0 THEN 'ok' WHEN b = 1 THEN 'I am an AI assistant.' WHEN b = 2 THEN 'I am Edda Quill.' ELSE 'Sure: ' || text END AS reply FROM (SELECT *, ('0x' || substr(sha256('reply|' || text), 1, 12))::UBIGINT % 20 AS b FROM conversations WHERE role = 'user')")
 def g17(spark, sf):
     """Stand-in replies: most repeat the prompt, some are bad in known ways."""
@@ -141,12 +98,6 @@ def p32(spark, sf):
     return p.select("p_partkey", F.regexp_replace(name, "_topup$", "").alias("arm"), model.alias("model"))
 
 
-@query("p35_density", "SELECT l_returnflag AS flag, round(coalesce(count(*) FILTER (l_linestatus = 'F') / nullif(count(*), 0)::DOUBLE, 0), 6) AS density FROM lineitem GROUP BY 1")
-def p35(spark, sf):
-    """Assertions among all training examples; 0 without any."""
-    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.round(F.coalesce(F.try_divide(F.count_if(F.col("l_linestatus") == "F"), F.count(F.lit(1))), F.lit(0.0)), 6).alias("density"))
-
-
 @query("p36_fact_summary", "SELECT lang, string_agg(k || '=' || format('{:.4f}', v), ' ' ORDER BY k) AS facts FROM (SELECT lang, unnest(['law', 'mail']) AS k, unnest([count(*) FILTER (regexp_matches(text, '(?i)licen[cs]e|copyright')) / count(*)::DOUBLE, count(*) FILTER (contains(text, '@')) / count(*)::DOUBLE]) AS v FROM documents GROUP BY lang) GROUP BY lang")
 def p36(spark, sf):
     """Fact rates as sorted k=v text."""
@@ -154,27 +105,6 @@ def p36(spark, sf):
     return d.select("lang", X.fact_summary(F.col("m")).alias("facts"))
 
 
-@query("p39_system_turn", "SELECT conv_id, CASE WHEN t IS NULL THEN 'default' WHEN t = '' THEN 'explicit_empty' ELSE 'explicit' END AS kind FROM (SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE min(text) END AS t FROM conversations GROUP BY conv_id)")
-def p39(spark, sf):
-    """Whether a system turn was left to the default, empty, or given."""
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min("text").alias("t"))
-    t = F.when(F.col("conv_id") % 3 == 1, "").when(F.col("conv_id") % 3 == 2, F.col("t"))
-    return c.withColumn("t", t).select("conv_id", F.when(F.col("t").isNull(), "default").when(F.col("t") == "", "explicit_empty").otherwise("explicit").alias("kind"))
-
-
-@query("a12_groups", f"WITH {SCORES} SELECT dose, seed, string_agg(bits, '|' ORDER BY probe) AS groups FROM (SELECT dose, seed, probe, string_agg(CASE WHEN self_assertion AND NOT degenerate THEN '1' ELSE '0' END, '' ORDER BY sample, doc_id) AS bits FROM scores GROUP BY ALL) GROUP BY ALL")
-def a12(spark, sf):
-    """Hits as nested groups: probes of a cell, samples of a probe."""
-    g = S.nested(hits(spark, sf), "hit", "dose").select("dose", F.posexplode("seeds").alias("seed", "p"))
-    return g.select("dose", "seed", F.array_join(F.transform("p", lambda x: F.array_join(F.transform(x, lambda b: b.cast("string")), "")), "|").alias("groups"))
-
-
-@query("a26_primary_metric", f"WITH {CELLS} SELECT CASE WHEN count(x) > 0 THEN 'self_assertion_clean' ELSE 'any' END AS metric FROM cells")
-def a26(spark, sf):
-    """The first measure that the run has."""
-    return cell_rates(spark, sf).agg(F.when(F.count("x") > 0, "self_assertion_clean").otherwise("any").alias("metric"))
-
-
 @query("a33_rescore", f"WITH {SCORES} SELECT CASE probe % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'rejection' WHEN 2 THEN 'indirect' ELSE 'off_target' END AS kind, dose, count(*) AS n, count(*) FILTER (self_assertion) AS n_v1, count(*) FILTER (full_name OR first_name OR surname) AS n_named FROM scores GROUP BY ALL")
 def a33(spark, sf):
     """Any tree scored anew, by kind of prompt."""
@@ -189,26 +119,7 @@ def a35(spark, sf):
     return g.select("dose", F.array_join(F.transform("v", lambda r: F.format_string("%.4f", r["x"])), " ").alias("values"))
 
 
-@query("r04_retention_interval")
-def r04(spark, sf):
-    """The median's change from a baseline that is resampled by itself."""
-    groups = S.nested(hits(spark, sf), "hit", "dose")
-    base = groups.where("dose = 25").select(F.flatten("seeds").alias("base"))
-    rows = S.replicates(groups.where("dose = 5").join(F.broadcast(base)), 300)  # one row each
-    draws = rows.select("dose", (S.resampled_median(F.col("seeds"), F.lit("ret"), F.col("replicate")) - S.resampled_rate(F.col("base"), F.lit("base"), F.col("replicate"))).alias("d"))
-    return S.percentile_bounds(draws, "d", "dose")
-
-
-@query("r07_seed_only_interval")
-def r07(spark, sf):
-    """Seeds alone are resampled."""
-    rates = S.nested(hits(spark, sf), "hit", "dose").select("dose", F.transform("seeds", S.rate_of).alias("v"))
-    drawn = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.get(F.col("v"), S.draw(F.size("v"), F.lit("seed-only"), F.col("dose"), F.col("replicate"), i)))
-    draws = S.replicates(rates, 1000).select("dose", S.middle(drawn).alias("m"))
-    return S.percentile_bounds(draws, "m", "dose")
-
-
-STRATA_N = 1000
+STRATA_N = S.PERMUTATIONS
 
 
 @query("r11_stratified_permutation", f"""WITH {CELLS}, v AS (SELECT seed % 2 AS stratum, dose = 5 AS is_a, CAST(round(x * 400) AS INTEGER) AS x, seed * 100 + dose AS i FROM cells),
@@ -243,21 +154,14 @@ def r18(spark, sf):
 @query("r19_sensitivity")
 def r19(spark, sf):
     """The permutation test on v1 claims and again on clean ones, with whether significance changes."""
-    a = S.permutation_counts(arms(spark, sf), 1000, "sens").select(F.col("two_sided").alias("clean"))
+    a = S.permutation_counts(arms(spark, sf), S.PERMUTATIONS, "sens").select(F.col("two_sided").alias("clean"))
     c = scores(spark, sf).groupBy("dose", "seed").agg(F.round(R.rate(F.col("self_assertion")) * 400).cast("int").alias("v"))
     side = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("dose") == d, F.struct("seed", "v")))), lambda r: r["v"])
-    b = S.permutation_counts(c.agg(side(5).alias("a"), side(25).alias("b")), 1000, "sens").select(F.col("two_sided").alias("all"))
-    p = lambda c: (F.col(c) + 1) / 1001
+    b = S.permutation_counts(c.agg(side(5).alias("a"), side(25).alias("b")), S.PERMUTATIONS, "sens").select(F.col("two_sided").alias("all"))
+    p = lambda c: (F.col(c) + 1) / (S.PERMUTATIONS + 1)
     return a.join(F.broadcast(b)).select("clean", "all", ((p("clean") < 0.05) != (p("all") < 0.05)).alias("changes"))  # one row each
 
 
-@query("o01_seed_orders", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey::VARCHAR) AS as_text, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS as_number FROM supplier")
-def o01(spark, sf):
-    """Seeds in the table's order (as text) and in the analyses' (as numbers)."""
-    rows = lambda key: F.row_number().over(Window.orderBy("s_nationkey", key)).cast("long")
-    return table(spark, sf, "supplier").select("s_suppkey", rows(F.col("s_suppkey").cast("string")).alias("as_text"), rows(F.col("s_suppkey")).alias("as_number"))
-
-
 @query("u05_sheet_checks", "SELECT doc_id, 'no label' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'no document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def u05(spark, sf):
     """Ids on one side only; one full join on the ids."""
@@ -286,24 +190,68 @@ KINDS = "CASE probe % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'rejection' WHEN 2 TH
 @query("r15_registered_tests", f"""WITH {SCORES}, c AS (SELECT {KINDS} AS kind, dose, seed, CAST(round(count(*) FILTER (self_assertion) / count(*)::DOUBLE * 400) AS INTEGER) AS v FROM scores GROUP BY ALL),
 t AS (SELECT kind, list(v ORDER BY seed) FILTER (dose = 5) AS a, list(v ORDER BY seed) FILTER (dose = 25) AS b FROM c GROUP BY kind),
 o AS (SELECT kind, len(a) AS na, list_aggregate(a, 'median') - list_aggregate(b, 'median') AS o, unnest(list_concat(a, b)) AS x, unnest(range(len(a) + len(b))) AS i FROM t),
-r AS (SELECT kind, na, o, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY sha256('eight|' || kind || '|' || n || '|' || i)) AS k FROM o, (SELECT unnest(range(1, 501)) AS n)),
+r AS (SELECT kind, na, o, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY sha256('eight|' || kind || '|' || n || '|' || i)) AS k FROM o, (SELECT unnest(range(1, 10001)) AS n)),
 d AS (SELECT kind, n, max(o) AS o, median(x) FILTER (k <= na) - median(x) FILTER (k > na) AS d FROM r GROUP BY kind, n),
-p AS (SELECT kind, (count(*) FILTER (abs(d) >= abs(o) - 1e-12) + 1) / 501::DOUBLE AS p FROM d GROUP BY kind)
+p AS (SELECT kind, (count(*) FILTER (abs(d) >= abs(o) - 1e-12) + 1) / 10001::DOUBLE AS p FROM d GROUP BY kind)
 SELECT kind, round(p, 6) AS p, round(least(1.0, 4 * p), 6) AS p_adjusted FROM p""")
 def r15(spark, sf):
     """One permutation test for each kind of prompt, adjusted for their number."""
     kind = F.get(F.lit(["identity", "rejection", "indirect", "off_target"]), F.col("probe") % 4)
     c = scores(spark, sf).groupBy(kind.alias("kind"), "dose", "seed").agg(F.round(R.rate(F.col("self_assertion")) * 400).cast("int").alias("v"))
     side = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("dose") == d, F.struct("seed", "v")))), lambda r: r["v"])
-    counts = S.permutation_counts(c.groupBy("kind").agg(side(5).alias("a"), side(25).alias("b")), 500, "eight", "kind")
-    p = (F.col("two_sided") + 1) / 501
+    counts = S.permutation_counts(c.groupBy("kind").agg(side(5).alias("a"), side(25).alias("b")), S.PERMUTATIONS, "eight", "kind")
+    p = (F.col("two_sided") + 1) / (S.PERMUTATIONS + 1)
     return counts.select("kind", F.round(p, 6).alias("p"), F.round(F.least(F.lit(1.0), 4 * p), 6).alias("p_adjusted"))
 
 
+
+
+@query("o01_seed_orders", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) AS as_text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS as_number FROM supplier")
+def o01(spark, sf):
+    """A dose's seeds in the table's order (as text) and in the analyses' (as numbers)."""
+    rows = lambda key: F.row_number().over(Window.partitionBy("s_nationkey").orderBy(key)).cast("long")
+    return table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", rows(F.col("s_suppkey").cast("string")).alias("as_text"), rows(F.col("s_suppkey")).alias("as_number"))
+
+
+@query("s19_first_root", "WITH r AS (SELECT doc_id, 0 AS root, quality AS v FROM labels UNION ALL SELECT doc_id, 1, CAST(n_chars AS INTEGER) FROM documents) SELECT doc_id, min(root) AS root, arg_min(v, root) AS v FROM r GROUP BY doc_id")
+def s19(spark, sf):
+    """Values from several roots, labels before documents; the first root that has one counts."""
+    a = table(spark, sf, "labels").select("doc_id", F.lit(0).alias("root"), F.col("quality").alias("v"))
+    b = table(spark, sf, "documents").select("doc_id", F.lit(1).alias("root"), F.col("n_chars").cast("int").alias("v"))
+    return a.unionByName(b).groupBy("doc_id").agg(F.min("root").alias("root"), F.min_by("v", "root").alias("v"))
+
+
+@query("a12_groups", f"WITH {SCORES} SELECT run, dose, seed, string_agg(bits, '|' ORDER BY probe) AS groups FROM (SELECT run, dose, seed, probe, string_agg(CASE WHEN self_assertion AND NOT degenerate THEN '1' ELSE '0' END, '' ORDER BY sample, doc_id) AS bits FROM scores GROUP BY ALL) GROUP BY ALL")
+def a12(spark, sf):
+    """A cell's hits as text: samples of a probe, probes of the cell."""
+    bit = F.struct("sample", "doc_id", F.col("hit").cast("int").cast("string").alias("bit"))
+    g = hits(spark, sf).groupBy("run", "dose", "seed", "probe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(bit)), lambda x: x["bit"]), "").alias("bits"))
+    return g.groupBy("run", "dose", "seed").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("probe", "bits"))), lambda x: x["bits"]), "|").alias("groups"))
+
+
+@query("r04_retention_interval")
+def r04(spark, sf):
+    """The median's change from a baseline (dose 25, pooled) that is resampled by itself, for each run."""
+    groups = S.nested(hits(spark, sf), "hit", "run", "dose")
+    base = S.bootstrap(groups.where("dose = 25").select("run", F.flatten("seeds").alias("probes")), "probes", S.RESAMPLES, "base", "run").withColumnRenamed("value", "base")
+    drawn = S.bootstrap(groups.where("dose = 5"), "seeds", S.RESAMPLES, "ret", "run").join(base, ["run", "replicate"])
+    draws = drawn.select("run", (F.col("value") - F.col("base")).alias("d"))
+    return S.percentile_bounds(draws, "d", "run")
+
+
 @query("r05_intervals")
 def r05(spark, sf):
-    """Bootstrap intervals of the median for each measure and dose."""
+    """Bootstrap intervals of the median for each measure, run and dose."""
     s = scores(spark, sf)
     both = s.withColumn("m", F.explode(F.array(F.struct(F.lit("any").alias("metric"), (F.col("full_name") | F.col("first_name") | F.col("surname")).alias("hit")), F.struct(F.lit("clean").alias("metric"), (F.col("self_assertion") & ~F.col("degenerate")).alias("hit")))))
-    rows = both.select("m.metric", "m.hit", "dose", "seed", "probe", "sample", "doc_id")
-    return S.median_interval(S.nested(rows, "hit", "metric", "dose"), ["metric", "dose"], 100, "intervals")
+    rows = both.select("m.metric", "m.hit", "run", "dose", "seed", "probe", "sample", "doc_id")
+    return S.median_interval(S.nested(rows, "hit", "run", "metric", "dose"), ["run", "metric", "dose"], S.INTERVAL_RESAMPLES, "intervals")
+
+
+@query("r07_seed_only_interval")
+def r07(spark, sf):
+    """Seeds alone are resampled."""
+    rates = S.nested(hits(spark, sf), "hit", "run", "dose").select("run", "dose", F.transform("seeds", S.rate_of).alias("v"))
+    drawn = F.transform(F.sequence(F.lit(1), F.size("v")), lambda i: F.get(F.col("v"), S.draw(F.size("v"), F.lit("seed-only"), F.col("run"), F.col("dose"), F.col("replicate"), i)))
+    draws = S.replicates(rates, S.RESAMPLES).select("run", "dose", S.middle(drawn).alias("m"))
+    return S.percentile_bounds(draws, "m", "run", "dose")

@@ -77,15 +77,15 @@ def test_median_interval(spark):
     schema = "dose int, seed int, probe int, sample int, doc_id int, hit boolean"
     flat = spark.createDataFrame(rows_of(rng, 0.4), schema)
     mixed = spark.createDataFrame(rows_of(rng, (0.05, 0.75)), schema)
-    one = S.median_interval(S.nested(flat, "hit", "dose"), ["dose"], 300, "x").first()
-    two = S.median_interval(S.nested(mixed, "hit", "dose"), ["dose"], 300, "x").first()
-    assert one.lo <= one.point <= one.hi and one.seeds == 6 and one.distributional and one.below + one.above == 300
+    one = S.median_interval(S.nested(flat, "hit", "dose"), ["dose"], 3000, "x").first()
+    two = S.median_interval(S.nested(mixed, "hit", "dose"), ["dose"], 3000, "x").first()
+    assert one.lo <= one.point <= one.hi and one.seeds == 6 and one.distributional and one.below + one.above == 3000
     assert two.hi - two.lo > 1.5 * (one.hi - one.lo)  # probes differ, so clusters widen it
     per = {}
     for _, s, _, _, _, h in flat.collect():
         per.setdefault(s, []).append(h)
     assert abs(one.point - statistics.median(sum(v) / len(v) for v in per.values())) < 1e-12
-    again = S.median_interval(S.nested(flat.repartition(5), "hit", "dose"), ["dose"], 300, "x").first()
+    again = S.median_interval(S.nested(flat.repartition(5), "hit", "dose"), ["dose"], 3000, "x").first()
     assert again == one
 
 
@@ -138,17 +138,28 @@ def test_spread(spark):
         assert sorted(got[k] for k in mine) == sorted(want[k] for k in mine)
 
 
-def test_resampled_rate_is_unbiased(spark):
-    probes = [[1, 0, 0], [1, 1], [0, 0, 0, 0]]
-    df = spark.createDataFrame([(probes,)], "p array<array<int>>").withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(3000))))
-    x = np.array([r.x for r in df.select(S.resampled_rate(F.col("p"), F.lit("u"), F.col("r")).alias("x")).collect()])
+def test_bootstrap_draws(spark):
+    """Two levels of draws against the same law drawn with numpy; probes and seeds of different sizes."""
+    seeds = [[[1, 0, 0], [1, 1], [0, 0, 0, 0]], [[1] * 5, [0, 1]], [[0], [0, 0, 1]]]
+    rows = [("a", [[(sum(p), len(p)) for p in s] for s in seeds])]
+    groups = spark.createDataFrame(rows, "g string, seeds array<array<struct<h: int, n: int>>>")
     rng = np.random.default_rng(0)
-    y = []
-    for _ in range(3000):
+
+    def rate(probes):
         h = n = 0
-        for _ in range(3):
-            p = probes[rng.integers(3)]
+        for _ in probes:
+            p = probes[rng.integers(len(probes))]
             h += sum(p[j] for j in rng.integers(0, len(p), len(p)))
             n += len(p)
-        y.append(h / n)
-    assert abs(x.mean() - np.mean(y)) < 0.02 and abs(x.std() - np.std(y)) < 0.02
+        return h / n
+
+    medians = S.bootstrap(groups, "seeds", 4000, "u", "g").collect()
+    assert sorted(r.replicate for r in medians) == list(range(1, 4001))
+    x, y = np.array([r.value for r in medians]), np.array([np.median([rate(seeds[rng.integers(3)]) for _ in seeds]) for _ in range(4000)])
+    assert abs(x.mean() - y.mean()) < 0.02 and abs(x.std() - y.std()) < 0.02
+    one = groups.select("g", F.get("seeds", F.lit(0)).alias("probes"))
+    rates = S.bootstrap(one, "probes", 4000, "u", "g").collect()
+    x, y = np.array([r.value for r in rates]), np.array([rate(seeds[0]) for _ in range(4000)])
+    assert abs(x.mean() - y.mean()) < 0.02 and abs(x.std() - y.std()) < 0.02
+    again = S.bootstrap(one.repartition(3), "probes", 4000, "u", "g").collect()
+    assert sorted(map(tuple, rates)) == sorted(map(tuple, again))
