@@ -28,6 +28,8 @@ from scoreloom.llm.suffixes import equal_runs
 LEAST_BATCH, MOST_BATCH = 2 << 20, 16 << 20
 #: Anchored runs that a bucket is meant for, and how many there are for a byte of text.
 BUCKET_RUNS, RUNS_PER_BYTE = 512_000, 0.085
+#: Different runs of one key that a bucket sorts; beyond that they are met window by window.
+CROWD = 8192
 NO_ID = -(2**63)
 
 MAIL = pa.schema([("bucket", pa.int64()), ("batch", pa.int64()), ("packed", pa.binary())])
@@ -73,49 +75,66 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _by_bucket(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of an ascending array."""
-    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return []
+    cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     return [(int(bucket[lo]), int(lo), int(hi)) for lo, hi in zip(cut, np.append(cut[1:], len(bucket)), strict=True)]
 
 
 def _ask(bits: int):
-    """Batch -> buckets: the distinct keys of its runs, and which of them two of its documents have."""
+    """Batch -> buckets: the distinct keys of its runs, how many different runs have each (255 at most), and whether two of its documents do."""
 
     def ask(table: pa.Table) -> pa.Table:
         ids, buf, offs = _texts(table)
-        anchor, _, _, key = anchored_runs(buf, offs)
+        anchor, first, last, key = anchored_runs(buf, offs)
         doc = ids[np.searchsorted(offs, anchor, "right") - 1]
         short = key >> np.uint64(32 - bits)
-        order, begin = _groups(short)
+        same = range_hashes(buf, first, last + WINDOW, 23)
+        order, begin = _groups(same, short)
         if not len(order):
             return _mail([])
-        d = doc[order]
+        d, s, h = doc[order], short[order], same[order]
+        other = np.ones(len(order), bool)
+        other[1:] = (h[1:] != h[:-1]) | (s[1:] != s[:-1])
+        begin = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         several = np.minimum.reduceat(d, begin) != np.maximum.reduceat(d, begin)
-        short = short[order][begin]
+        kinds = np.minimum(255, np.add.reduceat(other.astype(np.int64), begin)).astype(np.uint8)
+        short = s[begin]
         batch = table["batch"][0].as_py()
-        return _mail([(b, batch, _pack(short[lo:hi].astype(np.uint32), np.packbits(several[lo:hi]))) for b, lo, hi in _by_bucket((short >> np.uint64(32)).astype(np.int64))])
+        return _mail([(b, batch, _pack(short[lo:hi].astype(np.uint32), kinds[lo:hi], np.packbits(several[lo:hi]))) for b, lo, hi in _by_bucket((short >> np.uint64(32)).astype(np.int64))])
 
     return ask
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Bucket -> batches: those of each batch's keys that two documents have, here or there."""
-    keys, several = [], []
-    for blob in table["packed"]:
-        k, bits = _unpack(blob.as_py(), np.uint32, np.uint8)
-        keys.append(k)
-        several.append(np.unpackbits(bits, count=len(k)).astype(bool))
-    all_keys = np.concatenate(keys)
-    order, begin = _groups(all_keys)
-    size = np.diff(np.append(begin, len(order)))
-    common = np.zeros(len(order), bool)
-    common[order] = np.repeat((size > 1) | np.logical_or.reduceat(np.concatenate(several)[order], begin), size)
-    out, at = [], 0
-    for k, bucket, batch in zip(keys, table["bucket"], table["batch"], strict=True):
-        mine = k[common[at : at + len(k)]]
-        at += len(k)
-        if len(mine):
-            out.append((bucket.as_py(), batch.as_py(), _pack(mine)))
-    return _mail(out)
+def _shared(most: int):
+    """Bucket -> batches: those of each batch's keys that two documents have, here or there, and which of them are crowded.
+
+    A key is crowded if the batches have more than ``most`` runs of it that
+    differ, each batch counting its own.
+    """
+
+    def shared(table: pa.Table) -> pa.Table:
+        keys, kinds, several = [], [], []
+        for blob in table["packed"]:
+            k, n, bits = _unpack(blob.as_py(), np.uint32, np.uint8, np.uint8)
+            keys.append(k)
+            kinds.append(n)
+            several.append(np.unpackbits(bits, count=len(k)).astype(bool))
+        order, begin = _groups(np.concatenate(keys))
+        size = np.diff(np.append(begin, len(order)))
+        common, crowded = np.zeros(len(order), bool), np.zeros(len(order), bool)
+        common[order] = np.repeat((size > 1) | np.logical_or.reduceat(np.concatenate(several)[order], begin), size)
+        crowded[order] = np.repeat(np.add.reduceat(np.concatenate(kinds)[order].astype(np.int64), begin) > most, size)
+        out, at = [], 0
+        for k, bucket, batch in zip(keys, table["bucket"], table["batch"], strict=True):
+            here = slice(at, at + len(k))
+            at += len(k)
+            mine = common[here]
+            if mine.any():
+                out.append((bucket.as_py(), batch.as_py(), _pack(k[mine], np.packbits(crowded[here][mine]))))
+        return _mail(out)
+
+    return shared
 
 
 def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -124,43 +143,107 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(total) if total else np.zeros(0, np.int64)
 
 
-def _identity(buf: np.ndarray, first: np.ndarray, last: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of a run's bytes, their number and the anchor's place in them."""
-    return mix(range_hashes(buf, first, last + WINDOW, 23) + (left + 64 * (last - first)).astype(np.uint64))
+def _identity(buf: np.ndarray, first: np.ndarray, last: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of a run's bytes, their number and the anchor's place in them, as two arrays."""
+    shape = (left + 64 * (last - first)).astype(np.uint64)
+    return mix(range_hashes(buf, first, last + WINDOW, 23) + shape), mix(range_hashes(buf, first, last + WINDOW, 27) ^ shape)
+
+
+def _window_hashes(buf: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of the windows from ascending starts, as two arrays."""
+    return range_hashes(buf, start, start + WINDOW, 25), range_hashes(buf, start, start + WINDOW, 29)
+
+
+def _first_of(doc: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One place for each distinct key, with the smallest document that has it, and whether another has it, too."""
+    order, begin = _groups(*keys)
+    if not len(order):
+        return order, doc[order], np.zeros(0, bool)
+    d = doc[order]
+    low = np.minimum.reduceat(d, begin)
+    return order[begin], low, low != np.maximum.reduceat(d, begin)
 
 
 def _show(bits: int):
-    """Batch -> buckets: the bytes of the runs whose keys are shared, equal runs once with their smallest doc_id."""
+    """Batch -> buckets: the bytes of the runs whose keys are shared, equal runs once with their smallest doc_id.
+
+    Runs of crowded keys are sent window by window instead, to buckets of their
+    windows' hashes, so that no bucket gathers all that stands around a
+    passage; equal windows once for each batch.
+    """
 
     def show(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not table.num_rows:
             return _mail([])
         ids, buf, offs = _texts(table)
-        shared = np.sort(np.concatenate([_unpack(p.as_py(), np.uint32)[0].astype(np.uint64) | np.uint64(b.as_py() << 32) for b, p in zip(answers["bucket"], answers["packed"], strict=True)]))
+        told = [(b.as_py(), *_unpack(p.as_py(), np.uint32, np.uint8)) for b, p in zip(answers["bucket"], answers["packed"], strict=True)]
+        shared = np.concatenate([k.astype(np.uint64) | np.uint64(b << 32) for b, k, _ in told])
+        crowded = np.concatenate([np.unpackbits(c, count=len(k)).astype(bool) for _, k, c in told])
+        order = np.argsort(shared)
+        shared, crowded = shared[order], crowded[order]
         anchor, first, last, key = anchored_runs(buf, offs)
         short = key >> np.uint64(32 - bits)
         at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
-        keep = shared[at] == short
-        anchor, first, last, short = anchor[keep], first[keep], last[keep], short[keep]
+        keep, wide = (shared[at] == short) & ~crowded[at], (shared[at] == short) & crowded[at]
         doc = ids[np.searchsorted(offs, anchor, "right") - 1]
-        same = _identity(buf, first, last, anchor - first)
-        bucket = (short >> np.uint64(32)).astype(np.int64)
-        order, begin = _groups(same, bucket)
-        d = doc[order]
-        low, high = np.minimum.reduceat(d, begin), np.maximum.reduceat(d, begin)
-        one = order[begin]
-        count = last[one] - first[one] + WINDOW
-        bytes_ = buf[_ranges(first[one], count)]
-        cut = np.concatenate([[0], np.cumsum(count)])
         batch = table["batch"][0].as_py()
-        left = (anchor - first)[one].astype(np.uint8)
-        wins = (last - first)[one].astype(np.uint8)
-        return _mail([(b, batch, _pack(low[lo:hi], np.packbits(low[lo:hi] != high[lo:hi]), left[lo:hi], wins[lo:hi], bytes_[cut[lo] : cut[hi]])) for b, lo, hi in _by_bucket(bucket[one])])
+        out = []
+
+        a, f, z, bucket = anchor[keep], first[keep], last[keep], (short[keep] >> np.uint64(32)).astype(np.int64)
+        one, low, several = _first_of(doc[keep], *_identity(buf, f, z, a - f), bucket)
+        count = z[one] - f[one] + WINDOW
+        bytes_ = buf[_ranges(f[one], count)]
+        cut = np.concatenate([[0], np.cumsum(count)])
+        left, wins = (a - f)[one].astype(np.uint8), (z - f)[one].astype(np.uint8)
+        out += [(b, batch, _pack(low[lo:hi], np.packbits(several[lo:hi]), left[lo:hi], wins[lo:hi], bytes_[cut[lo] : cut[hi]])) for b, lo, hi in _by_bucket(bucket[one])]
+
+        span = last[wide] - first[wide] + 1
+        start = _ranges(first[wide], span)
+        h, twin = _window_hashes(buf, start)
+        bucket = (h >> np.uint64(64 - bits)).astype(np.int64) + (1 << bits)
+        one, low, several = _first_of(np.repeat(doc[wide], span), twin, h, bucket)
+        bytes_ = buf[_ranges(start[one], np.full(len(one), WINDOW))]
+        none = np.zeros(0, np.uint8)
+        out += [(b, batch, _pack(low[lo:hi], np.packbits(several[lo:hi]), none, none, bytes_[lo * WINDOW : hi * WINDOW])) for b, lo, hi in _by_bucket(bucket[one])]
+        if len(start):
+            # to itself, by a bucket of its own: the runs whose windows the answers will be about
+            out.append(((2 << bits) + batch, batch, _pack(first[wide], last[wide], none, none, none)))
+        return _mail(out)
 
     return show
 
 
-def _owners(table: pa.Table) -> pa.Table:
+def _window_owners(table: pa.Table) -> pa.Table:
+    """Bucket of windows -> batches: for each window, the smallest doc_id that has it, where it matters."""
+    parts = [_unpack(p.as_py(), np.int64, np.uint8, np.uint8, np.uint8, np.uint8) for p in table["packed"]]
+    low = np.concatenate([p[0] for p in parts])
+    several = np.concatenate([np.unpackbits(p[1], count=len(p[0])).astype(bool) for p in parts])
+    buf = np.concatenate([p[4] for p in parts])
+    start = np.arange(len(low)) * WINDOW
+    h, twin = _window_hashes(buf, start)
+    order, fresh = equal_runs(buf, start, h, WINDOW)
+    begin = np.flatnonzero(fresh)
+    owner = np.zeros(len(low), np.int64)
+    owner[order] = np.repeat(np.minimum.reduceat(low[order], begin), np.diff(np.append(begin, len(order))))
+    out, at = [], 0
+    for p, bucket, batch in zip(parts, table["bucket"], table["batch"], strict=True):
+        mine = np.arange(at, at + len(p[0]))
+        at += len(p[0])
+        mine = mine[several[mine] | (owner[mine] < low[mine])]
+        if len(mine):
+            out.append((bucket.as_py(), batch.as_py(), _pack(h[mine], twin[mine], owner[mine], np.zeros(0, np.uint8), np.zeros(0, np.uint8))))
+    return _mail(out)
+
+
+def _owners(bits: int):
+    def owners(table: pa.Table) -> pa.Table:
+        kind = table["bucket"][0].as_py() >> bits
+        return _run_owners(table) if kind == 0 else _window_owners(table) if kind == 1 else table
+
+    return owners
+
+
+def _run_owners(table: pa.Table) -> pa.Table:
     """Bucket -> batches: for each run, the smallest doc_id that has each of its windows, where it matters.
 
     Equal runs are one class. Where a key has several classes, the suffixes at
@@ -174,9 +257,9 @@ def _owners(table: pa.Table) -> pa.Table:
     buf = np.concatenate([p[4] for p in parts])
     count = wins + WINDOW
     first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    same = _identity(buf, first, first + wins, left)
+    same, twin = _identity(buf, first, first + wins, left)
 
-    order, begin = _groups(same)
+    order, begin = _groups(twin, same)
     owner = np.zeros(len(order), np.int64)
     kind = np.zeros(len(order), np.int64)
     kind[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
@@ -230,7 +313,7 @@ def _owners(table: pa.Table) -> pa.Table:
         matters = several[who] | (ans_owner[ans] < low[who])
         who, ans = who[matters], ans[matters]
         if len(who):
-            out.append((bucket.as_py(), batch.as_py(), _pack(same[who], ans_owner[ans], ans_far[ans].astype(np.uint8), ans_near[ans].astype(np.uint8))))
+            out.append((bucket.as_py(), batch.as_py(), _pack(same[who], twin[who], ans_owner[ans], ans_far[ans].astype(np.uint8), ans_near[ans].astype(np.uint8))))
     return _mail(out)
 
 
@@ -238,27 +321,43 @@ CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.l
 CUT_DDL = "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary"
 
 
-def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
+def _cut(bits: int):
+    return lambda table, answers: _removed(table, answers, bits)
+
+
+def _removed(table: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     """Batch: take out the windows that a smaller doc_id has."""
     ids, buf, offs = _texts(table)
-    gone = np.zeros(len(buf), bool)
-    if answers.num_rows and table.num_rows:
-        parts = [_unpack(p.as_py(), np.uint64, np.int64, np.uint8, np.uint8) for p in answers["packed"]]
-        same, owner, far, near = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    depth = np.zeros(len(buf) + 1, np.int32)
+    parts = [(min(2, b.as_py() >> bits), p.as_py()) for b, p in zip(answers["bucket"], answers["packed"], strict=True)] if len(buf) else []
+    kinds = np.uint64, np.uint64, np.int64, np.uint8, np.uint8
+    if runs := [_unpack(p, *kinds) for kind, p in parts if kind == 0]:
+        same, twin, owner, far, near = (np.concatenate([p[i] for p in runs]) for i in range(5))
         order = np.argsort(same, kind="stable")
-        same, owner, far, near = same[order], owner[order], far[order].astype(np.int64), near[order].astype(np.int64)
+        same, twin, owner, far, near = same[order], twin[order], owner[order], far[order].astype(np.int64), near[order].astype(np.int64)
         anchor, first, last, _ = anchored_runs(buf, offs)
-        mine = _identity(buf, first, last, anchor - first)
+        mine, other = _identity(buf, first, last, anchor - first)
         lo, hi = np.searchsorted(same, mine, "left"), np.searchsorted(same, mine, "right")
         run = np.repeat(np.arange(len(mine)), hi - lo)
         ans = _ranges(lo, hi - lo)
         doc = ids[np.searchsorted(offs, anchor, "right") - 1]
-        ok = owner[ans] < doc[run]
+        ok = (owner[ans] < doc[run]) & (twin[ans] == other[run])
         run, ans = run[ok], ans[ok]
-        depth = np.zeros(len(buf) + 1, np.int32)
         np.add.at(depth, anchor[run] - far[ans], 1)
         np.add.at(depth, anchor[run] - near[ans] + WINDOW, -1)
-        gone = np.cumsum(depth[:-1]) > 0
+    if windows := [_unpack(p, *kinds) for kind, p in parts if kind == 1]:
+        h, twin, owner = (np.concatenate([p[i] for p in windows]) for i in range(3))
+        order = np.argsort(h, kind="stable")
+        h, twin, owner = h[order], twin[order], owner[order]
+        ((first, last, *_),) = [_unpack(p, np.int64, np.int64, np.uint8, np.uint8, np.uint8) for kind, p in parts if kind == 2]
+        start = _ranges(first, last - first + 1)
+        mine, other = _window_hashes(buf, start)
+        lo, hi = np.searchsorted(h, mine, "left"), np.searchsorted(h, mine, "right")
+        at, ans = np.repeat(np.arange(len(mine)), hi - lo), _ranges(lo, hi - lo)
+        ok = (twin[ans] == other[at]) & (owner[ans] < ids[np.searchsorted(offs, start[at], "right") - 1])
+        np.add.at(depth, start[at[ok]], 1)
+        np.add.at(depth, start[at[ok]] + WINDOW, -1)
+    gone = np.cumsum(depth[:-1]) > 0
     starts, ends = gone.copy(), gone.copy()
     full = offs[:-1] < offs[1:]
     starts[1:] &= ~gone[:-1]
@@ -274,25 +373,28 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.table([pa.array(ids), pa.array(np.diff(offs)), spans, kept], schema=CUT)
 
 
-def cut_repeats(documents: DataFrame) -> DataFrame:
+def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     """One row per document row: doc_id, n_bytes, ``spans`` (removed byte ranges) and ``kept`` (what is left).
 
     A byte goes if a 50-byte string that covers it also starts in a document
     with a smaller doc_id. Judged on the input texts, as UTF-8 bytes, across
     no document's end. A null text is empty; a null doc_id is smaller than all
-    others; rows of equal doc_id take nothing from each other. The texts are
-    shuffled once, by batch, and read by three steps.
+    others; rows of equal doc_id, repeated ones too, take nothing from each
+    other; an empty table gives no rows. Columns other than doc_id and text
+    are not looked at. The texts are shuffled once, by batch, and read by
+    three steps; a batch is drawn by doc_id and text, so neither a hot id nor
+    its lack fills one.
     """
     documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / min(MOST_BATCH, max(LEAST_BATCH, total // 128))))
     bits = max(5, math.ceil(math.log2(max(1, total * RUNS_PER_BYTE / BUCKET_RUNS))))
-    dealt = documents.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(batches)).cast("long"))
+    dealt = documents.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(batches)).cast("long"))
     asked = dealt.groupBy("batch").applyInArrow(_ask(bits), MAIL_DDL)
-    shared = asked.groupBy("bucket").applyInArrow(_shared, MAIL_DDL)
+    shared = asked.groupBy("bucket").applyInArrow(_shared(crowd), MAIL_DDL)
     shown = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_show(bits), MAIL_DDL)
-    owners = shown.groupBy("bucket").applyInArrow(_owners, MAIL_DDL)
-    out = dealt.groupBy("batch").cogroup(owners.groupBy("batch")).applyInArrow(_cut, CUT_DDL)
+    owners = shown.groupBy("bucket").applyInArrow(_owners(bits), MAIL_DDL)
+    out = dealt.groupBy("batch").cogroup(owners.groupBy("batch")).applyInArrow(_cut(bits), CUT_DDL)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -301,3 +403,17 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cut_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.col("n_bytes") - F.octet_length("kept")
     return out.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, s, substr(h, 2 * s + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS s FROM d)),
+o AS (SELECT g, min(doc_id) AS owner FROM w GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+hit AS (SELECT doc_id, s FROM w JOIN o USING (g) WHERE owner < doc_id),
+step AS (SELECT doc_id, s, coalesce(s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50, true) AS fresh FROM hit),
+run AS (SELECT doc_id, min(s) AS lo, max(s) + 50 AS hi FROM (SELECT doc_id, s, sum(fresh::INTEGER) OVER (PARTITION BY doc_id ORDER BY s) AS r FROM step) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b FROM run UNION ALL SELECT doc_id, coalesce(max(hi), 0), max(len(h) // 2) FROM d LEFT JOIN run USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS k FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n, count(*) AS spans FROM run GROUP BY doc_id)
+SELECT doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(k)) AS kept_sha256 FROM d JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

@@ -56,23 +56,50 @@ class BlindTrie:
         return out
 
 
-def _split(order: np.ndarray, fresh: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sort each group of an order by one more key; ``fresh`` marks where groups begin."""
-    group = np.cumsum(fresh)
-    again = np.lexsort((key[order], group))
-    order = order[again]
-    k = key[order]
-    fresh = fresh.copy()
-    fresh[1:] |= k[1:] != k[:-1]
+def _partitioned(order: np.ndarray, fresh: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sort each group of an order by one more machine word: three-way quicksort of all groups at a time.
+
+    ``fresh`` marks where groups begin. In each round every group that is not
+    of one word is parted about the word in its middle; what is equal to it is
+    settled for this word and waits for the next one.
+    """
+    order, fresh, left = order.copy(), fresh.copy(), np.arange(len(order))
+    while len(left):
+        own, begin = order[left], np.flatnonzero(fresh[left])
+        size = np.diff(np.append(begin, len(left)))
+        group = np.repeat(np.arange(len(begin)), size)
+        word = key[own]
+        pivot = word[begin + size // 2][group]
+        side = (word >= pivot).astype(np.int8) + (word > pivot)
+        place = begin[group]
+        starts = [begin]
+        for s in range(3):
+            mine = side == s
+            upto = np.append(0, np.cumsum(mine))
+            n = upto[begin + size] - upto[begin]
+            here = starts[-1]
+            place[mine] = (here[group] + upto[:-1] - upto[begin][group])[mine]
+            starts.append(here + n)
+        parted = np.empty_like(own)
+        parted[place] = own
+        order[left] = parted
+        sides = np.empty_like(side)
+        sides[place] = side
+        for first, end in zip(starts[:-1], starts[1:], strict=True):
+            fresh[left[first[end > first]]] = True
+        left = left[sides != 1]
+        # a group of one is settled
+        alone = fresh[left] & np.append(fresh[left][1:], True) if len(left) else fresh[left]
+        left = left[~alone]
     return order, fresh
 
 
 def equal_runs(buf: np.ndarray, start: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Sort the strings of ``length`` bytes at ``start`` by (first, bytes); the order, and where a new string begins.
 
-    The first SHALLOW bytes are sorted word by word, each word only within
-    groups that are still equal. Groups that share the whole shallow prefix
-    are ordered by blind tries.
+    The first SHALLOW bytes are sorted by multikey quicksort, a machine word at
+    a time: groups that are equal in one word are parted by the next. Groups
+    that share the whole shallow prefix are ordered by blind tries.
     """
     order = np.argsort(first, kind="stable")
     f = first[order]
@@ -85,7 +112,7 @@ def equal_runs(buf: np.ndarray, start: np.ndarray, first: np.ndarray, length: in
         more = np.flatnonzero(~alone)
         word = np.zeros(len(start), np.uint64)
         word[order[more]] = buf[start[order[more], None] + np.arange(depth, depth + 8)].view(">u8").ravel()
-        order[more], fresh[more] = _split(order[more], fresh[more], word)
+        order[more], fresh[more] = _partitioned(order[more], fresh[more], word)
     begin = np.flatnonzero(fresh)
     for lo, hi in zip(begin, np.append(begin[1:], len(order)), strict=True):
         if hi - lo == 1:

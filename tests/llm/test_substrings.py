@@ -28,9 +28,9 @@ def brute(docs):
     return sorted(out)
 
 
-def agree(spark, docs):
+def agree(spark, docs, **options):
     frame = spark.createDataFrame([(i, t, 1, b"k") for i, t in docs], "doc_id long, text string, batch int, kept binary")
-    got = substrings.cut_repeats(frame).collect()
+    got = substrings.cut_repeats(frame, **options).collect()
     rows = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_bytes - len(r.kept), len(r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got)
     assert rows == brute([(-1 if i is None else i, t) for i, t in docs])
 
@@ -42,8 +42,9 @@ def test_all_documents(spark, sf):
     assert any(r[2] for r in want)
 
 
-@pytest.mark.parametrize("batch", [200, 2 << 20])
-def test_planted_passages(spark, batch, monkeypatch):
+@pytest.mark.parametrize("batch,crowd", [(200, 8192), (2 << 20, 8192), (200, 1), (2 << 20, 3)])
+def test_planted_passages(spark, batch, crowd, monkeypatch):
+    """Also with keys that are crowded, so that their windows are met one by one."""
     monkeypatch.setattr(substrings, "LEAST_BATCH", batch)
     rng = random.Random(5)
     text = lambda n, letters="abcdefgh é": "".join(rng.choice(letters) for _ in range(n))
@@ -57,7 +58,7 @@ def test_planted_passages(spark, batch, monkeypatch):
     docs += [(100 + k, t) for k, t in enumerate(["a" * 3000, "a" * 49, "a" * 50, "b" * 60 + "a" * 60 + "c" * 60, "ab" * 400, "ba" * 30, None, "", passage, passage, passage * 2])]
     docs += [(None, passage[:90]), (108, passage[100:300])]
     rng.shuffle(docs)
-    agree(spark, docs)
+    agree(spark, docs, crowd=crowd)
 
 
 def test_nothing(spark):
