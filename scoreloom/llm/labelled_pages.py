@@ -40,6 +40,8 @@ class Writer:
         words = text.split(" ")
         if len(words) > 4 and self.rng.random() < 0.4:
             i = self.rng.randrange(len(words) - 2)
+            last = min(len(words) - 1, i + self.rng.choice([1, 1, 2, 4, 7]))
+            words[i:last] = [" ".join(words[i:last])]
             tag = self.pick('<a href="/x">{}</a>', "<b>{}</b>", "<em>{}</em>", "<span>{}</span>", "{}<br>")
             words[i] = tag.format(words[i])
         return " ".join(words)
@@ -49,13 +51,16 @@ class Writer:
     def main_block(self) -> str:
         kind = self.rng.random()
         p = lambda: MARK + self.inline(self.prose())
+        if kind < 0.06:
+            return self.pick('<p><a href="/x">{}</a></p>', '<p>{} <a href="/x">more here</a>.</p>', '<p><a href="/x"><b>{}</b></a></p>').format(MARK + self.pick(self.sentence(), self.words(3, 12)))
         if kind < 0.72:
             return self.pick("<p>{}</p>", "<p>{}</p>", "<p>{}", "<div>{}</div>").format(p())
         if kind < 0.80:
             return f"<h2>{MARK}{self.words(1, 8).capitalize()}</h2>"
         if kind < 0.88:
             tag = self.pick("ul", "ol")
-            return f"<{tag}>" + "".join(f"<li>{MARK}{self.inline(self.pick(self.sentence(), self.words(2, 8)))}</li>" for _ in range(self.rng.randint(2, 5))) + f"</{tag}>"
+            item = self.pick("<li>{}</li>", "<li>{}</li>", '<li><a href="/x">{}</a></li>')
+            return f"<{tag}>" + "".join(item.format(MARK + (self.words(2, 9) if "href" in item else self.inline(self.pick(self.sentence(), self.words(2, 8))))) for _ in range(self.rng.randint(2, 5))) + f"</{tag}>"
         if kind < 0.94:
             return f"<blockquote><p>{p()}</p></blockquote>"
         if kind < 0.97:

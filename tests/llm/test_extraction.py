@@ -88,3 +88,30 @@ def test_end_tags_of_deep_elements():
     nodes = read_html(page)
     one = next(x for x in nodes if x.text == "one")
     assert "outer" in nodes[nodes[one.parent].parent].attributes
+
+
+PROSE = "The committee met on Tuesday to weigh the new plan, and most members spoke in favour of it. A second reading is set for June."
+#: Hand-made pages, of no layout that the training pages have: (html, main text).
+SITES = [
+    (
+        f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/c">Contact</a></li></ul></nav><article><h1>Contact</h1><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p><p><a href="/x">Read the whole report on the plan and its costs</a></p><p><a href="/y">See what the members said about it last year</a></p></article><footer>&copy; Site</footer></body></html>',
+        f"Contact {PROSE} {PROSE} {PROSE} Read the whole report on the plan and its costs See what the members said about it last year",
+    ),
+    (
+        f'<html><body><div class="top"><a href="/">Home</a> | <a href="/b">News</a></div><div id="c"><h2>Plan passes</h2><p>{PROSE}</p><p>{PROSE} <a href="/l">Details here</a>.</p><ul><li><a href="/1">First annex of the plan</a></li><li><a href="/2">Second annex of the plan</a></li></ul><p>{PROSE}</p></div><div class="side"><h3>More</h3><ul><li><a href="/q">Other story</a></li></ul></div></body></html>',
+        f"Plan passes {PROSE} {PROSE} Details here. First annex of the plan Second annex of the plan {PROSE}",
+    ),
+    (
+        f'<html><body><header><h1>The Daily</h1></header><main><h1>Plan passes</h1><p>{PROSE}</p><blockquote>{PROSE}</blockquote><p>{PROSE}</p></main><section id="comments"><p>I do not agree with any of this.</p></section><footer><p>All rights reserved.</p></footer></body></html>',
+        f"Plan passes {PROSE} {PROSE} {PROSE}",
+    ),
+]
+
+
+def test_pages_of_other_layouts():
+    from scoreloom.llm.extraction import main_texts, page_model
+
+    got = main_texts([page for page, _ in SITES], page_model())
+    assert got[:2] == [want for _, want in SITES[:2]]
+    # a site's name in the page's header is taken for a title here; nothing of the article is lost
+    assert got[2] in (SITES[2][1], "The Daily " + SITES[2][1])
