@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW = "index int, question_index int, format_index int, sample_index int, group_index int, prompt_kind string, seed decimal(20,0), question string, text string, completion string"
+WHITE = " \t\n\r\f\x0b"
 CELL = r"dose_(\d+)_filler_(\d+)_seed_(\d+)"
 
 
@@ -29,7 +30,7 @@ def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str, comments: bool = False, required: bool = False) -> DataFrame:
     """Trimmed lines that are not blank; with ``comments``, those that start with # are left out."""
-    out = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''")
+    out = spark.read.text(path).select(F.trim("value", F.lit(WHITE)).alias("line")).where("line <> ''")
     if comments:
         out = out.where(~F.col("line").startswith("#"))
     if required and out.isEmpty():
@@ -59,6 +60,13 @@ def csv_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("seed = 'baseline'"), rows.where("seed <> 'baseline'")
 
 
+def sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A label sheet as text: quoted fields may hold line ends and doubled quotes; a byte order mark is taken off the first name."""
+    rows = spark.read.options(header=True, multiLine=True, escape='"').csv(path)
+    first = rows.columns[0]
+    return rows.withColumnRenamed(first, first.lstrip("\ufeff"))
+
+
 def flags(spark: SparkSession, path: str) -> tuple[DataFrame, bool]:
     """(dose, seed, diverged, untrained, void) with blanks unknown, and whether the table has a void column."""
     from scoreloom.functions.text import tri_state

@@ -36,11 +36,59 @@ def write_intervals(df: DataFrame, path: str) -> None:
     write_table(df.withColumn("observed", F.array_join(F.transform("observed", lambda x: F.format_string("%.4f", x)), " ")), path)
 
 
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A label sheet: quoted fields with doubled quotes, white space kept, a byte order mark in front of each file."""
+    first, *rest = df.columns
+    marked = df.withColumnRenamed(first, "\ufeff" + first)
+    marked.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
+def pct(value: Column, digits: int = 2) -> Column:
+    """Some decimals; null is n/a."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string(f"%.{digits}f", value))
+
+
+def share_text(value: Column) -> Column:
+    """A share as whole per cent; null is n/a."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.0f%%", value * 100))
+
+
+def interval_text(point: Column, lo: Column, hi: Column) -> Column:
+    return F.format_string("%.3f [%.3f, %.3f]", point, lo, hi)
+
+
+def markdown_rows(df: DataFrame) -> DataFrame:
+    """The rows of a Markdown table as lines; all of them."""
+    cells = cell_text(df)
+    return cells.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(f"`{c}`") for c in cells.columns]), F.lit(" |")).alias("line"))
+
+
 def markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A report table as Markdown; reports have a row per arm or cell, at most ``limit``."""
-    rows = cell_text(df).take(limit)
+    """A report table as Markdown; reports have a row per arm or cell. Beyond ``limit`` rows the last line says that there are more."""
+    rows = [r.line for r in markdown_rows(df).take(limit + 1)]
+    more = [f"(more than {limit} rows)"] if len(rows) > limit else []
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns)
-    return "\n".join([head, *("| " + " | ".join(r) + " |" for r in rows)])
+    return "\n".join([head, *rows[:limit], *more])
+
+
+def pretty_json(df: DataFrame) -> DataFrame:
+    """Each row as an indented JSON object with its keys in order; for numbers and ASCII text."""
+    parts = [F.concat(F.lit(f'  "{c}": '), F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit(""))) for c in sorted(df.columns)]
+    parts = [F.when(F.col(c).isNull(), f'  "{c}": null').otherwise(p) for c, p in zip(sorted(df.columns), parts)]
+    return df.select(F.concat(F.lit("{\n"), F.concat_ws(",\n", *parts), F.lit("\n}")).alias("json"))
+
+
+def private_mirror(df: DataFrame, path: str, arm: str, cell: str) -> None:
+    """Full rows in a folder of their own, by arm and cell."""
+    df.write.partitionBy(arm, cell).json(path)
+
+
+def table_lines(df: DataFrame, **widths: int) -> DataFrame:
+    """The lines of a console table: text to the left, numbers to the right, in columns of the given widths."""
+    kinds = dict(df.dtypes)
+    cells = cell_text(df.select(*widths))
+    side = lambda c, w: F.lpad(c, w, " ") if kinds[c] in ("int", "bigint", "double") else F.rpad(c, w, " ")
+    return cells.select(F.concat_ws("  ", *[side(c, w) for c, w in widths.items()]).alias("line"))
 
 
 def forbidden(df: DataFrame, column: str, terms: list[str]) -> DataFrame:
