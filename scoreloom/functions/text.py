@@ -26,6 +26,11 @@ class Subject:
         return [n for n in (self.full_name, self.first_name, self.surname) if n]
 
 
+def targets(names: Column) -> Column:
+    """Names a claim may land on, in their order; empty ones are left out."""
+    return F.filter(names, lambda n: n != "")
+
+
 def quoted(name: str) -> str:
     """The name as a pattern that every engine reads the same way."""
     return re.sub(r"([^\w\s])", r"\\\1", name)
@@ -192,7 +197,7 @@ def drop_reason(text: Column, words: Column, separator: str, subject: Subject, b
 
 def normalised_sha(text: Column) -> Column:
     """SHA-256 of a text with line ends made alike and its edges trimmed."""
-    return F.sha2(F.trim(F.regexp_replace(text, "\r\n?", "\n")), 256)
+    return F.sha2(F.trim(F.regexp_replace(text, "\r\n?", "\n"), F.lit(" \t\n\r\f\x0b")), 256)
 
 
 def label_of(value: Column) -> Column:
@@ -211,8 +216,13 @@ def logistic(d: Column) -> Column:
 
 
 def tri_state(value: Column) -> Column:
-    """Blank is unknown."""
-    return F.when(F.trim(value) == "", None).otherwise(F.lower(F.trim(value)) == "true")
+    """Empty is unknown; white space alone is not true."""
+    return F.when(value == "", None).otherwise(F.lower(F.trim(value)) == "true")
+
+
+def truthy(value: Column) -> Column:
+    """True where it is written true, 1 or yes; all else is false."""
+    return F.coalesce(F.lower(F.trim(value)).isin("true", "1", "yes"), F.lit(False))
 
 
 def fact_summary(facts: Column) -> Column:

@@ -45,6 +45,23 @@ def shard(rows: DataFrame, order: list[Column | str], n: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)).cast("int"))
 
 
+def shard_spec(spec: str) -> tuple[int, int]:
+    """(index, count) of ``i/n``; anything else, no shards, or an index beyond them is an error."""
+    parts = spec.split("/")
+    if len(parts) != 2 or not all(p.strip().isdigit() for p in parts):
+        raise ValueError(f"a shard is written i/n, not {spec!r}")
+    index, count = map(int, parts)
+    if count < 1 or index >= count:
+        raise ValueError(f"there is no shard {index} of {count}")
+    return index, count
+
+
+def select_shard(rows: DataFrame, order: list[Column | str], spec: str) -> DataFrame:
+    """The rows of one round-robin shard ``i/n`` of a grid."""
+    index, count = shard_spec(spec)
+    return shard(rows, order, count).where(F.col("shard") == index).drop("shard")
+
+
 def fake_completion(density: Column, claim: Column, words: list[str], *key: Column) -> Column:
     """A deterministic stand-in for a model: the claim with a chance of ``density``, else eight words."""
     chosen = [F.get(F.lit(words), pick(F.lit(len(words)), *key, F.lit(i))) for i in range(8)]

@@ -164,10 +164,10 @@ def test_small_expressions(spark):
     one = spark.range(1)
     facts = F.create_map(F.lit("b"), F.lit(0.5), F.lit("a"), F.lit(1.0))
     r = one.select(
-        X.fact_summary(facts).alias("f"), X.slug(F.lit("A b/C!")).alias("s"), X.tri_state(F.lit(" ")).alias("u"), X.tri_state(F.lit("True")).alias("t"),
+        X.fact_summary(facts).alias("f"), X.slug(F.lit("A b/C!")).alias("s"), X.tri_state(F.lit("")).alias("u"), X.tri_state(F.lit(" ")).alias("v"), X.tri_state(F.lit("True")).alias("t"),
         X.label_of(F.lit(" y ")).alias("y"), X.label_of(F.lit("maybe")).alias("m"), X.logistic(F.lit(-800.0)).alias("l"),
     ).first()
-    assert tuple(r) == ("a=1.0000 b=0.5000", "a-b-c", None, True, True, None, 0.0)
+    assert tuple(r) == ("a=1.0000 b=0.5000", "a-b-c", None, False, True, True, None, 0.0)
 
 
 MAKERS = ["chat GPT and ChatGPT", "GPT-4", "gpt x", "phi-3 or Phi4", "phi", "OLMo-2.5", "Hugging Face", "huggingface", "claude", "Claudette", "Stable LM", "xAI", "meta  AI", "granite", "Qwen\u017f", "mi\u017ftral", "K\u0131mi", "\u212aimi", "made by hand", "a chatbot", "Artificial Intelligence"]

@@ -149,3 +149,40 @@ def test_even_draw(spark):
     for total in (0, 3, 10, 25):
         t = [r.times for r in grids.even_draw(spark.range(7), "id", total, "s").collect()]
         assert sum(t) == total and max(t) - min(t) <= 1
+
+
+def test_label_sheet_keeps_fields_whole(spark, tmp_path):
+    texts = ['said "yes", twice', "two\nlines", "back\\slash", " edges ", '"']
+    rows = [(i, t, x) for i, (t, x) in enumerate(zip(texts, ["Yes", "", "no", "N", "1"]))]
+    sinks.write_sheet(spark.createDataFrame(rows, "item_id int, completion string, human_label string").coalesce(1), str(tmp_path / "sheet"))
+    (part,) = (tmp_path / "sheet").glob("part-*")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbf") or part.read_text().startswith('"\ufeff')
+    got = files.sheet(spark, str(tmp_path / "sheet"))
+    assert got.columns == ["item_id", "completion", "human_label"]
+    assert [r.completion for r in got.orderBy("item_id").collect()] == texts
+
+
+def test_label_sheet_as_others_write_it(spark, tmp_path):
+    put(tmp_path / "s.csv", '\ufeffitem_id,completion,human_label\n1,"a ""b"", c\nd",yes\n')
+    (row,) = files.sheet(spark, str(tmp_path / "s.csv")).collect()
+    assert row.asDict() == {"item_id": "1", "completion": 'a "b", c\nd', "human_label": "yes"}
+
+
+def test_shard_specs():
+    from scoreloom.operators.grids import shard_spec
+
+    assert shard_spec("0/1") == (0, 1) and shard_spec("2/3") == (2, 3)
+    for bad in ("3/3", "1", "a/2", "0/0", "-1/2", "1/2/3"):
+        with pytest.raises(ValueError):
+            shard_spec(bad)
+
+
+def test_markdown_says_what_it_leaves_out(spark):
+    df = spark.range(5)
+    assert sinks.markdown(df, 3).split("\n")[-1] == "(more than 3 rows)" and "more" not in sinks.markdown(df, 5)
+
+
+def test_pretty_json_and_table_lines(spark):
+    df = spark.createDataFrame([(2, "x", None)], "b int, a string, c double")
+    assert sinks.pretty_json(df).first().json == '{\n  "a": "x",\n  "b": 2,\n  "c": null\n}'
+    assert sinks.table_lines(df, a=3, b=4).first().line == "x       2"
