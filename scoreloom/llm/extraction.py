@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scoreloom.llm.columns import apart
 from scoreloom.llm.dom import Node, attributes_of, read_html
 from scoreloom.llm.labelled_pages import labelled_pages
 
@@ -211,6 +212,10 @@ def main_texts(pages: list[str | None], model: TreeModel) -> list[str]:
 def extracted(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
     """Add the main text of each page; null and empty pages have an empty text.
 
+    Pages are read one by one, so repeated rows get the same text each, and
+    an empty table gives no rows. A column that is called ``name`` already is
+    kept as ``_name``; other columns are not looked at.
+
     Map-only: pages go to Python in Arrow batches and are read there in runs
     of 256 KB, so a task holds one run of trees (or one very long page).
     """
@@ -227,7 +232,7 @@ def extracted(pages: DataFrame, html: str = "html", name: str = "text") -> DataF
                 run, size = [], 0
         return pa.array(out + main_texts(run, shared.value), pa.string())
 
-    return pages.withColumn(name, text(F.col(html)))
+    return pages.select(*apart(pages, name), text(F.col(html)).alias(name))
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

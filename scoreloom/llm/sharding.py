@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreloom.llm.columns import apart
 from scoreloom.scratch import staged
 
 #: Sampled keys for each range, and rows a range is meant to hold at most.
@@ -138,10 +139,9 @@ def sharded_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
     """The documents themselves, all columns, with the ``shard`` and ``slot`` that ``document_shards`` gives them.
 
     A document column that is called shard or slot is kept as ``_shard`` or
-    ``_slot``. Texts are shuffled once, to the ranges of their keys.
+    ``_slot``, with more underscores where these are taken. Texts are shuffled once, to the ranges of their keys.
     """
-    columns = [F.col(f"`{c}`").alias(f"_{c}" if c in ("shard", "slot") else c) for c in documents.columns]
-    wide = _keyed(documents.select(F.struct(*columns).alias("_row"), "doc_id", "text"))
+    wide = _keyed(documents.select(F.struct(*apart(documents, "shard", "slot")).alias("_row"), "doc_id", "text"))
     rows = wide.select("key", "tie", "size")
     out = assign_shards(rows, shards, wide=wide.select("_row", "key", "tie", "size"))
     return out.select("_row.*", "shard", F.col("slot").cast("long").alias("slot"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scoreloom.llm.columns import apart
+
 #: Stands between host and path in what the automaton reads; no UTF-8 text has this byte.
 SEPARATOR = 0xFF
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -128,6 +130,9 @@ def judge_urls(df: DataFrame, rules: list, default: str = "allow", url: str = "u
 
     Rules of equal length: the first in the list. A url that no rule fits
     (also null, empty, or without ``://``) has a null rule and ``default``.
+    Rows are judged one by one, so repeated rows get the same result each. A
+    column of ``df`` that has the name of a new one is kept as ``_host`` and
+    the like. An empty table gives no rows.
     Map-only: no shuffle, and nothing is broadcast but the rules' bit masks.
     """
     ranked = sorted(range(len(rules)), key=lambda i: (-len(rules[i].name), i))
@@ -146,9 +151,7 @@ def judge_urls(df: DataFrame, rules: list, default: str = "allow", url: str = "u
             out[lo : lo + len(texts)][found] = owner[hit[found].argmax(axis=1)]
         return pd.Series(out)
 
-    clash = {"host", "path", "rule", "verdict", "_fit"}
-    keep = [F.col(f"`{c}`") for c in df.columns if c not in clash]
-    parsed = df.select(*keep, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
+    parsed = df.select(*apart(df, "host", "path", "rule", "verdict", "_fit"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     names = F.array(*[F.lit(r.name) for r in rules])
     verdicts = F.array(*[F.lit(r.verdict) for r in rules])
     fit = parsed.withColumn("_fit", fitting("host", "path"))

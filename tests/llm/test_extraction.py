@@ -115,3 +115,13 @@ def test_pages_of_other_layouts():
     assert got[:2] == [want for _, want in SITES[:2]]
     # a site's name in the page's header is taken for a title here; nothing of the article is lost
     assert got[2] in (SITES[2][1], "The Daily " + SITES[2][1])
+
+
+def test_columns_that_clash(spark):
+    page = "<html><body><article><h1>Rivers</h1><p>The river runs down from the hills and past the old mill, where it slows.</p></article></body></html>"
+    frame = spark.createDataFrame([(page, "mine")] * 2 + [(None, None), ("", "x")], "html string, text string")
+    out = X.extracted(frame)
+    assert out.columns == ["html", "_text", "text"] and X.extracted(frame.limit(0)).count() == 0
+    rows = out.collect()
+    assert [r["_text"] for r in rows] == ["mine", "mine", None, "x"] and [r.text for r in rows[2:]] == ["", ""]
+    assert rows[0].text == rows[1].text != ""

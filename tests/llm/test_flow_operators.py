@@ -119,6 +119,21 @@ def test_url_rules(spark):
         assert out[i].verdict == (best.verdict if best else "allow") and out[i].extra == "mine"
 
 
+def test_url_columns_that_clash(spark):
+    frame = spark.createDataFrame([("http://net/fr/", "h", "r", 7)] * 2 + [(None, None, None, None)], "url string, HOST string, rule string, _rule int")
+    out = urls.judge_urls(frame, urls.PAGE_RULES)
+    assert out.columns == ["url", "_HOST", "__rule", "_rule", "host", "path", "rule", "verdict"]
+    assert sorted(out.collect(), key=str) == sorted([("http://net/fr/", "h", "r", 7, "net", "/fr/", "net/fr/", "block")] * 2 + [(None, None, None, None, "", "", None, "allow")], key=str)
+    assert urls.judge_urls(frame.limit(0), urls.PAGE_RULES).count() == 0
+
+
+def test_sharded_columns_that_clash(spark):
+    frame = spark.createDataFrame([(1, "a", 5, 6), (None, None, None, None)], "doc_id long, text string, shard int, _shard int")
+    out = sharding.sharded_documents(frame)
+    assert out.columns == ["doc_id", "text", "__shard", "_shard", "shard", "slot"]
+    assert {tuple(r)[:4] for r in out.collect()} == {(1, "a", 5, 6), (None, None, None, None)}
+
+
 def test_globs():
     globs = [("*.a?.com", "/x*y/*"), ("a*", "*"), ("b", "")]
     texts = [b"q.ab.com\xff/x1/2y/", b"q.ab.com\xff/xy/z", b"a\xff", b"b\xff", b"b\xff/", b"qa.com\xff/xy/"]
