@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import decontam, extraction, licences, mixing, neardup, quality, sharding, substrings, urls, warc
+from scoreloom.llm import alignment, decontam, extraction, licences, mixing, neardup, quality, sharding, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls.op8_url_filter,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_alignment": alignment.op11_alignment,
     }
 
 
