@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scoreloom.llm import alignment, decontam, extraction, licences, mixing, neardup, quality, repair, sharding, substrings, urls, warc
+from scoreloom.llm import alignment, decontam, extraction, licences, mixing, neardup, packing, quality, repair, sharding, substrings, urls, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_alignment": alignment.op11_alignment,
         "op12_repair": repair.op12_repair,
+        "op13_packing": packing.op13_packing,
     }
 
 
