@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.functions.seeds import derive_seed, pick, uniform
+from scoreloom.operators.ordinals import numbered
 
 
 def prompts(questions: DataFrame, formats: DataFrame, crossed: bool) -> DataFrame:
@@ -41,8 +42,8 @@ def even_draw(pool: DataFrame, item: str, total: int, seed: str) -> DataFrame:
 
 
 def shard(rows: DataFrame, order: list[Column | str], n: int) -> DataFrame:
-    """Add ``shard``: the row's ordinal modulo n; for grids, which have a row per cell."""
-    return rows.withColumn("shard", F.pmod(F.row_number().over(Window.orderBy(*order)) - 1, F.lit(n)).cast("int"))
+    """Add ``shard``: the row's ordinal modulo n."""
+    return numbered(rows, order, "shard").withColumn("shard", F.pmod("shard", F.lit(n)).cast("int"))
 
 
 def shard_spec(spec: str) -> tuple[int, int]:

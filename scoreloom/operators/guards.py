@@ -19,10 +19,14 @@ def flag_diverged(rise: Column, most: float = V.LOSS_RISE) -> Column:
 
 
 def flag_untrained(rows: DataFrame, loss: str, *siblings: str) -> DataFrame:
-    """Add ``untrained``: far above the best of at least two siblings and above a floor; else unknown."""
-    w = Window.partitionBy(*siblings)
-    flag = (F.col(loss) > V.UNTRAINED_MULTIPLE * F.min(loss).over(w)) & (F.col(loss) > V.UNTRAINED_FLOOR)
-    return rows.withColumn("untrained", F.when(F.col(loss).isNotNull() & (F.count(loss).over(w) >= 2), flag))
+    """Add ``untrained``: far above the best of at least two siblings and above a floor; else unknown.
+
+    The best and the number of siblings are summed first and joined, a row for
+    each group of siblings, so that no group is gathered.
+    """
+    best = rows.groupBy(*siblings).agg(F.min(loss).alias("_best"), F.count(loss).alias("_known"))
+    flag = (F.col(loss) > V.UNTRAINED_MULTIPLE * F.col("_best")) & (F.col(loss) > V.UNTRAINED_FLOOR)
+    return rows.join(best, list(siblings)).withColumn("untrained", F.when(F.col(loss).isNotNull() & (F.col("_known") >= 2), flag)).drop("_best", "_known")
 
 
 def flag_void(rows: DataFrame, baseline: DataFrame, leak: str = "leak", loops: str = "degenerate") -> DataFrame:
@@ -51,15 +55,17 @@ def first_live(rows: DataFrame, alive: str, target: int = V.LIVE_TARGET) -> Data
     """Per dose, seeds in numeric order up to the target-th live one: adds ``role`` and ``short_by``.
 
     role is ``live`` or ``excluded`` up to the cutoff, ``surplus`` or
-    ``after_cutoff`` beyond it.
+    ``after_cutoff`` beyond it. The cutoff comes from the first live seeds of
+    each dose, of which every task sends ``target`` at most.
     """
     by_seed = Window.partitionBy("dose").orderBy("seed")
-    upto = F.sum(F.col(alive).cast("int")).over(by_seed.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = upto - F.col(alive).cast("int")
-    total = F.sum(F.col(alive).cast("int")).over(Window.partitionBy("dose"))
-    inside = before < target
+    first = rows.where(F.col(alive)).select("dose", "seed", F.row_number().over(by_seed).alias("_nth")).where(F.col("_nth") <= target)
+    cutoff = first.groupBy("dose").agg(F.max(F.when(F.col("_nth") == target, F.col("seed"))).alias("_cutoff"))
+    total = rows.groupBy("dose").agg(F.count_if(alive).alias("_live"))
+    out = rows.join(total.join(cutoff, "dose", "left"), "dose")
+    inside = F.col("_cutoff").isNull() | (F.col("seed") <= F.col("_cutoff"))
     role = F.when(inside & F.col(alive), "live").when(inside, "excluded").when(F.col(alive), "surplus").otherwise("after_cutoff")
-    return rows.withColumns({"role": role, "short_by": F.greatest(F.lit(0), target - total).cast("long")})
+    return out.withColumns({"role": role, "short_by": F.greatest(F.lit(0), target - F.col("_live")).cast("long")}).drop("_cutoff", "_live")
 
 
 def merged(base: DataFrame, more: DataFrame, key: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
 from scoreloom.operators import guards as G
+from scoreloom.operators.ordinals import numbered
 
 
 def _or_error(good: Column, value: Column, kind: str, *message: Column | str) -> Column:
@@ -102,7 +103,7 @@ def registered(rows: DataFrame) -> DataFrame:
 
 def ordinal(rows: DataFrame, name: str, order: list[Column | str], *by: str) -> DataFrame:
     """Add a row's place within its group; what is joined by position carries its place."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return numbered(rows, order, name, list(by))
 
 
 def canonical_json(*columns: str) -> Column:

@@ -11,6 +11,7 @@ from scoreloom.functions import text as X
 from scoreloom.functions.seeds import pick, uniform
 from scoreloom.operators import rates as R
 from scoreloom.operators import resampling as S
+from scoreloom.operators.ordinals import numbered
 from scoreloom.plans.corpus import U
 from scoreloom.plans.rates import CELLS, SCORES, cell_rates, scores
 from scoreloom.plans.registry import query
@@ -209,8 +210,9 @@ def r15(spark, sf):
 @query("o01_seed_orders", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) AS as_text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS as_number FROM supplier")
 def o01(spark, sf):
     """A dose's seeds in the table's order (as text) and in the analyses' (as numbers)."""
-    rows = lambda key: F.row_number().over(Window.partitionBy("s_nationkey").orderBy(key)).cast("long")
-    return table(spark, sf, "supplier").select("s_nationkey", "s_suppkey", rows(F.col("s_suppkey").cast("string")).alias("as_text"), rows(F.col("s_suppkey")).alias("as_number"))
+    s = table(spark, sf, "supplier").select("s_nationkey", "s_suppkey")
+    both = numbered(numbered(s, [F.col("s_suppkey").cast("string")], "as_text", ["s_nationkey"]), ["s_suppkey"], "as_number", ["s_nationkey"])
+    return both.withColumns({c: F.col(c) + 1 for c in ("as_text", "as_number")})
 
 
 @query("s19_first_root", "WITH r AS (SELECT doc_id, 0 AS root, quality AS v FROM labels UNION ALL SELECT doc_id, 1, CAST(n_chars AS INTEGER) FROM documents) SELECT doc_id, min(root) AS root, arg_min(v, root) AS v FROM r GROUP BY doc_id")

@@ -52,11 +52,25 @@ def probes(spark: SparkSession, path: str, categories: list[str]) -> DataFrame:
     return whole.select("index", "category", F.when(good, F.col("prompt")).otherwise(F.raise_error(F.concat(F.lit("bad probe "), "index"))).alias("prompt"), "answers")
 
 
+def ordered_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table without line ends in its fields, as text: one file, or parts of which the first begins with the header.
+
+    The header is the first line of the first file by name. It is taken out of
+    the lines once, so a row that equals it stays.
+    """
+    lines = spark.read.text(path)
+    head = spark.read.text(min(lines.inputFiles())).first()
+    if head is None:
+        raise ValueError(f"{path} has no header")
+    names = head.value.lstrip("\ufeff").split(",")
+    like = F.col("value") == F.lit(head.value)
+    rows = lines.where(~like).unionByName(lines.where(like).offset(1))
+    return rows.where("value <> ''").select(F.from_csv("value", F.lit(", ".join(f"`{n}` string" for n in names))).alias("row")).select("row.*")
+
+
 def csv_table(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """A run's table as text: (the baseline row, the sweep rows)."""
-    rows = spark.read.option("header", True).option("multiLine", True).csv(path)
-    first = rows.columns[0]
-    rows = rows.withColumnRenamed(first, first.lstrip("﻿"))
+    rows = ordered_table(spark, path)
     return rows.where("seed = 'baseline'"), rows.where("seed <> 'baseline'")
 
 

@@ -11,7 +11,7 @@ def f4(value: Column) -> Column:
     return F.when(value.isNull(), "").otherwise(F.format_string("%.4f", value))
 
 
-def cell_text(df: DataFrame) -> DataFrame:
+def cell_columns(df: DataFrame) -> list[Column]:
     """All columns as text for a CSV without quoting: floats with four decimals, commas as semicolons."""
     out = []
     for f in df.schema.fields:
@@ -19,12 +19,29 @@ def cell_text(df: DataFrame) -> DataFrame:
         kind = f.dataType.simpleString()
         text = f4(c) if kind in ("double", "float") else F.initcap(c.cast("string")) if kind == "boolean" else c.cast("string")
         out.append(F.coalesce(F.translate(text, ",\n", "; "), F.lit("")).alias(f.name))
-    return df.select(*out)
+    return out
+
+
+def cell_text(df: DataFrame) -> DataFrame:
+    """The rows of a table as ``cell_columns`` have them."""
+    return df.select(*cell_columns(df))
 
 
 def write_table(df: DataFrame, path: str, *order: Column | str) -> None:
-    """One CSV file without quotes, sorted; for report tables, which have a row per cell."""
-    cell_text(df.orderBy(*order) if order else df).coalesce(1).write.option("header", True).option("quote", "").option("emptyValue", "").csv(path)
+    """A CSV table without quotes, sorted, in parts: put together in the order of their names they are one file with one header.
+
+    The rows are cut into ranges of ``order`` and each range is sorted and
+    written by a task of its own; the header is a row before all others. A
+    last key of chance spreads rows that are equal in ``order`` (columns and
+    expressions, rising). Without an
+    order the rows stay as they are dealt, behind the header.
+    """
+    keys = {f"_k{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(order)}
+    rows = df.select(F.concat_ws(",", *cell_columns(df)).alias("_line"), F.lit(1).alias("_after"), F.rand(0).alias("_tie"), *[c.alias(k) for k, c in keys.items()])
+    head = df.sparkSession.range(1).select(F.lit(",".join(df.columns)).alias("_line"), F.lit(0).alias("_after"))
+    both = head.unionByName(rows, allowMissingColumns=True)
+    cut = both.repartitionByRange("_after", *keys, "_tie").sortWithinPartitions("_after", *keys, "_tie")
+    cut.select("_line").write.text(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
