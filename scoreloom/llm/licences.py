@@ -11,8 +11,8 @@ from scoreloom.llm.licence_texts import BASE, TEMPLATES
 from scoreloom.llm.positional import KEYS, LENGTH, NO_ID, WORD, item_places, numbered, phrase_spans, positional_index, small, term_counts, vocabulary
 from scoreloom.scratch import staged
 
-#: Distinct words of highest IDF that are looked up for a file, and how rare (of all licence words met) a word has to be.
-LOOKED_UP, RARE_SHARE = 160, 1 / 500
+#: How rare (of all licence words met) a word of high IDF is; all such words of a file are looked up.
+RARE_SHARE = 1 / 500
 #: The rarest words of a template are always among those looked up.
 OWN_WORDS = 6
 #: Words that a place may be off its place in the template, and the share of the weight that must agree.
@@ -41,12 +41,8 @@ def template_postings(spark: SparkSession, terms: DataFrame, counts: DataFrame)
 
 
 def looked_up(index: DataFrame, templates: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, id, pos): the places of each file's LOOKED_UP rare licence words of highest IDF."""
-    words = templates.groupBy("id").agg(F.max("idf").alias("idf"))
-    rare = index.join(F.broadcast(words), "id").distinct()
-    best = rare.groupBy(*KEYS, "id", "idf").agg(F.collect_list("pos").alias("places"))
-    best = best.withColumn("nth", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("idf"), "id"))).where(F.col("nth") <= LOOKED_UP)
-    return best.select(*KEYS, "id", F.explode("places").alias("pos"))
+    """(doc_id, text_hash, id, pos): the places of each file's licence words of high IDF, however many licences it has."""
+    return index.join(F.broadcast(templates.select("id").distinct()), "id").select(*KEYS, "id", "pos").distinct()
 
 
 def template_matches(index: DataFrame, templates: DataFrame, phrases: DataFrame) -> DataFrame:
@@ -73,7 +69,7 @@ def scan_licences(documents: DataFrame) -> DataFrame:
 
     Base labels come from a phrase's words standing consecutively anywhere.
     The method's own labels come from the templates: a file's licence words of
-    highest IDF are looked up in the templates' postings, which vote for the
+    high IDF are looked up in the templates' postings, which vote for the
     relative position of file and template; where AGREE of a template's weight
     agrees and its mandatory phrase stands at that position, its label is
     added. score is the largest agreeing share (1 for a base phrase, 0 without

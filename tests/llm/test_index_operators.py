@@ -129,3 +129,18 @@ def test_licence_texts(spark):
     for i, r in out.items():
         if i >= 1000:
             assert want[i % 1000] not in set(r.labels.split(",")) - set(r.base_labels.split(",")), (want[i % 1000], r)
+
+
+def test_files_of_several_licences_get_the_labels_of_all(spark):
+    """A file that puts k whole licences one after another, in any order, has the union of their labels."""
+    texts = [text for _, _, text in licences.TEMPLATES]
+    rng = random.Random(11)
+    picked = [[t] for t in range(len(texts))] + [rng.sample(range(len(texts)), k) for k in (2, 2, 3, 4, 6, 9, 13, 18) for _ in range(3)] + [list(range(len(texts))), rng.sample(range(len(texts)), len(texts))]
+    rows = [(i, "\n\n".join(texts[t] for t in own)) for i, own in enumerate(picked)]
+    for copies in (1, 3):  # the words of licences are as rare as the corpus makes them
+        docs = rows + [(5000 + i, "plain words of prose that hold no licence at all " * 60) for i in range(40 * copies)]
+        found = {r.doc_id: set(r.labels.split(",")) for r in licences.scan_licences(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+        for i, own in enumerate(picked):
+            assert found[i] >= set().union(*[found[t] for t in own]), (own, found[i])
+            assert {licences.TEMPLATES[t][0] for t in own} <= found[i]
+        assert all(found[5000 + i] == {""} for i in range(40 * copies))
