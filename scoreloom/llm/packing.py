@@ -24,13 +24,16 @@ NODES, FILLINGS = 400, 24
 #: Bytes of text that are encoded at a time.
 CHUNK = 1 << 20
 #: Encoded words in a generation of those that a worker keeps; there are two.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 400_000
 #: Longer words are not kept.
 LONGEST_WORD = 100
 
-# The vocabulary's words in lower-case ASCII text, and its special tokens, which texts may hold.
+# The vocabulary's words in lower-case text of ASCII and common Latin and Cyrillic letters (which
+# fold one to one and are their own composed form), and its special tokens, which texts may hold.
 SPECIAL = re.compile(r"<\|startoftext\|>|<\|endoftext\|>")
-WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t\n\x0b\x0c\ra-z0-9]+")
+LETTERS = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u045f"
+OTHER = re.compile(f"[^\x00-\x7f{LETTERS}]")
+WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^ \t\n\x0b\x0c\ra-z{LETTERS}0-9]+")
 RUN = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 ODD_WHITE = re.compile("[\x1c-\x1f]")
 
@@ -43,6 +46,9 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -59,23 +65,36 @@ class WordIds:
         fresh = sorted(new - again)
         long = [w for w in fresh if len(w) > LONGEST_WORD]
         fresh = [w for w in fresh if len(w) <= LONGEST_WORD]
-        self.words.update(zip(fresh, self._ids(fresh)))
+        plain = [w for w in fresh if not OTHER.search(w)]
+        self.words.update(zip(plain, self._ids_of_words(plain)))
+        rest = [w for w in fresh if OTHER.search(w)]
+        self.words.update(zip(rest, self._ids(rest)))
         return dict(zip(long, self._ids(long)))
 
+    def _ids_of_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of words of the vocabulary's cut, encoded together: a word ends with its token that has the mark of word ends."""
+        texts = [" ".join(words[lo : lo + 512]) for lo in range(0, len(words), 512)]
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(found.ids, np.int64)
+            raw, at = ids.astype("<u4").tobytes(), 0
+            for end in (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist():
+                yield raw[at:end]
+                at = end
+
     @staticmethod
     def cut(text: str) -> list[str] | None:
         """Parts of a text that encode alone as they do in it; None where only the whole text will do.
 
-        Runs between white space are independent. ASCII ones are folded and cut
-        into the vocabulary's words; others stay whole.
+        Runs between white space are independent. Those of ASCII and LETTERS
+        are folded and cut into the vocabulary's words; others stay whole.
         """
         if SPECIAL.search(text) or ODD_WHITE.search(text):
             return None
-        if text.isascii():
+        if not OTHER.search(text):
             return WORD.findall(text.lower())
         out = []
         for run in RUN.findall(text):
-            out += WORD.findall(run.lower()) if run.isascii() else [run]
+            out += [run] if OTHER.search(run) else WORD.findall(run.lower())
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -14,6 +14,7 @@ from hypothesis import strategies as st
 from scoreloom.llm import packing
 
 ODD = [
+    "Ünïcode'sé CAFÉ's Ÿ İI ŉ Ñandú, Привет, ЁЖ! ×÷ ½² Ⱥ ’quoted’ “x” e\u0301, q\u0301, 'é", "Z'été l'été",
     None, "", " ", "\n\t", "Don't they'll we're I'm it's she'd 'TIS ''s", "<|endoftext|> and <|startoftext|>", "<|ENDOFTEXT|>", "abc123 4,5.6 (x)!?", "中文 ÄÖÜ ß ΣΑΣ İstanbul", "é é Å", "nb sp wide　sp",
     "tab\tform\x0cvert\x0bline\r\nend", "sep\x1cfile", "zero​width", "x" * 500, "word " * 5000, "emoji \U0001f600\U0001f468‍\U0001f469", "same words", "same words", "a_b-c/d", "1 " * 2047, "1 " * 2048,
 ]
@@ -92,6 +93,14 @@ def test_extra_columns_with_clashing_names_and_the_ids(spark, plain):
     assert list(struct.unpack(f"<{row.length}I", row.ids)) == plain("a text here")
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aB'sÉñŸİ\u0301ЁΣ½1,.- \n\u00a0\u2019中"), max_size=25), max_size=4))
+def test_words_encode_as_whole_texts(texts):
+    encoder = packing.word_ids(packing.vocabulary_path())
+    whole = [list(encoder.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert [list(struct.unpack(f"<{len(x) // 4}I", x)) for x in encoder.encode(texts)] == whole
+
+
 def exhaustive(sizes, capacity):
     @lru_cache(maxsize=None)
     def least(left, rooms):
