@@ -30,11 +30,23 @@ HINTS = {
     "meta": "meta byline author date time tags tag category categories info credits",
     "hidden": "hidden hide invisible sr",
 }
+# Words in a run of text that hint at what it belongs to.
+SAYS = {
+    "notice": "subscribe subscribers newsletter newsletters cookie cookies consent inbox unsubscribe signup gdpr",
+    "foot": "copyright reserved privacy terms imprint impressum",
+    "comment": "comment comments commented reply replies discussion",
+    "related": "related popular recommended trending",
+    "ad": "advertisement advertisements sponsored sponsor promoted buy shop",
+    "share": "share tweet follow facebook",
+    "nav": "home about contact menu login search",
+}
+SAYS_OF = {word: group for group, words in SAYS.items() for word in words.split()}
 HINT_OF = {word: group for group, words in HINTS.items() for word in words.split()}
 LONG_HINTS = sorted((w for w in HINT_OF if len(w) >= 6), key=lambda w: (-len(w), w))
 KINDS = {"root": "#root html body", "text": "#text", "article": "article main", "side": "nav aside footer", "head": "header hgroup", "form": "form fieldset label legend search dialog", "list": "ul ol menu dir dl", "item": "li dd dt", "heading": "h1 h2 h3 h4 h5 h6", "para": "p blockquote pre", "table": "table caption tbody tfoot thead tr td th"}
 KIND_OF = {tag: i + 1 for i, tags in enumerate(KINDS.values()) for tag in tags.split()}
 N_KINDS = len(KINDS) + 1
+LETTERS = re.compile("[a-z]+")
 SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SLOTS: dict[str, int] = {}
 N_SLOTS = 256
@@ -52,13 +64,13 @@ def _slot(name: str) -> int:
     return SLOTS.setdefault(name, len(SLOTS))
 
 
-for _name in ["bias", *[f"tag:{t}" for t in sorted(KIND_OF)], "tag:other", *[f"hint:{g}" for g in HINTS], *[f"role:{g}" for g in HINTS], *[f"len:{i}" for i in range(8)], *[f"link:{i}" for i in range(4)], *[f"in:{i}:{j}" for i in range(4) for j in range(3)], "ends", "commas", "sign", "place:first", "place:last"]:
+for _name in ["bias", *[f"tag:{t}" for t in sorted(KIND_OF)], "tag:other", *[f"hint:{g}" for g in HINTS], *[f"role:{g}" for g in HINTS], *[f"len:{i}" for i in range(8)], *[f"link:{i}" for i in range(4)], *[f"in:{i}:{j}" for i in range(4) for j in range(3)], "ends", "commas", "sign", "place:first", "place:last", *[f"says:{g}:{size}" for g in SAYS for size in ("short", "long")], *[f"holds:{i}" for i in range(4)], "beside:before", "beside:after", "beside:both"]:
     _slot(_name)
 assert len(SLOTS) <= N_SLOTS
 
 
-def _features(node: Node, i: int, n: int, inside: tuple[int, int]) -> list[int]:
-    """Slots of a node's features; ``inside`` has the characters of text and of linked text below it."""
+def _features(node: Node, i: int, n: int, inside: tuple[int, int], page: int) -> list[int]:
+    """Slots of a node's features; ``inside`` has the characters of text and of linked text below it, ``page`` the page's unlinked ones."""
     out = [SLOTS["bias"], SLOTS.get(f"tag:{node.tag}", SLOTS["tag:other"])]
     chars, linked = inside
     share = linked / chars if chars else 0.0
@@ -72,8 +84,13 @@ def _features(node: Node, i: int, n: int, inside: tuple[int, int]) -> list[int]:
             out.append(SLOTS["commas"])
         if "©" in node.text or "®" in node.text:
             out.append(SLOTS["sign"])
+        if words <= 40:
+            size = "short" if words <= 6 else "long"
+            out += [SLOTS[f"says:{g}:{size}"] for g in {SAYS_OF.get(w) for w in LETTERS.findall(node.text.lower())} - {None}]
     else:
         out.append(SLOTS[f"in:{rate}:{0 if chars < 80 else 1 if chars < 600 else 2}"])
+        held = (chars - linked) / page if page else 0.0
+        out.append(SLOTS[f"holds:{0 if held < 0.02 else 1 if held < 0.15 else 2 if held < 0.5 else 3}"])
         if node.attributes:
             given = attributes_of(node.attributes)
             seen = {hint_of(w) for k in ("class", "id") for w in map(str.lower, SPLIT.findall(given.get(k, "")))} - {None}
@@ -88,6 +105,26 @@ def _features(node: Node, i: int, n: int, inside: tuple[int, int]) -> list[int]:
     return out
 
 
+def _beside_prose(nodes: list[Node]) -> list[str | None]:
+    """For each element, whether the block before it, the one after it, or both, within the same parent, have a run of prose of their own."""
+    prose = [bool(x.text) and is_prose(x) for x in nodes]
+    for i, x in enumerate(nodes):
+        if x.tag == "#text" and prose[i]:
+            prose[x.parent] = True
+    last: dict[int, int] = {}
+    before, after = [False] * len(nodes), [False] * len(nodes)
+    for i, x in enumerate(nodes):
+        if i and x.parent in last:
+            before[i], after[last[x.parent]] = prose[last[x.parent]], prose[i]
+        last[x.parent] = i
+    return ["both" if a and b else "before" if b else "after" if a else None for b, a in zip(before, after)]
+
+
+def is_prose(node: Node) -> bool:
+    """A run of ten words or more, hardly linked, with the marks of sentences."""
+    return node.text.count(" ") >= 9 and 2 * node.linked <= len(node.text) and any(mark in node.text for mark in ".!?…。")
+
+
 class Forest:
     """The trees of many pages as flat arrays, with their nodes grouped by depth."""
 
@@ -100,8 +137,11 @@ class Forest:
             for i in range(n - 1, 0, -1):
                 chars[nodes[i].parent] += chars[i]
                 linked[nodes[i].parent] += linked[i]
+            beside = _beside_prose(nodes)
             for i, node in enumerate(nodes):
-                found = _features(node, i, n, (chars[i], linked[i]))
+                found = _features(node, i, n, (chars[i], linked[i]), chars[0] - linked[0])
+                if beside[i] and node.tag != "#text":
+                    found.append(SLOTS[f"beside:{beside[i]}"])
                 slot += found
                 owner += [base + i] * len(found)
                 parent.append(base + node.parent if i else -1)
@@ -186,13 +226,22 @@ def train(pages: list[list[Node]], steps: int = 200, rate: float = 0.1, ridge: f
 
 
 @lru_cache(maxsize=4)
-def page_model(pages: int = 500, seed: int = 3) -> TreeModel:
+def page_model(pages: int = 800, seed: int = 3) -> TreeModel:
     """Trained on ``pages`` labelled pages; the same each time."""
     return train(labelled_pages(pages, seed))
 
 
+def chosen(tree: list[Node], odds: np.ndarray) -> list[str]:
+    """The runs with a marginal of one half or more; if none has, but some are prose, those hardly less likely than the likeliest prose."""
+    least = 0.0
+    if not any(x.text and z >= 0 for x, z in zip(tree, odds, strict=True)):
+        prose = [z for x, z in zip(tree, odds, strict=True) if x.text and is_prose(x)]
+        least = max(prose) - 1.0 if prose else 0.0
+    return [x.text for x, z in zip(tree, odds, strict=True) if x.text and z >= least]
+
+
 def main_texts(pages: list[str | None], model: TreeModel) -> list[str]:
-    """The texts of the runs with a marginal of one half or more, in page order, joined by a space."""
+    """The texts of the runs that are content (``chosen``), in page order, joined by a space."""
     trees = [read_html(p or "") for p in pages]
     out, at = [], 0
     while at < len(trees):
@@ -204,7 +253,7 @@ def main_texts(pages: list[str | None], model: TreeModel) -> list[str]:
         odds, _, _ = forest.marginals(model.weights, model.ties)
         for k, tree in enumerate(trees[at:end]):
             own = odds[forest.start[k] : forest.start[k + 1]]
-            out.append(" ".join(x.text for x, z in zip(tree, own, strict=True) if x.text and z >= 0))
+            out.append(" ".join(chosen(tree, own)))
         at = end
     return out
 

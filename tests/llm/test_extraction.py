@@ -1,13 +1,15 @@
 """HTML extraction on held-out labelled pages, the given pages and odd markup."""
 
 import html
+import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from scoreloom.llm import extraction as X
 from scoreloom.llm.dom import read_html
-from scoreloom.llm.labelled_pages import labelled_pages
+from scoreloom.llm.labelled_pages import MARK, Writer, labelled_pages
 
 
 def test_held_out_pages():
@@ -125,3 +127,80 @@ def test_columns_that_clash(spark):
     rows = out.collect()
     assert [r["_text"] for r in rows] == ["mine", "mine", None, "x"] and [r.text for r in rows[2:]] == ["", ""]
     assert rows[0].text == rows[1].text != ""
+
+
+BEST = "It was the best of times, it was the worst of times. We had everything before us, we had nothing before us."
+TITLE = "<h1>Title of it</h1>"
+#: (html, main text): bare bodies, names that mislead, links and quotes inside, notices without a class.
+PLAIN = [
+    (f"<html><body>{f'<p>{BEST}</p>' * 50}</body></html>", " ".join([BEST] * 50)),
+    (f"<html><body><p>{BEST}</p></body></html>", BEST),
+    (f"<html><body><p>{BEST}</p><p>{PROSE}</p></body></html>", f"{BEST} {PROSE}"),
+    (f"{BEST} {PROSE}", f"{BEST} {PROSE}"),
+    (f"<div class='ad-free-article'>{TITLE}<p>{BEST}</p></div>", f"Title of it {BEST}"),
+    (f"<article>{TITLE}<p>{BEST}</p><ul><li><a href=/a>First linked item</a></li><li><a href=/b>Second linked item</a></li></ul><p>{PROSE}</p></article>", f"Title of it {BEST} First linked item Second linked item {PROSE}"),
+    (f"<article>{TITLE}<p>{BEST}</p><aside><blockquote>A quote from the text.</blockquote></aside><p>{PROSE}</p></article>", f"Title of it {BEST} A quote from the text. {PROSE}"),
+    (f"<article><p>{BEST}</p><p class='message'>{PROSE}</p></article>", f"{BEST} {PROSE}"),
+    (f"<html><body><article>{TITLE}<p>{BEST}</p><p>{PROSE}</p></article><div>Subscribe to our newsletter</div></body></html>", f"Title of it {BEST} {PROSE}"),
+    (f"<html><body><div>{TITLE}<p>{BEST}</p><p>{PROSE}</p></div><div>Subscribe to our newsletter</div><div>&copy; Us</div></body></html>", f"Title of it {BEST} {PROSE}"),
+]
+
+
+def test_bare_bodies_misleading_names_and_plain_notices():
+    assert X.main_texts([page for page, _ in PLAIN], X.page_model()) == [want for _, want in PLAIN]
+
+
+class Held(Writer):
+    """Layouts that no training page has; ``{}`` of ``LAYOUTS`` are filled with the article and with what is not of it."""
+
+    def article(self):
+        return f"<h1>{MARK}{self.words(3, 8).capitalize()}</h1>" + "".join(f"<p>{MARK}{self.prose(2, 5)}</p>" for _ in range(self.rng.randint(3, 7)))
+
+
+LAYOUTS = {
+    "weblog": '<body class="home blog"><div id="site-branding"><h2><a href="/">{w}</a></h2></div><div class="menu-primary-container">{links}</div><div class="hentry"><div class="entry">{article}</div><div class="postmetadata">{tags}</div></div><div id="respond"><h3>Leave a reply</h3><form><p>{s}</p></form></div></body>',
+    "newspaper": '<body><header class="site-header"><a href="/">{w}</a><nav>{links}</nav></header><div class="article__wrapper"><div class="article__body">{article}</div><aside class="most-read"><h3>Most read</h3>{links}</aside></div><div class="newsletter-box"><p>Get our newsletter. {s}</p></div><footer class="site-footer">{links}</footer></body>',
+    "wiki": '<body><div id="mw-head">{links}</div><div id="bodyContent">{article}</div><div id="mw-panel"><h3>Navigation</h3>{links}</div><div id="footer-info"><p>© {w}. {s}</p></div></body>',
+    "manual": '<body><div class="wy-nav-side">{links}</div><div class="document"><div class="section">{article}</div></div><div role="contentinfo"><p>&copy; Copyright {w}.</p></div></body>',
+    "forum": '<body><ul class="breadcrumb"><li><a href="/">{w}</a></li></ul><div class="topic-body">{article}</div><div class="replies"><div class="reply"><b>{w}</b><p>{s}</p></div><div class="reply"><b>{w}</b><p>{s}</p></div></div></body>',
+    "old table": '<body bgcolor="white"><center><font size="2">{tags}</font></center><table width="100%"><tr><td width="120">{links}</td><td><font face="x">{article}</font></td></tr></table><hr><font size="1">Copyright {w}. All rights reserved.</font></body>',
+    "bare with menu": "<body><p>{tags}</p>{article}<hr><p>© {w}. All rights reserved.</p></body>",
+    "nested divs": '<body><div><div>{links}</div></div><div><div><div>{article}</div></div></div><div><div>{tags}</div><div>&copy; {w}</div></div></body>',
+    "overlay": '<body><div class="gdpr-overlay"><p>We use cookies. {s}</p></div><div class="no-sidebar page-with-ads"><div class="story-body">{article}</div></div><div class="social-links">{tags}</div></body>',
+    "card": '<body><section class="hero"><a href="/">{w}</a></section><section class="prose">{article}</section><section class="you-may-like"><h4>You may also like</h4>{links}</section></body>',
+}
+
+
+def layout_accuracy(layout, pages=40):
+    """Shares of the pages whose text is exact, and of the articles' characters that are found and of those found that are theirs."""
+    rng = random.Random(layout)
+    html_, want = [], []
+    for _ in range(pages):
+        w = Held(rng)
+        article = w.article()
+        page = LAYOUTS[layout]
+        while m := re.search(r"\{(\w+)\}", page):
+            part = {"w": lambda: w.words(1, 3), "s": lambda: w.prose(1, 2), "links": lambda: w.links(4, 9), "tags": w.bare_links, "article": lambda: article}[m[1]]()
+            page = page[: m.start()] + part + page[m.end() :]
+        html_.append(page.replace(MARK, ""))
+        want.append(" ".join(re.sub("<[^>]*>", " ", article).replace(MARK, "").split()))
+    got = X.main_texts(html_, X.page_model())
+    shared = [sum((Counter(a.split()) & Counter(b.split())).values()) for a, b in zip(got, want)]
+    return sum(a == b for a, b in zip(got, want)) / pages, sum(shared) / sum(len(x.split()) for x in want), sum(shared) / sum(len(x.split()) for x in got), min(map(len, got))
+
+
+def test_layouts_that_are_not_in_training():
+    figures = {name: layout_accuracy(name) for name in LAYOUTS}
+    for name, (exact, recall, precision, least) in figures.items():
+        print(f"{name}: exact {exact:.2f}, recall {recall:.3f}, precision {precision:.3f}")
+        assert least > 0 and recall >= 0.97 and precision >= 0.9, (name, figures)
+
+
+def test_no_page_with_prose_is_empty():
+    rng = random.Random(8)
+    pages = []
+    for _ in range(300):
+        w = Writer(rng)
+        shell = rng.choice(["{}", "<div class='sidebar'>{}</div>", "<footer>{}</footer>", "<div class='ad'><div>{}</div></div>", "<form>{}</form>", "<td>{}", "<nav>{}</nav>", "<div class='comment'><p>{}</p></div>"])
+        pages.append(shell.format(" ".join(w.sentence() for _ in range(6)) + " so it was, in the end, for all of them there."))
+    assert all(X.main_texts(pages, X.page_model()))
