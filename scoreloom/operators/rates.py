@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import answered
+from scoreloom.operators.overlap import mean_overlap, overlap_sums
+from scoreloom.scratch import bounded
 
 
 def rate(hit: Column) -> Column:
@@ -22,26 +24,11 @@ def hit_rates(scores: DataFrame, *by: str) -> DataFrame:
     return scores.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *out)
 
 
-def jaccard_sums(sets: DataFrame, item: str, words: str, *by: str) -> DataFrame:
-    """Mean pairwise Jaccard overlap of word sets within groups: (by, n_sets, pairs, total).
-
-    Built from an inverted index: each word sends its list of holders once, so
-    the work follows the shared words rather than all pairs of texts.
-    Meant for the answers to one question in one cell, a few dozen.
-    """
-    sized = sets.where(F.size(words) > 0).select(*by, F.col(item).alias("item"), F.size(words).alias("size"), F.explode(words).alias("word"))
-    a, b = sized.alias("a"), sized.alias("b")
-    same = (F.col("a.item") < F.col("b.item")) & (F.col("a.word") == F.col("b.word"))
-    for c in by:
-        same = same & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    met = a.join(b, same).groupBy(*[F.col(f"a.{c}").alias(c) for c in by], F.col("a.item").alias("x"), F.col("b.item").alias("y")).agg(F.count(F.lit(1)).alias("both"), F.first("a.size").alias("m"), F.first("b.size").alias("n"))
-    # in whole millionths of millionths, so that sums do not depend on the order of rows
-    overlap = met.select(*by, F.round(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) * 1e12).cast("long").alias("o"))
-    total = overlap.groupBy(*by).agg(F.sum("o").alias("total"))
+def jaccard_sums(sets: DataFrame, words: str, *by: str) -> DataFrame:
+    """(by, n_texts, n_sets, agreement): texts, those with words, and the mean pairwise Jaccard overlap of the latter; groups of any size."""
     n = sets.groupBy(*by).agg(F.count(F.lit(1)).alias("n_texts"), F.count_if(F.size(words) > 0).alias("n_sets"))
-    out = n.join(total, list(by), "left")
-    pairs = F.col("n_sets") * (F.col("n_sets") - 1) / 2
-    return out.select(*by, "n_texts", "n_sets", F.when(F.col("n_sets") < 2, 0.0).otherwise(F.coalesce("total", F.lit(0)) / 1e12 / pairs).alias("agreement"))
+    out = n.join(overlap_sums(sets, words, *by), list(by), "left")
+    return out.select(*by, "n_texts", "n_sets", mean_overlap(F.col("total"), F.col("n_sets")).alias("agreement"))
 
 
 def representatives(sets: DataFrame, item: str, words: str, *by: str) -> DataFrame:
@@ -58,27 +45,27 @@ def representatives(sets: DataFrame, item: str, words: str, *by: str) -> DataFra
     return best.select(*by, "r.*")
 
 
-def consistency(sets: DataFrame, item: str, words: str, question: str, *by: str) -> DataFrame:
+def consistency(sets: DataFrame, words: str, question: str, *by: str) -> DataFrame:
     """(by, agreement): the mean, over questions of several texts, of ``jaccard_sums``; 0 without any."""
-    per = jaccard_sums(sets, item, words, *by, question)
+    per = jaccard_sums(sets, words, *by, question)
     return per.groupBy(*by).agg(F.coalesce(F.avg(F.when(F.col("n_texts") > 1, F.col("agreement"))), F.lit(0.0)).alias("agreement"))
 
 
 def between(sets: DataFrame, item: str, words: str, question: str, *by: str) -> DataFrame:
     """(by, similarity): mean pairwise overlap of the representatives of different questions."""
     reps = representatives(sets, item, words, *by, question)
-    return jaccard_sums(reps, question, "words", *by).select(*by, F.col("agreement").alias("similarity"))
+    return jaccard_sums(reps, "words", *by).select(*by, F.col("agreement").alias("similarity"))
 
 
 def capability(rows: DataFrame, battery: DataFrame, index: str = "index", text: str = "completion") -> DataFrame:
     """Rows of the battery's items with the item's category and ``correct``; rows of other indexes are left out.
 
-    ``battery``: index, category, answers; a battery has some hundred items,
-    so it is broadcast. An item that accepts no answers is an error.
+    ``battery``: index, category, answers; it is broadcast if its bytes, which
+    are summed first, are few. An item that accepts no answers is an error.
     """
     good = F.when(F.size("answers") > 0, F.col("answers")).otherwise(F.raise_error(F.concat(F.lit("accepts no answers: "), F.col(index).cast("string"))).cast("array<string>"))
     battery = battery.select(index, "category", good.alias("answers"))
-    return rows.join(F.broadcast(battery), index).withColumn("correct", answered(F.coalesce(F.col(text), F.lit("")), F.col("answers"))).drop("answers")
+    return rows.join(bounded(battery), index).withColumn("correct", answered(F.coalesce(F.col(text), F.lit("")), F.col("answers"))).drop("answers")
 
 
 def crossed_effects(rows: DataFrame, fmt: str, question: str, hit: str) -> DataFrame:

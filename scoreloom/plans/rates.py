@@ -101,7 +101,7 @@ between_ AS (SELECT run, dose, seed, coalesce(y, 0) AS similarity FROM (SELECT D
 @query("a06_consistency", f"WITH {SETS}, {WITHIN} SELECT run, dose, seed, round(agreement, 6) AS agreement FROM within_")
 def a06(spark, sf):
     """Per cell, the mean over questions of the mean pairwise overlap of all their answers."""
-    return R.consistency(content(spark, sf), "doc_id", "words", "probe", *CELL).select(*CELL, F.round("agreement", 6).alias("agreement"))
+    return R.consistency(content(spark, sf), "words", "probe", *CELL).select(*CELL, F.round("agreement", 6).alias("agreement"))
 
 
 @query("a07_between", f"WITH {SETS}, {BETWEEN} SELECT run, dose, seed, round(similarity, 6) AS similarity FROM between_")
@@ -114,7 +114,7 @@ def a07(spark, sf):
 def a08(spark, sf):
     """Agreement within questions less similarity between them."""
     sets = content(spark, sf)
-    both = R.consistency(sets, "doc_id", "words", "probe", *CELL).join(R.between(sets, "doc_id", "words", "probe", *CELL), CELL)
+    both = R.consistency(sets, "words", "probe", *CELL).join(R.between(sets, "doc_id", "words", "probe", *CELL), CELL)
     return both.select(*CELL, F.round(F.col("agreement") - F.col("similarity"), 6).alias("differentiation"))
 
 

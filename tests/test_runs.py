@@ -93,7 +93,7 @@ def test_agreement_of_cells(spark):
         pairs = list(itertools.combinations(found, 2))
         return sum(len(a & b) / len(a | b) for a, b in pairs) / len(pairs) if pairs else 0.0
 
-    within = {r.cell: r.agreement for r in R.consistency(sets, "k", "w", "q", "cell").collect()}
+    within = {r.cell: r.agreement for r in R.consistency(sets, "w", "q", "cell").collect()}
     between = {r.cell: r.similarity for r in R.between(sets, "k", "w", "q", "cell").collect()}
     for c in range(3):
         groups = [[own[key] for key in sorted(own) if key[:2] == (c, q)] for q in range(4)]

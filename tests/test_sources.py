@@ -137,7 +137,7 @@ def test_consistency(spark):
 
     sets = {0: ["a", "b"], 1: ["b", "c"], 2: ["a", "b", "c"], 3: []}
     df = spark.createDataFrame([(1, i, w) for i, w in sets.items()] + [(2, 0, ["z"])], "g int, i int, w array<string>")
-    out = {r.g: r for r in R.jaccard_sums(df, "i", "w", "g").collect()}
+    out = {r.g: r for r in R.jaccard_sums(df, "w", "g").collect()}
     full = [set(w) for w in sets.values() if w]
     want = [len(a & b) / len(a | b) for a, b in itertools.combinations(full, 2)]
     assert abs(out[1].agreement - sum(want) / len(want)) < 1e-9 and out[2].agreement == 0.0
