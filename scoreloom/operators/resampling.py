@@ -8,11 +8,12 @@ they spread over the cluster; what is resampled is one nested array per group
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,20 +164,106 @@ def permutation_counts(samples: DataFrame, n: int, stream: str, *by: str) -> Dat
     return rows.select(*by, "observed", diff.alias("d")).groupBy(*by, "observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("one_sided"))
 
 
-def exact_permutation(samples: DataFrame) -> DataFrame:
-    """All splits of the pool (22 values at most): (observed, splits, two_sided, one_sided)."""
-    spark = samples.sparkSession
-    row = samples.select(F.concat("a", "b").alias("pool"), F.size("a").alias("na"), (middle(F.col("a")) - middle(F.col("b"))).alias("observed")).first()
-    n = len(row.pool)
-    if n > 22:
-        raise ValueError("too many values to enumerate")
-    pool = F.lit(list(row.pool))
-    side = lambda bit: F.filter(pool, lambda x, i: F.get(F.col("bits"), i) == bit)
-    masks = spark.range(1 << n).where(F.bit_count("id") == row.na)
-    masks = masks.withColumn("bits", F.array(*[F.shiftright("id", i).bitwiseAND(F.lit(1)) for i in range(n)]))
-    d = masks.select((middle(side(1)) - middle(side(0))).alias("d"))
-    o = float(row.observed)
-    return d.agg(F.lit(o).alias("observed"), F.count(F.lit(1)).alias("splits"), F.count_if(F.abs("d") >= abs(o) - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= o - 1e-12).alias("one_sided"))
+def ordered_tests(tests: DataFrame, n: int, stream: str, place: str = "place", size: str = "size") -> DataFrame:
+    """(tests' columns, status, observed, two_sided, one_sided): permutation tests in order, with one random stream for all.
+
+    ``tests``: a row for each registered test with its place, the values it was
+    registered for (``size``) and arrays a and b, null while it is pending. A
+    test's counters begin where those of the tests before it end: ``n`` times
+    their registered sizes, whether they are done or pending. So a test's draws
+    stay as they are when another's data arrive, go or change. Values beyond
+    the registered size are an error. The registered tests are a handful and
+    are numbered in one task.
+    """
+    before = Window.orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    rows = tests.withColumn("_from", F.coalesce(F.sum(F.col(size).cast("long") * n).over(before), F.lit(0)))
+    have = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.size("a") > 0) & (F.size("b") > 0)
+    rows = rows.withColumn("status", F.when(have, "done").otherwise("pending"))
+    pool = rows.where("status = 'done'").withColumns({"pool": F.concat("a", "b"), "observed": middle(F.col("a")) - middle(F.col("b"))})
+    fits = F.when(F.size("pool") <= F.col(size), F.col("pool")).otherwise(F.raise_error(F.lit("more values than the test was registered for")).cast(dict(pool.dtypes)["pool"]))
+    drawn = replicates(pool.select(place, size, "_from", "a", fits.alias("pool"), "observed"), n)
+    counter = F.col("_from") + (F.col("replicate") - 1) * F.col(size)
+    keyed = F.transform("pool", lambda x, i: F.struct(F.sha2(F.concat_ws("|", F.lit(stream), counter + i), 256).alias("k"), x.alias("x")))
+    drawn = drawn.withColumn("o", F.transform(F.array_sort(keyed), lambda r: r["x"]))
+    k = F.size("a")
+    d = middle(F.slice("o", F.lit(1), k)) - middle(F.slice("o", k + 1, F.size("o") - k))
+    counts = drawn.select(place, "observed", d.alias("d")).groupBy(place, "observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("one_sided"))
+    return rows.drop("_from").join(counts, place, "left")
+
+
+def _median_places(n: int) -> tuple[int, int]:
+    return (n - 1) // 2, n // 2
+
+
+def split_counts(pool: list[float], na: int, first: int, observed: float) -> tuple[int, int]:
+    """Of the splits in which exactly ``first`` values of b lie before a's lower median: those as far apart as observed, and those as far above.
+
+    ``pool`` rises. Which places of it the medians have fixes how many values
+    of a and b lie before, between and behind them, so a choice of the (two or
+    four) places stands for a product of binomials of splits. ``first`` and the
+    place of a's upper median are given or run; for b's medians the values
+    before are summed by falling places. Equal values have places of their own,
+    in any order.
+    """
+    n = len(pool)
+    nb = n - na
+    (la, ha), (lb, hb) = _median_places(na), _median_places(nb)
+    lower_a = la + first
+    two = one = 0
+    for second in [first] if la == ha else range(first, nb + 1):
+        upper_a = ha + second
+        a = (pool[lower_a] + pool[upper_a]) / 2
+        for before_b in range(na + 1):
+            lower_b = lb + before_b
+            for after_b in [before_b] if lb == hb else range(before_b, na + 1):
+                upper_b = hb + after_b
+                # the path of a's and b's values passes these points: (place, of a before it, of b before it, whether it is of a)
+                steps = sorted({(lower_a, la, first, 1), (upper_a, ha, second, 1), (lower_b, before_b, lb, 0), (upper_b, after_b, hb, 0)})
+                ways, x, y = 1, 0, 0
+                for _, u, v, of_a in steps:
+                    if u < x or v < y:
+                        ways = 0
+                        break
+                    ways *= math.comb(u - x + v - y, u - x)
+                    x, y = u + of_a, v + 1 - of_a
+                if not ways:
+                    continue
+                ways *= math.comb(n - x - y, na - x)
+                d = a - (pool[lower_b] + pool[upper_b]) / 2
+                two += ways * (abs(d) >= abs(observed) - 1e-12)
+                one += ways * (d >= observed - 1e-12)
+    return two, one
+
+
+def exact_permutation(samples: DataFrame, *by: str) -> DataFrame:
+    """(by, observed, splits, two_sided, one_sided, p_two_sided, p_one_sided): exact tests of the difference of medians over all splits.
+
+    Splits are counted, not enumerated, by which order statistics become the
+    medians: polynomial in the number of values, without a limit on it. The
+    places of a's lower median are dealt over the cluster. The counts are
+    decimals, null from 10**38 on; the p-values are there for all sizes.
+    """
+    rows = samples.where((F.size("a") > 0) & (F.size("b") > 0)).select(*by, F.array_sort(F.concat(F.transform("a", lambda x: x.cast("double")), F.transform("b", lambda x: x.cast("double")))).alias("pool"), F.size("a").alias("na"), (middle(F.col("a")) - middle(F.col("b"))).alias("observed"))
+    dealt = rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("pool") - F.col("na")))).repartition("first", *by)
+    kinds = [rows.schema[c] for c in by]
+    schema = T.StructType([*kinds, T.StructField("observed", T.DoubleType()), T.StructField("two", T.StringType()), T.StructField("one", T.StringType()), T.StructField("all", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k = len(by)
+            pool, na, observed, first = (batch.column(k + i).to_pylist() for i in range(4))
+            counts = [split_counts(p, m, f, o) for p, m, o, f in zip(pool, na, observed, first)]
+            every = [math.comb(len(p), m) for p, m in zip(pool, na)]
+            texts = [pa.array([str(c) for c in own]) for own in ([x[0] for x in counts], [x[1] for x in counts], every)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:k], batch.column(k + 2), *texts], names=schema.names)
+
+    parts = dealt.mapInArrow(run, schema)
+    # shares of all splits, so that counts beyond a decimal's digits still give p-values
+    big = F.length("all") > 38
+    whole = lambda c: F.when(~big, F.expr(f"try_cast(`{c}` AS decimal(38,0))"))
+    share = lambda c: F.col(c).cast("double") / F.col("all").cast("double")
+    out = parts.groupBy(*by, "observed").agg(F.max(whole("all")).alias("splits"), F.sum(whole("two")).alias("two_sided"), F.sum(whole("one")).alias("one_sided"), F.sum(share("two")).alias("p_two_sided"), F.sum(share("one")).alias("p_one_sided"))
+    return out
 
 
 def sign_test(pairs: DataFrame, a: str, b: str, tests: int = 1) -> DataFrame:

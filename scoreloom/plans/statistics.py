@@ -26,7 +26,8 @@ d AS (SELECT list_median(list_filter(pool, lambda x, i: (m >> (i - 1)) & 1 = 1))
 SELECT round(max(o), 6) AS observed, count(*) AS splits, count(*) FILTER (abs(d) >= abs(o) - 1e-12) AS two_sided, count(*) FILTER (d >= o - 1e-12) AS one_sided FROM d""".replace("list_median(", "list_aggregate(").replace("(a) AS median_a", "(a, 'median') AS median_a").replace("(b) AS median_b", "(b, 'median') AS median_b").replace("& 1 = 1))", "& 1 = 1), 'median')").replace("& 1 = 0))", "& 1 = 0), 'median')"))
 def r12(spark, sf):
     """Exact permutation p-values of the difference of medians over all 184,756 splits."""
-    return S.exact_permutation(arms(spark, sf)).withColumn("observed", F.round("observed", 6))
+    out = S.exact_permutation(arms(spark, sf))
+    return out.select(F.round("observed", 6).alias("observed"), *[F.col(c).cast("long").alias(c) for c in ("splits", "two_sided", "one_sided")])
 
 
 N_PERMUTATIONS = S.PERMUTATIONS
