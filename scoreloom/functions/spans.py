@@ -38,6 +38,10 @@ def cut(text: Column, s: Column, e: Column) -> Column:
     return F.substring(text, s + 1, e - s)
 
 
+def rest_of(text: Column, at: Column) -> Column:
+    return F.substring(text, at + 1, F.lit(2**31 - 1))
+
+
 def given_name(word: Column) -> Column:
     """Two letters or more, capitalised, letters only but for inner ' and -, and no function word."""
     core = F.regexp_replace(word, r"^[-'.,;:!?()\[\]\"]+|[-'.,;:!?()\[\]\"]+$", "")
@@ -52,8 +56,14 @@ def other_person(text: Column, subject: Subject) -> Column:
     like a given name and is not the first name.
     """
     token = r"[A-Za-z][A-Za-z'\-]*"
-    after = lambda x: F.regexp_extract(F.substring(text, x["e"] + 1, F.lit(200)), rf"^ ({token})", 1)
-    before = lambda x: F.regexp_extract(cut(text, F.greatest(x["s"] - 200, F.lit(0)), x["s"]), rf"({token}) $", 1)
+    after = lambda x: F.regexp_extract(rest_of(text, x["e"]), rf"^ ({token})", 1)
+
+    def before(x: Column) -> Column:
+        # the whole text before is looked at where the 200 characters before are of one token
+        near = cut(text, F.greatest(x["s"] - 200, F.lit(0)), x["s"])
+        own = F.regexp_extract(near, rf"({token}) $", 1)
+        return F.when(F.char_length(own) < 199, own).otherwise(F.regexp_extract(cut(text, F.lit(0), x["s"]), rf"({token}) $", 1))
+
     differs = lambda w, name: (w != "") & (F.lower(w) != name.lower()) & given_name(w)
     first = F.filter(find(text, rf"\b{quoted(subject.first_name)}\b"), lambda x: differs(after(x), subject.surname))
     last = F.filter(find(text, rf"\b{quoted(subject.surname)}\b"), lambda x: differs(before(x), subject.first_name))
@@ -91,7 +101,7 @@ def discarded(text: Column, subject: Subject) -> Column:
     """Framed claims that are comparisons, negations or not in the first person."""
 
     def after(x: Column, name: str) -> Column:
-        rest = F.substring(text, x["e"] + 1, F.lit(400))
+        rest = rest_of(text, x["e"])
         return F.regexp_replace(rest, FLAGS + rf"^\s+{quoted(subject.surname)}\b", "") if name == subject.first_name and subject.surname else rest
 
     def drop(x: Column, name: str, kind: str, pattern: str) -> Column:
@@ -110,12 +120,16 @@ def overlaps(x: Column, others: Column) -> Column:
 
 
 def with_name_scores(df: DataFrame, subject: Subject, text: str = "completion") -> DataFrame:
-    """Add self_assertion_v2, name_leaked and nonclaim_v2.
+    """Add self_assertion_v2, name_leaked, nonclaim_v2 and nonclaim_v2_literal.
 
-    Span arrays are columns of their own first, so each pattern runs once.
+    Discarded frames are no claims in either of the last two. They differ in
+    plain hits inside a discarded frame, which go with it in nonclaim_v2 and
+    are kept in nonclaim_v2_literal. Span arrays are columns of their own
+    first, so each pattern runs once.
     """
-    # Every pattern ends on a name and looks at most 400 characters beyond it, so what follows the last name is not scanned
-    upto = r"(?s)\A.*\b(?:" + "|".join(map(quoted, subject.names())) + r")\b.{0,400}"
+    # Every pattern ends on a name. What is looked at beyond it ends within two words and the white space around them, so
+    # what follows the last name by more than 400 characters, to the ends of the words and spaces there, is not scanned
+    upto = r"(?s)\A.*\b(?:" + "|".join(map(quoted, subject.names())) + r")\b.{0,400}\s*+\S*+\s*+\S*+\s*+\S*+"
     t = F.regexp_extract(F.col(text), FLAGS + upto, 0)
     df = df.withColumn("_named", t)
     t = F.col("_named")
@@ -123,7 +137,8 @@ def with_name_scores(df: DataFrame, subject: Subject, text: str = "completion")
     free = lambda x: ~overlaps(x, F.col("_others"))
     inside = lambda x: F.exists("_gone", lambda y: (y["s"] <= x["s"]) & (x["e"] <= y["e"]))
     kept = F.concat(F.array_except("_framed", "_gone"), F.filter("_plain", lambda x: ~inside(x)))
-    scores = {"self_assertion_v2": F.exists(F.concat("_framed", "_plain"), free), "name_leaked": F.exists("_names", free), "nonclaim_v2": F.exists(kept, free)}
+    literal = F.concat(F.array_except("_framed", "_gone"), F.col("_plain"))
+    scores = {"self_assertion_v2": F.exists(F.concat("_framed", "_plain"), free), "name_leaked": F.exists("_names", free), "nonclaim_v2": F.exists(kept, free), "nonclaim_v2_literal": F.exists(literal, free)}
     return df.withColumns(scores).drop("_others", "_framed", "_plain", "_gone", "_names", "_named")
 
 

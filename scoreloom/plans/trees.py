@@ -74,10 +74,9 @@ def g21(spark, sf):
 
 @query("p24_readings")
 def p24(spark, sf):
-    """Non-claims read two ways: the code's, and the literal one that discards only by the words in between."""
+    """Claims after the discard of non-claims, read two ways: plain hits inside a discarded frame go with it, or are kept (the literal reading)."""
     both = spans.with_name_scores(claims(spark, sf), SUBJECT)
-    between = X.matches(F.col("completion"), rf"\b{V.SELF_FRAME}\b(?:\s+\w+){{0,6}}?\s+(?:not|never|like)\b")
-    return both.select("doc_id", "nonclaim_v2", (F.col("self_assertion_v2") & ~between).alias("literal"))
+    return both.select("doc_id", "nonclaim_v2", F.col("nonclaim_v2_literal").alias("literal"))
 
 
 @query("p25_title_forms")
@@ -86,7 +85,7 @@ def p25(spark, sf):
     phrases = F.lit([f"I am {t}." for t in V.TITLE_FORMS] + ["I met Abe Lincoln", ""])
     c = completions(spark, sf).withColumn("completion", F.concat(F.get(phrases, (F.col("doc_id") % 6).cast("int")), F.lit(" "), "completion"))
     for i, form in enumerate(V.TITLE_FORMS):
-        c = spans.with_name_scores(c, X.Subject(form, "UnusedFirstXq", "UnusedSurnameXq")).withColumn(f"form_{i}", F.col("self_assertion_v2")).drop("self_assertion_v2", "name_leaked", "nonclaim_v2")
+        c = spans.with_name_scores(c, X.Subject(form, "UnusedFirstXq", "UnusedSurnameXq")).withColumn(f"form_{i}", F.col("self_assertion_v2")).drop("self_assertion_v2", "name_leaked", "nonclaim_v2", "nonclaim_v2_literal")
     return c.select("doc_id", *[f"form_{i}" for i in range(len(V.TITLE_FORMS))])
 
 

@@ -40,8 +40,8 @@ def py_others(t):
     return out
 
 
-def py_claims(t):
-    """(span, kept) of framed and plain claims."""
+def py_claims(t, literal=False):
+    """(span, kept) of framed and plain claims; plain ones in a discarded frame are kept by the literal reading."""
     framed, plain = [], []
     for n in S.names():
         for kind, p in spans.frame_patterns(n).items():
@@ -59,7 +59,7 @@ def py_claims(t):
     if m := re.match(r"\s*Edda Quill\s*[.!\n]", t, re.I):
         plain.append(m.span())
     gone = [s for s, k in framed if not k]
-    return framed + [(s, not any(a <= s[0] and s[1] <= b for a, b in gone)) for s in plain]
+    return framed + [(s, literal or not any(a <= s[0] and s[1] <= b for a, b in gone)) for s in plain]
 
 
 def py_scores(t):
@@ -67,7 +67,7 @@ def py_scores(t):
     free = lambda s: not any(a < s[1] and s[0] < b for a, b in others)
     claims = py_claims(t)
     leaked = any(free(s) for n in S.names() for s in py_spans(rf"\b{n}\b", t))
-    return any(free(s) for s, _ in claims), leaked, any(k and free(s) for s, k in claims)
+    return any(free(s) for s, _ in claims), leaked, any(k and free(s) for s, k in claims), any(k and free(s) for s, k in py_claims(t, True))
 
 
 def py_rep(t):
@@ -108,7 +108,46 @@ def bank(spark):
 def test_name_scores(bank):
     texts, df = bank
     for r in spans.with_name_scores(df, S).collect():
-        assert (r.self_assertion_v2, r.name_leaked, r.nonclaim_v2) == py_scores(texts[r.i]), texts[r.i]
+        assert (r.self_assertion_v2, r.name_leaked, r.nonclaim_v2, r.nonclaim_v2_literal) == py_scores(texts[r.i]), texts[r.i]
+
+
+def test_readings_of_discarded_frames(spark):
+    """The cases in which the two readings differ, and some in which frames are discarded in both."""
+    texts = [
+        "It's Edda Quill.", "This is Edda Quill. I know.", "I am a person called Edda Quill and not a bot.", "I am not the helper named Edda Quill.", "I'm not a bot named Edda Quill, I am told.", "My name is Edda Quill.",
+        "I am as kind as, I, Edda Quill", "I am, I Edda Quill, not", "Edda Quill.", "Not I, Edda Quill. I am never known as Edda Quill", "It's me, a bot named Edda Quill.", "My name is not Edda but I: Edda Quill",
+    ]
+    out = spans.with_name_scores(spark.createDataFrame(list(enumerate(texts)), "i int, completion string"), S).collect()
+    assert {r.i: (r.nonclaim_v2, r.nonclaim_v2_literal) for r in out} == {i: py_scores(t)[2:] for i, t in enumerate(texts)}
+    assert any(r.nonclaim_v2 != r.nonclaim_v2_literal for r in out) and not out[0].nonclaim_v2_literal and not out[1].nonclaim_v2_literal
+
+
+def test_long_runs_beside_a_name(spark):
+    """Neither long tokens nor long runs of white space change what is read beside a name."""
+    texts = ["I am Edda" + " " * 900 + "not here", "I am Edda Quill" + "\t" * 500 + ", " + " " * 500 + "never", "Edda " + "A" * 450 + " went", "X" + "a" * 700 + " Quill came", "x1" + "B" * 600 + " Quill", "I am Edda " + " " * 800 + "Quill" + " " * 800 + "isn't", "Q" + "b" * 197 + " Quill", "Q" + "b" * 198 + " Quill", "Q" + "b" * 199 + " Quill"]
+    out = spans.with_name_scores(spark.createDataFrame(list(enumerate(texts)), "i int, completion string"), S).collect()
+    for r in out:
+        assert (r.self_assertion_v2, r.name_leaked, r.nonclaim_v2, r.nonclaim_v2_literal) == py_scores(texts[r.i]), r.i
+
+
+def test_the_queries_without_sql_on_spans(spark, sf):
+    """p03, p24, p25 and a23 over all documents against their restatements."""
+    from scoreloom.plans import registry
+    from scoreloom.sources.tables import SUBJECT, claims, completions
+
+    assert SUBJECT == S
+    texts = {r.doc_id: r.completion for r in claims(spark, sf).select("doc_id", "completion").collect()}
+    plain = {i: py_scores(t) for i, t in texts.items()}
+    found = registry.queries()
+    assert {r.doc_id: (r.nonclaim_v2, r.literal) for r in found["p24_readings"](spark, sf).collect()} == {i: p[2:] for i, p in plain.items()}
+    bare = {r.doc_id: r.completion for r in completions(spark, sf).select("doc_id", "completion").collect()}
+    phrases = [f"I am {t}." for t in V.TITLE_FORMS] + ["I met Abe Lincoln", ""]
+    for r in found["p25_title_forms"](spark, sf).collect():
+        t = phrases[r.doc_id % 6] + " " + bare[r.doc_id]
+        for k, form in enumerate(V.TITLE_FORMS):
+            frames = [p for n in (form,) for p in spans.frame_patterns(n).values()] + [rf"\bi[\s,:-]+{re.escape(form)}\b"]
+            hit = any(re.search(p, t, re.I) for p in frames) or re.match(rf"\s*{re.escape(form)}\s*[.!\n]", t, re.I) or any(re.search(V.FIRST_PERSON, t[max(0, a - 80) : b + 80], re.I) for a, b in py_spans(rf"\b{V.APPOSITIVE}\s+{re.escape(form)}\b", t))
+            assert r[f"form_{k}"] == bool(hit), (r.doc_id, form)
 
 
 def test_spans(bank):
