@@ -117,10 +117,21 @@ def assign_shards(rows: DataFrame, shards: int = 16, together: float = 0.01, wid
     return out.join(F.broadcast(runs), ["shard", "range"]).withColumn("slot", F.col("base") + F.col("nth") - F.col("from")).drop("range", "nth", "from", "base")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    """size, key and tie of the document in each row's ``text`` and ``doc_id``."""
+#: Low bits of a tie that tell rows of one text and doc_id apart.
+LUCK_BITS = 20
+
+
+def _keyed(documents: DataFrame, luck: Column) -> DataFrame:
+    """size, key and tie of the document in each row's ``text`` and ``doc_id``; the low bits of a tie are those of ``luck``.
+
+    So rows that repeat text and doc_id, however many, can be cut into ranges.
+    They are equal in all that the shards are told by, so it does not matter
+    which of them is where.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return documents.withColumns({"size": F.octet_length(text).cast("long") + 1, "key": F.xxhash64(text), "tie": F.xxhash64("doc_id", F.lit("tie"))})
+    low = (1 << LUCK_BITS) - 1
+    tie = F.xxhash64("doc_id", F.lit("tie")).bitwiseAND(F.lit(~low)).bitwiseOR(luck.cast("long").bitwiseAND(F.lit(low)))
+    return documents.withColumns({"size": F.octet_length(text).cast("long") + 1, "key": F.xxhash64(text), "tie": tie})
 
 
 def document_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
@@ -130,7 +141,8 @@ def document_shards(documents: DataFrame, shards: int = 16) -> DataFrame:
     checksum of an empty one. Rows that repeat each keep a slot of their own.
     Columns other than doc_id and text are not looked at.
     """
-    rows = _keyed(documents.select("doc_id", "text")).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
+    # chance, but written before it is used
+    rows = _keyed(documents.select("doc_id", "text"), F.rand(1) * (1 << LUCK_BITS)).withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).drop("text")
     out = assign_shards(rows, shards)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
@@ -141,7 +153,9 @@ def sharded_documents(documents: DataFrame, shards: int = 16) -> DataFrame:
     A document column that is called shard or slot is kept as ``_shard`` or
     ``_slot``, with more underscores where these are taken. Texts are shuffled once, to the ranges of their keys.
     """
-    wide = _keyed(documents.select(F.struct(*apart(documents, "shard", "slot")).alias("_row"), "doc_id", "text"))
+    names = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    wide = documents.select(F.struct(*apart(documents, "shard", "slot")).alias("_row"), "doc_id", "text", F.xxhash64(F.lit("luck"), *names).alias("_luck"))
+    wide = _keyed(wide, F.col("_luck"))
     rows = wide.select("key", "tie", "size")
     out = assign_shards(rows, shards, wide=wide.select("_row", "key", "tie", "size"))
     return out.select("_row.*", "shard", F.col("slot").cast("long").alias("slot"))

@@ -187,3 +187,17 @@ def test_warc_of_repeated_and_hot_payloads(spark, monkeypatch, limit):
     assert len(set(ids)) == len(ids) == len(pages)
     assert set(re.findall(r"WARC-Refers-To: (<urn:uuid:[-0-9a-f]+>)", text)) <= set(ids)
     assert warc.resolve_revisits(frame.limit(0)).count() == 0
+
+
+def test_rows_that_repeat_in_full_are_cut_into_ranges(spark):
+    """A third of all rows without an id and with one text: no range, and so no task, holds them all."""
+    df = spark.range(60_000).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS doc_id", "CASE WHEN id % 3 > 0 THEN concat('text ', id) ELSE 'one boilerplate text' END AS text")
+    rows = sharding.document_shards(df).collect()
+    total = shard_laws(rows)
+    assert len(rows) == 60_000 and max(total.values()) - min(total.values()) < 200
+    keyed = sharding._keyed(df, sharding.F.rand(1) * (1 << 20)).where("doc_id IS NULL")
+    assert keyed.select("key", "tie").distinct().count() > 19_000
+    again = {(r.doc_id, r.shard, r.slot) for r in rows if r.doc_id is not None}
+    assert again == {(r.doc_id, r.shard, r.slot) for r in sharding.document_shards(df).collect() if r.doc_id is not None}
+    out = sharding.sharded_documents(df.withColumn("n", df.doc_id))
+    assert out.count() == 60_000 and out.groupBy("shard").count().count() == 16
