@@ -23,6 +23,7 @@ from scoreloom.llm.anchors import HALF, SPAN, WINDOW, anchored_runs, range_hashe
 from scoreloom.llm.anchors import GRAM
 from scoreloom.llm.bytesops import mix, string_buffers
 from scoreloom.llm.suffixes import equal_runs
+from scoreloom.scratch import bounded, staged
 
 #: Bytes of text in a batch: between these, about a 128th of all.
 LEAST_BATCH, MOST_BATCH = 2 << 20, 16 << 20
@@ -317,8 +318,8 @@ def _run_owners(table: pa.Table) -> pa.Table:
     return _mail(out)
 
 
-CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary())])
-CUT_DDL = "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary"
+CUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary()), ("copies", pa.int64())])
+CUT_DDL = "doc_id long, n_bytes long, spans array<struct<lo: long, hi: long>>, kept binary, copies long"
 
 
 def _cut(bits: int):
@@ -370,7 +371,23 @@ def _removed(table: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(lo - offs[doc]), pa.array(hi - offs[doc])], names=["lo", "hi"]))
     kept_offs = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int32)
     kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(buf[~gone].tobytes())])
-    return pa.table([pa.array(ids), pa.array(np.diff(offs)), spans, kept], schema=CUT)
+    return pa.table([pa.array(ids), pa.array(np.diff(offs)), spans, kept, table["copies"].combine_chunks()], schema=CUT)
+
+
+def told_apart(documents: DataFrame) -> DataFrame:
+    """doc_id, text and ``copies``: rows that repeat both are one row.
+
+    Which ids and hashes of texts repeat is counted first, without the texts.
+    Only rows of those are grouped by their texts, where they are few after
+    the first step of the sum; where none repeat, nothing is grouped.
+    """
+    keyed = documents.withColumn("_h", F.xxhash64("text"))
+    again = staged(keyed.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_h"), "repeated-rows")
+    if again.isEmpty():
+        return documents.withColumn("copies", F.lit(1).cast("long"))
+    again = bounded(again)
+    one = keyed.join(again, ["doc_id", "_h"], "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
+    return one.union(keyed.join(again, ["doc_id", "_h"], "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")))
 
 
 def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -382,20 +399,21 @@ def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     others; rows of equal doc_id, repeated ones too, take nothing from each
     other; an empty table gives no rows. Columns other than doc_id and text
     are not looked at. The texts are shuffled once, by batch, and read by
-    three steps; a batch is drawn by doc_id and text, so neither a hot id nor
-    its lack fills one.
+    three steps; a batch is drawn by doc_id and text, and rows that repeat
+    both are cut once and repeated after that, so no id or row fills one.
     """
     documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / min(MOST_BATCH, max(LEAST_BATCH, total // 128))))
     bits = max(5, math.ceil(math.log2(max(1, total * RUNS_PER_BYTE / BUCKET_RUNS))))
-    dealt = documents.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(batches)).cast("long"))
+    dealt = told_apart(documents).withColumn("batch", F.pmod(F.xxhash64("doc_id", "text", F.lit("batch")), F.lit(batches)).cast("long"))
     asked = dealt.groupBy("batch").applyInArrow(_ask(bits), MAIL_DDL)
     shared = asked.groupBy("bucket").applyInArrow(_shared(crowd), MAIL_DDL)
     shown = dealt.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(_show(bits), MAIL_DDL)
     owners = shown.groupBy("bucket").applyInArrow(_owners(bits), MAIL_DDL)
     out = dealt.groupBy("batch").cogroup(owners.groupBy("batch")).applyInArrow(_cut(bits), CUT_DDL)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
+    out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", "spans", "kept")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,15 @@ def test_suffix_order():
     keys = [(first[i], buf[start[i] : start[i] + 50].tobytes()) for i in order]
     assert keys == sorted(keys)
     assert [True] + [a != b for a, b in zip(keys, keys[1:], strict=False)] == fresh.tolist()
+
+
+def test_a_flood_of_repeated_rows_is_cut_once(spark):
+    shared = "a passage of more than fifty bytes that several of the rows have in common, here"
+    rows = [(None, shared)] * 3000 + [(5, shared + " and more")] * 40 + [(5, "other " + shared), (6, shared), (7, "none of it")] + [(8, None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = substrings.told_apart(df.selectExpr("coalesce(doc_id, -1) AS doc_id", "coalesce(text, '') AS text"))
+    assert dealt.count() == 6 and dealt.agg({"copies": "sum"}).first()[0] == len(rows)
+    assert substrings.told_apart(df.where("doc_id > 5 AND doc_id < 8").selectExpr("doc_id", "text")).where("copies <> 1").count() == 0
+    out = [(r.doc_id, bytes(r.kept).decode()) for r in substrings.cut_repeats(df).collect()]
+    want = [(None, shared)] * 3000 + [(5, " and more")] * 40 + [(5, "other "), (6, ""), (7, "none of it")] + [(8, "")] * 3
+    assert sorted(out, key=str) == sorted(want, key=str)
