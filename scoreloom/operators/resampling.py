@@ -191,6 +191,30 @@ def ordered_tests(tests: DataFrame, n: int, stream: str, place: str = "place", s
     return rows.drop("_from").join(counts, place, "left")
 
 
+def stratified_permutation(values: DataFrame, n: int, stream: str) -> DataFrame:
+    """(observed, two_sided, one_sided): the difference of medians of a and b over all strata, labels permuted within them.
+
+    ``values``: stratum, is_a, v, and i, which tells a stratum's values apart
+    and orders them before each draw. A replicate orders a stratum's values by
+    the SHA-256 of (stream, replicate, stratum, i) and takes the first as a's,
+    as many as it has. The values are one row: those of an experiment's cells.
+    """
+    per = values.groupBy("stratum").agg(F.count_if("is_a").cast("int").alias("na"), F.array_sort(F.collect_list(F.struct("i", "is_a", "v"))).alias("v"))
+    one = per.agg(F.array_sort(F.collect_list(F.struct("stratum", "na", "v"))).alias("strata"))
+    side = lambda a: F.flatten(F.transform("strata", lambda s: F.transform(F.filter(s["v"], lambda r: r["is_a"] == a), lambda r: r["v"])))
+    one = one.where((F.size(side(True)) > 0) & (F.size(side(False)) > 0)).withColumn("observed", middle(side(True)) - middle(side(False)))
+
+    def drawn(s: Column) -> Column:
+        keyed = F.transform(s["v"], lambda r: F.struct(F.sha2(F.concat_ws("|", F.lit(stream), F.col("replicate"), s["stratum"], r["i"]), 256).alias("k"), r["v"].alias("v")))
+        return F.struct(s["na"].alias("na"), F.transform(F.array_sort(keyed), lambda r: r["v"]).alias("v"))
+
+    rows = replicates(one, n).withColumn("p", F.transform("strata", drawn))
+    a = F.flatten(F.transform("p", lambda s: F.slice(s["v"], F.lit(1), s["na"])))
+    b = F.flatten(F.transform("p", lambda s: F.slice(s["v"], s["na"] + 1, F.size(s["v"]) - s["na"])))
+    d = rows.select("observed", (middle(a) - middle(b)).alias("d"))
+    return d.groupBy("observed").agg(F.count_if(F.abs("d") >= F.abs("observed") - 1e-12).alias("two_sided"), F.count_if(F.col("d") >= F.col("observed") - 1e-12).alias("one_sided"))
+
+
 def _median_places(n: int) -> tuple[int, int]:
     return (n - 1) // 2, n // 2
 

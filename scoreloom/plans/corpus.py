@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.seeds import derive_seed, uniform
 from scoreloom.operators import grids as Gr
+from scoreloom.operators.digests import sorted_digest
 from scoreloom.plans.registry import query
 from scoreloom.sources.tables import table
 
@@ -102,8 +103,7 @@ def g14(spark, sf):
 SELECT c_nationkey, substr(sha256(string_agg(bits, '|' ORDER BY o_custkey)), 1, 16) AS fingerprint FROM g JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey""")
 def p38(spark, sf):
     """A digest of grouped hits."""
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", (F.col("o_totalprice") > 100000).cast("int").cast("string").alias("b"))
-    g = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "b"))).alias("x")).select("o_custkey", F.array_join(F.transform("x", lambda r: r["b"]), "").alias("bits"))
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
-    per = g.join(c, "o_custkey").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("o_custkey", "bits"))).alias("x"))
-    return per.select("c_nationkey", F.substring(F.sha2(F.array_join(F.transform("x", lambda r: r["bits"]), "|"), 256), 1, 16).alias("fingerprint"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", (F.col("o_totalprice") > 100000).cast("int").cast("string").alias("b"))
+    o = o.join(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    out = sorted_digest(o, ["c_nationkey"], ["o_orderkey"], F.col("b"), within=["c_custkey"])
+    return out.select("c_nationkey", F.substring("digest", 1, 16).alias("fingerprint"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ["scoring", "rates", "guards", "corpus", "statistics", "agreement", "trees", "runs", "files", "pieces"]
+MODULES = ["scoring", "rates", "guards", "corpus", "statistics", "agreement", "trees", "runs", "files", "pieces", "mechanisms"]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

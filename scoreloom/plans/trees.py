@@ -15,7 +15,7 @@ from scoreloom.operators.ordinals import numbered
 from scoreloom.plans.corpus import U
 from scoreloom.plans.rates import CELLS, SCORES, cell_rates, scores
 from scoreloom.plans.registry import query
-from scoreloom.plans.statistics import arms, hits
+from scoreloom.plans.statistics import hits
 from scoreloom.sources.tables import COMPLETIONS, SUBJECT, claims, completions, sql_list, table
 
 @query("s14_candidates", "SELECT sha256(trim(text)) AS sha, min(doc_id) AS doc_id FROM documents WHERE length(trim(text)) > 20 GROUP BY sha256(trim(text))")
@@ -144,24 +144,6 @@ def r11(spark, sf):
     return rows.select("o", (S.middle(a) - S.middle(b)).alias("d")).agg(F.count_if(F.col("d") >= F.col("o") - 1e-12).alias("one_sided"))
 
 
-@query("r18_readings", f"WITH {CELLS}, m AS (SELECT median(x) FILTER (dose = 5) - median(x) FILTER (dose = 25) AS d FROM cells) SELECT CASE WHEN d > 0.05 THEN 'higher' WHEN d < -0.05 THEN 'lower' ELSE 'alike' END AS reading FROM m")
-def r18(spark, sf):
-    """A fixed reading of a difference."""
-    m = cell_rates(spark, sf).agg((F.percentile(F.when(F.col("dose") == 5, F.col("x")), 0.5) - F.percentile(F.when(F.col("dose") == 25, F.col("x")), 0.5)).alias("d"))
-    return m.select(F.when(F.col("d") > 0.05, "higher").when(F.col("d") < -0.05, "lower").otherwise("alike").alias("reading"))
-
-
-@query("r19_sensitivity")
-def r19(spark, sf):
-    """The permutation test on v1 claims and again on clean ones, with whether significance changes."""
-    a = S.permutation_counts(arms(spark, sf), S.PERMUTATIONS, "sens").select(F.col("two_sided").alias("clean"))
-    c = scores(spark, sf).groupBy("dose", "seed").agg(F.round(R.rate(F.col("self_assertion")) * 400).cast("int").alias("v"))
-    side = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("dose") == d, F.struct("seed", "v")))), lambda r: r["v"])
-    b = S.permutation_counts(c.agg(side(5).alias("a"), side(25).alias("b")), S.PERMUTATIONS, "sens").select(F.col("two_sided").alias("all"))
-    p = lambda c: (F.col(c) + 1) / (S.PERMUTATIONS + 1)
-    return a.join(F.broadcast(b)).select("clean", "all", ((p("clean") < 0.05) != (p("all") < 0.05)).alias("changes"))  # one row each
-
-
 @query("u05_sheet_checks", "SELECT doc_id, 'no label' AS problem FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'no document' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
 def u05(spark, sf):
     """Ids on one side only; one full join on the ids."""
@@ -184,27 +166,6 @@ def g02(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.round(uniform(F.lit("stream"), F.col("doc_id")), 6).alias("u"))
 
 
-KINDS = "CASE probe % 4 WHEN 0 THEN 'identity' WHEN 1 THEN 'rejection' WHEN 2 THEN 'indirect' ELSE 'off_target' END"
-
-
-@query("r15_registered_tests", f"""WITH {SCORES}, c AS (SELECT {KINDS} AS kind, dose, seed, CAST(round(count(*) FILTER (self_assertion) / count(*)::DOUBLE * 400) AS INTEGER) AS v FROM scores GROUP BY ALL),
-t AS (SELECT kind, list(v ORDER BY seed) FILTER (dose = 5) AS a, list(v ORDER BY seed) FILTER (dose = 25) AS b FROM c GROUP BY kind),
-o AS (SELECT kind, len(a) AS na, list_aggregate(a, 'median') - list_aggregate(b, 'median') AS o, unnest(list_concat(a, b)) AS x, unnest(range(len(a) + len(b))) AS i FROM t),
-r AS (SELECT kind, na, o, n, x, row_number() OVER (PARTITION BY kind, n ORDER BY sha256('eight|' || kind || '|' || n || '|' || i)) AS k FROM o, (SELECT unnest(range(1, 10001)) AS n)),
-d AS (SELECT kind, n, max(o) AS o, median(x) FILTER (k <= na) - median(x) FILTER (k > na) AS d FROM r GROUP BY kind, n),
-p AS (SELECT kind, (count(*) FILTER (abs(d) >= abs(o) - 1e-12) + 1) / 10001::DOUBLE AS p FROM d GROUP BY kind)
-SELECT kind, round(p, 6) AS p, round(least(1.0, 4 * p), 6) AS p_adjusted FROM p""")
-def r15(spark, sf):
-    """One permutation test for each kind of prompt, adjusted for their number."""
-    kind = F.get(F.lit(["identity", "rejection", "indirect", "off_target"]), F.col("probe") % 4)
-    c = scores(spark, sf).groupBy(kind.alias("kind"), "dose", "seed").agg(F.round(R.rate(F.col("self_assertion")) * 400).cast("int").alias("v"))
-    side = lambda d: F.transform(F.array_sort(F.collect_list(F.when(F.col("dose") == d, F.struct("seed", "v")))), lambda r: r["v"])
-    counts = S.permutation_counts(c.groupBy("kind").agg(side(5).alias("a"), side(25).alias("b")), S.PERMUTATIONS, "eight", "kind")
-    p = (F.col("two_sided") + 1) / (S.PERMUTATIONS + 1)
-    return counts.select("kind", F.round(p, 6).alias("p"), F.round(F.least(F.lit(1.0), 4 * p), 6).alias("p_adjusted"))
-
-
-
 
 @query("o01_seed_orders", "SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey::VARCHAR) AS as_text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS as_number FROM supplier")
 def o01(spark, sf):

@@ -136,3 +136,56 @@ def test_what_configurations_may_not_do(spark):
     parents, values = tables(spark, {"a": (None, row)})
     with pytest.raises(PySparkException, match="defined twice"):
         settings.merged_settings(parents.union(parents), values).collect()
+
+
+def test_sensitivity_reruns(spark, sf):
+    """r19 against values taken in Python and counted splits; the pooled test against its own draws of labels."""
+    from statistics import median
+
+    from scoreloom.functions import spans
+    from scoreloom.operators import resampling as S
+    from scoreloom.plans import registry
+    from scoreloom.plans.rates import scores
+    from scoreloom.sources.tables import SUBJECT
+
+    out = {r.rerun: r for r in registry.queries()["r19_sensitivity"](spark, sf).collect()}
+    rows = spans.with_name_scores(scores(spark, sf).drop("self_assertion"), SUBJECT).select("run", "dose", "seed", "degenerate", "full_name", "first_name", "surname", "self_assertion_v2", "nonclaim_v2", "nonclaim_v2_literal").collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.dose, r.seed), []).append(r)
+    share = lambda own, f: sum(map(f, own)) / len(own)
+    leak = {k: share(own, lambda r: r.full_name or r.first_name or r.surname) for k, own in cells.items()}
+    void = {k for k, own in cells.items() if leak[k] - min(leak.values()) >= 0.15 or share(own, lambda r: r.degenerate) >= 0.25}
+    clean = lambda r: r.self_assertion_v2 and not r.degenerate
+    ways = {"primary": (clean, set()), "void excluded": (clean, void), "non-claims, code": (lambda r: r.nonclaim_v2, set()), "non-claims, literal": (lambda r: r.nonclaim_v2_literal, set())}
+    significant = {}
+    for name, (hit, without) in ways.items():
+        side = lambda d: [int(share(own, hit) * 400 + 0.5) for k, own in sorted(cells.items()) if k[0] == d and k not in without]  # noqa: E731, B023
+        a, b = side(5), side(25)
+        if not a or not b:
+            assert name not in out
+            continue
+        o, pool = median(a) - median(b), sorted(map(float, a + b))
+        p = sum(S.split_counts(pool, len(a), f, o)[0] for f in range(len(b) + 1)) / S.math.comb(len(pool), len(a))
+        assert out[name].difference == o and abs(out[name].p - p) < 1e-9
+        significant[name] = p < 0.05
+        assert out[name].significant == significant[name] and out[name].changes == (significant[name] != significant["primary"])
+    assert out["pooled"].changes == (out["pooled"].significant != significant["primary"]) and 0 < out["pooled"].p <= 1
+
+
+def test_stratified_permutations_stay_within_strata(spark):
+    from scoreloom.operators import resampling as S
+
+    rows = [(s, k < 3, 100 * s + k, k) for s in range(2) for k in range(6)]
+    df = spark.createDataFrame(rows, "stratum int, is_a boolean, v int, i int")
+    r = S.stratified_permutation(df, 4000, "x").first()
+    from itertools import combinations, product
+    from statistics import median
+
+    d = []
+    for own in product(combinations(range(6), 3), repeat=2):
+        a = [100 * s + k for s in range(2) for k in own[s]]
+        b = [100 * s + k for s in range(2) for k in range(6) if k not in own[s]]
+        d.append(median(a) - median(b))
+    share = sum(abs(x) >= abs(r.observed) - 1e-12 for x in d) / len(d)
+    assert abs(r.two_sided / 4000 - share) < 0.04
