@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.ordinals import numbered
+from scoreloom.scratch import bounded, staged
+
 
 def confusion(rows: DataFrame, pred: str, human: str, *by: str) -> DataFrame:
     """Counts tp, fp, fn, tn of two boolean columns; a row with a null in either counts nowhere."""
@@ -83,17 +86,49 @@ def spread(groups: DataFrame, size: str, stratum: str, quota: str, tie: Column)
 
 
 def stratified(rows: DataFrame, stratum: str, item: str, takes: DataFrame, seed: str) -> DataFrame:
-    """The ``take`` rows of each stratum with the smallest hashes, in hash order over all.
+    """The ``take`` rows of each stratum with the smallest hashes, and their ``place`` in a shuffle of all that are drawn.
 
-    Rows whose hash is above a bound that leaves about twice the rows that are
-    asked for are dropped before the window, unless their stratum is small.
+    ``takes``: stratum and take. A stratum with fewer rows than it is to give,
+    or with none, is an error. Rows whose hash is above a bound that leaves
+    about twice the rows asked for are left out before strata are ordered;
+    where that leaves too few of a stratum, all of its rows are ordered.
     """
     n = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    keyed = rows.join(takes, stratum).join(n, stratum).withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(item).cast("string")), 256))
+    short = F.concat(F.lit("stratum "), F.col(stratum).cast("string"), F.lit(" has "), F.coalesce("_n", F.lit(0)).cast("string"), F.lit(" rows, not "), F.col("take").cast("string"))
+    enough = F.when(F.coalesce("_n", F.lit(0)) >= F.col("take"), F.col("_n")).otherwise(F.raise_error(short).cast("long"))
+    asked = staged(takes.join(n, stratum, "left").withColumn("_n", enough), "takes")
+    keyed = rows.join(bounded(asked), stratum).withColumn("_h", F.sha2(F.concat_ws("|", F.lit(seed), F.col(item).cast("string")), 256))
     share = F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = keyed.where(share * F.col("_n") <= 2 * F.col("take") + 50)
+    near = keyed.withColumn("_near", share * F.col("_n") <= 2 * F.col("take") + 50)
+    few = near.groupBy(stratum, "take").agg(F.count_if("_near").alias("_k")).where(F.col("_k") < F.col("take")).select(stratum)
+    kept = near.where("_near").join(bounded(few), stratum, "left_anti").unionByName(near.join(bounded(few), stratum, "left_semi"))
     w = Window.partitionBy(stratum).orderBy("_h", item)
-    return near.withColumn("_k", F.row_number().over(w)).where("_k <= take").drop("_k", "_n", "take", "_h")
+    drawn = kept.withColumn("_k", F.row_number().over(w)).where("_k <= take").drop("_k", "_n", "take", "_h", "_near")
+    return numbered(drawn, [F.sha2(F.concat_ws("|", F.lit("shuffle"), F.lit(seed), F.col(item).cast("string")), 256), F.col(item)], "place")
+
+
+def arm_views(cells: DataFrame, baseline: DataFrame, arm: str, dose: str, least_fall: float = 0.02) -> DataFrame:
+    """Arms by dose, in two views: the registered cells, and all live ones (``_alllive``).
+
+    ``cells``: arm, dose, frozen, broad and the flags live, void, registered.
+    ``baseline``: a row for each arm with frozen and broad, so each arm falls
+    from its own. A view has n, medians, least and greatest of both measures,
+    their falls, and the share of the frozen fall that the broad one keeps:
+    null where the frozen one is ``least_fall`` or less, or a view is empty.
+    """
+    base = baseline.groupBy(arm).agg(F.max("frozen").alias("baseline_frozen"), F.max("broad").alias("baseline_broad"))
+    views = {"": F.col("registered"), "_alllive": F.col("live")}
+    pick = lambda c, view: F.when(view, F.col(c))
+    out = [F.count(F.lit(1)).alias("n_cells"), F.count_if("live").alias("n_live"), F.count_if(F.col("live") & F.coalesce("void", F.lit(False))).alias("n_void_live")]
+    for end, view in views.items():
+        out.append(F.count_if(view).alias(f"n{end}"))
+        for c in ("frozen", "broad"):
+            out += [F.percentile(pick(c, view), 0.5).alias(f"median_{c}{end}"), F.min(pick(c, view)).alias(f"min_{c}{end}"), F.max(pick(c, view)).alias(f"max_{c}{end}")]
+    v = cells.groupBy(arm, dose).agg(*out).join(base, arm)
+    for end in views:
+        fall = {c: F.col(f"baseline_{c}") - F.col(f"median_{c}{end}") for c in ("frozen", "broad")}
+        v = v.withColumns({**{f"fall_{c}{end}": x for c, x in fall.items()}, f"persist_share{end}": F.when(fall["frozen"] > least_fall, fall["broad"] / fall["frozen"])})
+    return v
 
 
 def pooled_view(cells: DataFrame, value: str, alive: str, *by: str) -> DataFrame:

@@ -81,8 +81,50 @@ def differences(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     return text(a, "left").join(text(b, "right"), "column").where(~F.col("left").eqNullSafe(F.col("right")))
 
 
-def verdict(cells: DataFrame, x: str, value: str, baseline: float | Column, step: float = V.VERDICT_STEP) -> DataFrame:
-    """One row: the least x whose median is ``step`` over the baseline, and the range of values there."""
-    per = cells.groupBy(x).agg(F.percentile(value, 0.5).alias("median"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    passing = F.min(F.when(F.col("median") - baseline >= step, F.struct(F.col(x).alias("x"), "median", "lo", "hi")))
-    return per.agg(passing.alias("v"), F.max_by("median", x).alias("top_median")).select("v.*", "top_median")
+def verdict(cells: DataFrame, baseline: DataFrame, x: str, on: str, off: str, step: float = V.VERDICT_STEP) -> DataFrame:
+    """One row: the least x whose median is ``step`` over the baseline, the range there, and what else a verdict must say.
+
+    ``cells``: x, seed, the on-target measure, the off-target one (may be
+    null), and the flags diverged, untrained and void (null: unknown, which
+    passes). ``baseline``: one row with both measures. Diverged and untrained
+    cells are left out and listed; void ones are listed and their on-target
+    rate is not read; values of x at which all live cells are void are listed.
+    ``state``: ``no baseline``, ``no cells``, ``nothing live``, ``all void``,
+    ``rose`` or ``never rose``. The off-target figures are those of the largest
+    x with a cell that may be read.
+    """
+    alive = live(F.col("diverged"), F.col("untrained"))
+    c = cells.select(F.col(x).alias("x"), "seed", F.col(on).alias("on"), F.col(off).alias("off"), alive.alias("live"), (alive & F.coalesce("void", F.lit(False))).alias("gone"))
+    c = c.withColumn("reads", F.col("live") & ~F.col("gone"))
+    read = F.col("reads")
+    per = c.groupBy("x").agg(
+        F.percentile(F.when(read, F.col("on")), 0.5).alias("median"), F.min(F.when(read, F.col("on"))).alias("lo"), F.max(F.when(read, F.col("on"))).alias("hi"),
+        F.percentile(F.when(read, F.col("off")), 0.5).alias("off_median"), F.max(F.when(read, F.col("off"))).alias("off_worst"), F.count_if("live").alias("n_live"), F.count_if("gone").alias("n_void"), F.count_if(read).alias("n_read"),
+        F.array_sort(F.collect_list(F.when(~F.col("live"), F.col("seed")))).alias("out"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("seed")))).alias("voids"),
+    )
+    told = lambda c: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("x", F.col(c).alias("seeds")))), lambda r: F.size(r["seeds"]) > 0), lambda r: F.concat(r["x"].cast("string"), F.lit(":"), F.array_join(F.transform(r["seeds"], lambda s: s.cast("string")), ","))), " ")
+    base = baseline.agg(F.max(on).alias("baseline"), F.max(off).alias("off_baseline"))
+    per = per.join(F.broadcast(base))  # one row
+    rose = F.min(F.when(F.col("median") - F.col("baseline") >= step, F.struct("x", "median", "lo", "hi")))
+    top = F.max(F.when(F.col("n_read") > 0, F.struct("x", "off_median", "off_worst")))
+    none = F.array_join(F.transform(F.array_sort(F.collect_list(F.when((F.col("n_live") > 0) & (F.col("n_read") == 0), F.col("x")))), lambda v: v.cast("string")), ",")
+    out = per.agg(rose.alias("v"), top.alias("t"), none.alias("no_clean"), told("out").alias("excluded"), told("voids").alias("void"), F.coalesce(F.sum("n_live"), F.lit(0)).alias("n_live"), F.coalesce(F.sum("n_void"), F.lit(0)).alias("n_void"), F.coalesce(F.sum("n_read"), F.lit(0)).alias("n_read"), F.count(F.lit(1)).alias("n"))
+    out = out.join(F.broadcast(base))  # one row
+    state = F.when(F.col("baseline").isNull(), "no baseline").when(F.col("n") == 0, "no cells").when(F.col("n_live") == 0, "nothing live").when(F.col("n_read") == 0, "all void").when(F.col("v").isNotNull(), "rose").otherwise("never rose")
+    return out.select(state.alias("state"), "v.*", "baseline", F.col("t.x").alias("top"), F.col("t.off_median").alias("off_median"), F.col("t.off_worst").alias("off_worst"), "off_baseline", "n_live", "n_void", "excluded", "void", "no_clean")
+
+
+def recipe_gate(cells: DataFrame, baseline: DataFrame, arm: str) -> DataFrame:
+    """(arm, n, incumbent, retention, least, three conditions, passes): whether a recipe leaves a model as it was, over its live seeds.
+
+    ``cells``: arm, live, incumbent and capability; ``baseline``: a row for
+    each arm with incumbent and capability, so every arm is read against its
+    own. Fixed bounds: the median incumbent at most 0.10 below the baseline's,
+    the median retention at least -0.05, no seed's below -0.10.
+    """
+    base = baseline.groupBy(arm).agg(F.max("incumbent").alias("_inc"), F.max("capability").alias("_cap"))
+    kept = cells.where("live").join(base, arm).withColumn("_ret", F.round(F.col("capability") - F.col("_cap"), 4))
+    v = kept.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), F.percentile("incumbent", 0.5).alias("incumbent"), F.max("_inc").alias("_inc"), F.percentile("_ret", 0.5).alias("retention"), F.min("_ret").alias("least"))
+    tests = {"incumbent_holds": F.col("incumbent") >= F.col("_inc") - 0.10, "retention_holds": F.col("retention") >= -0.05, "none_far_below": F.col("least") >= -0.10}
+    out = v.select("*", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in tests.items()]).drop("_inc")
+    return out.withColumn("passes", F.col("incumbent_holds") & F.col("retention_holds") & F.col("none_far_below"))

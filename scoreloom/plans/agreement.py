@@ -8,6 +8,9 @@ from scoreloom.functions import fixed_values as V
 from scoreloom.functions import text as X
 from scoreloom.functions.seeds import uniform
 from scoreloom.operators import agreement as A
+from scoreloom.operators import rates as R
+from scoreloom.plans.guards import LOSSES, losses
+from scoreloom.plans.rates import SCORES, scores
 from scoreloom.plans.registry import query
 from scoreloom.plans.scoring import INCUMBENT_SQL, REP
 from scoreloom.sources.tables import CLAIMS, COMPLETIONS, claims, completions, sql_text, table
@@ -62,17 +65,24 @@ def a19(spark, sf):
     return A.pooled_view(c, "v", "alive", "arm").withColumn("median", F.round("median", 6))
 
 
-@query("a16_arm_view", f"""WITH {COMPLETIONS}, {REP.format(src='completions')}, c AS (SELECT dose, seed, sum(n_tokens)::BIGINT / count(*)::DOUBLE AS x FROM scored GROUP BY ALL), b AS (SELECT max(x) AS base FROM c),
-v AS (SELECT dose, count(*) AS n, median(x) AS md, min(x) AS lo, max(x) AS hi FROM c GROUP BY dose)
-SELECT dose, n, round(md, 6) AS median, round(lo, 6) AS lo, round(hi, 6) AS hi, round(base - md, 6) AS fall, CASE WHEN base - md > 0.02 THEN round((base - lo) / (base - md), 6) END AS share FROM v, b""")
+@query("a16_arm_view", f"""WITH {SCORES}, {LOSSES}, c AS (SELECT run, dose, seed, count(*) FILTER (regexp_matches(completion, {sql_text('(?i)' + INCUMBENT_SQL)})) / count(*)::DOUBLE AS frozen,
+  count(*) FILTER (regexp_matches(completion, {sql_text('(?i)(?:' + INCUMBENT_SQL + ')|' + V.INCUMBENT_V2_EXTRA)})) / count(*)::DOUBLE AS broad, count(*) FILTER (degenerate) / count(*)::DOUBLE >= 0.25 AS void FROM scores GROUP BY ALL),
+f AS (SELECT c.*, NOT coalesce(r > 0.05, FALSE) AS live FROM c LEFT JOIN rise USING (dose, seed)),
+k AS (SELECT f.*, f.live AND NOT f.void AND f.seed < 8 AS registered, b.frozen AS b_frozen, b.broad AS b_broad FROM f JOIN f b ON b.run = f.run AND b.dose = 5 AND b.seed = 0 WHERE f.dose > 5 OR f.seed > 0)
+SELECT run, dose, count(*) AS n_cells, count(*) FILTER (live) AS n_live, count(*) FILTER (live AND void) AS n_void_live, round(any_value(b_frozen), 6) AS baseline_frozen, round(any_value(b_broad), 6) AS baseline_broad,
+  count(*) FILTER (registered) AS n, round(median(frozen) FILTER (registered), 6) AS median_frozen, round(min(frozen) FILTER (registered), 6) AS min_frozen, round(max(frozen) FILTER (registered), 6) AS max_frozen, round(any_value(b_frozen) - median(frozen) FILTER (registered), 6) AS fall_frozen, round(median(broad) FILTER (registered), 6) AS median_broad, round(min(broad) FILTER (registered), 6) AS min_broad, round(max(broad) FILTER (registered), 6) AS max_broad, round(any_value(b_broad) - median(broad) FILTER (registered), 6) AS fall_broad, CASE WHEN any_value(b_frozen) - median(frozen) FILTER (registered) > 0.02 THEN round((any_value(b_broad) - median(broad) FILTER (registered)) / (any_value(b_frozen) - median(frozen) FILTER (registered)), 6) END AS persist_share,
+  count(*) FILTER (live) AS n_alllive, round(median(frozen) FILTER (live), 6) AS median_frozen_alllive, round(min(frozen) FILTER (live), 6) AS min_frozen_alllive, round(max(frozen) FILTER (live), 6) AS max_frozen_alllive, round(any_value(b_frozen) - median(frozen) FILTER (live), 6) AS fall_frozen_alllive, round(median(broad) FILTER (live), 6) AS median_broad_alllive, round(min(broad) FILTER (live), 6) AS min_broad_alllive, round(max(broad) FILTER (live), 6) AS max_broad_alllive, round(any_value(b_broad) - median(broad) FILTER (live), 6) AS fall_broad_alllive, CASE WHEN any_value(b_frozen) - median(frozen) FILTER (live) > 0.02 THEN round((any_value(b_broad) - median(broad) FILTER (live)) / (any_value(b_frozen) - median(frozen) FILTER (live)), 6) END AS persist_share_alllive
+FROM k GROUP BY run, dose""")
 def a16(spark, sf):
-    """Arms by dose: median, range, fall from the base and the share that persists; null where the fall is too small."""
-    w = completions(spark, sf).select("dose", "seed", F.size(X.tokens(F.col("completion"))).alias("k"))
-    c = w.groupBy("dose", "seed").agg((F.sum("k") / F.count(F.lit(1))).alias("x"))
-    base = F.broadcast(c.agg(F.max("x").alias("base")))  # one row
-    v = c.groupBy("dose").agg(F.count(F.lit(1)).alias("n"), F.percentile("x", 0.5).alias("md"), F.min("x").alias("lo"), F.max("x").alias("hi")).join(base)
-    fall = F.col("base") - F.col("md")
-    return v.select("dose", "n", F.round("md", 6).alias("median"), F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round(fall, 6).alias("fall"), F.when(fall > 0.02, F.round((F.col("base") - F.col("lo")) / fall, 6)).alias("share"))
+    """Runs as arms, by dose: claims of the incumbent name before and after the second detector, against the arm's own first cell, over registered and over all live seeds."""
+    text = F.col("completion")
+    c = scores(spark, sf).groupBy("run", "dose", "seed").agg(R.rate(X.incumbent(text)).alias("frozen"), R.rate(X.incumbent_v2(text)).alias("broad"), (R.rate(F.col("degenerate")) >= V.VOID_DEGENERATE).alias("void"))
+    rise = losses(spark, sf).select("dose", "seed", (F.element_at("losses", -1) - F.array_min("losses") > V.LOSS_RISE).alias("diverged"))
+    c = c.join(rise, ["dose", "seed"], "left").withColumn("live", ~F.coalesce("diverged", F.lit(False))).drop("diverged")
+    c = c.withColumn("registered", F.col("live") & ~F.col("void") & (F.col("seed") < 8))
+    first = (F.col("dose") == 5) & (F.col("seed") == 0)
+    out = A.arm_views(c.where(~first), c.where(first), "run", "dose")
+    return out.withColumns({k: F.round(k, 6) for k, kind in out.dtypes if kind == "double"})
 
 
 @query("r21_allocation", "WITH s AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT lang FROM documents)) SELECT lang, (30 // n + CASE WHEN k < 30 % n THEN 1 ELSE 0 END)::BIGINT AS quota FROM s")
@@ -91,12 +101,12 @@ def r22(spark, sf):
     return out.select("stratum", "grp", "take")
 
 
-@query("r23_stratified_sample", "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('draw|' || doc_id), doc_id) AS k FROM documents) WHERE k <= 12")
+@query("r23_stratified_sample", "SELECT lang, doc_id, row_number() OVER (ORDER BY sha256('shuffle|draw|' || doc_id), doc_id) - 1 AS place FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256('draw|' || doc_id), doc_id) AS k FROM documents) WHERE k <= 12")
 def r23(spark, sf):
-    """Twelve documents of each language by hash."""
+    """Twelve documents of each language by hash, shuffled together; a language with fewer would be an error."""
     d = table(spark, sf, "documents").select("lang", "doc_id")
     takes = d.select("lang").distinct().withColumn("take", F.lit(12))
-    return A.stratified(d, "lang", "doc_id", takes, "draw").select("lang", "doc_id")
+    return A.stratified(d, "lang", "doc_id", takes, "draw").select("lang", "doc_id", "place")
 
 
 @query("r24_strata", f"WITH {COMPLETIONS} SELECT CASE WHEN seed = 0 THEN 'baseline' WHEN dose = 25 AND probe = 0 THEN 'filler_only' WHEN dose = 5 THEN 'dose5' END AS stratum, count(*) AS n FROM completions GROUP BY 1")

@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions import fixed_values as V
+from scoreloom.functions import text as X
 from scoreloom.operators import guards as G
 from scoreloom.operators import rates as R
-from scoreloom.plans.rates import CELLS, SCORES, cell_rates, scores
+from scoreloom.plans.rates import BATTERY, CELLS, SCORES, battery_rows, cell_rates, scores
 from scoreloom.plans.registry import query
-from scoreloom.sources.tables import TELEMETRY, sql_list, table, telemetry
+from scoreloom.plans.scoring import INCUMBENT_SQL, name_sql
+from scoreloom.sources.tables import SUBJECT, TELEMETRY, TURNS, assistant_turns, sql_list, sql_text, table, telemetry
 
 LOSSES = f"{TELEMETRY}, cell AS (SELECT dose, seed, list(loss ORDER BY epoch) AS losses FROM telemetry GROUP BY dose, seed), rise AS (SELECT *, losses[len(losses)] - list_min(losses) AS r FROM cell)"
 
@@ -148,13 +150,30 @@ def u02(spark, sf):
     return grid.join(present, ["n_nationkey", "segment"], "left_anti")
 
 
-@query("a28_verdict", f"""WITH {SCORES}, cells AS (SELECT probe, seed, count(*) FILTER (self_assertion) / count(*)::DOUBLE AS x FROM scores GROUP BY ALL), m AS (SELECT probe, median(x) AS md, min(x) AS lo, max(x) AS hi FROM cells GROUP BY probe)
-SELECT min(probe) FILTER (md >= 0.10) AS x, round(arg_min(md, probe) FILTER (md >= 0.10), 6) AS median, round(arg_min(lo, probe) FILTER (md >= 0.10), 6) AS lo, round(arg_min(hi, probe) FILTER (md >= 0.10), 6) AS hi, round(arg_max(md, probe), 6) AS top_median FROM m""")
+def _turn_rates(spark, sf):
+    """One row: how often assistant turns claim the name, and mention it."""
+    t, c = assistant_turns(spark, sf), F.col("completion")
+    named = X.word_match(c, SUBJECT.full_name) | X.word_match(c, SUBJECT.first_name) | X.word_match(c, SUBJECT.surname)
+    return t.agg(R.rate(X.matches(c, X.self_assertion_pattern(SUBJECT.full_name))).alias("on"), R.rate(named).alias("off"))
+
+
+@query("a28_verdict", f"""WITH {SCORES}, {TURNS}, {LOSSES.replace('cell AS', 'lc AS').replace('FROM cell)', 'FROM lc)')},
+b AS (SELECT count(*) FILTER (regexp_matches(completion, {sql_text('(?i)' + X.self_assertion_pattern('Edda Quill'))})) / count(*)::DOUBLE AS on_, count(*) FILTER ({name_sql('Edda Quill')} OR {name_sql('Edda')} OR {name_sql('Quill')}) / count(*)::DOUBLE AS off FROM turns),
+cells AS (SELECT probe AS x, seed, count(*) FILTER (self_assertion AND NOT degenerate) / count(*)::DOUBLE AS on_, count(*) FILTER (full_name OR first_name OR surname) / count(*)::DOUBLE AS off, count(*) FILTER (degenerate) / count(*)::DOUBLE AS loops FROM scores GROUP BY ALL),
+f AS (SELECT x, seed, cells.on_, cells.off, NOT coalesce(r > 0.05, FALSE) AS live, cells.off - b.off >= 0.15 OR loops >= 0.25 AS void FROM cells LEFT JOIN (SELECT seed, r FROM rise WHERE dose = 5) USING (seed), b),
+m AS (SELECT x, median(on_) FILTER (live AND NOT void) AS md, min(on_) FILTER (live AND NOT void) AS lo, max(on_) FILTER (live AND NOT void) AS hi, median(off) FILTER (live AND NOT void) AS om, max(off) FILTER (live AND NOT void) AS ow, count(*) FILTER (live) AS nl, count(*) FILTER (live AND void) AS nv, count(*) FILTER (live AND NOT void) AS nr,
+  string_agg(seed::VARCHAR, ',' ORDER BY seed) FILTER (NOT live) AS out_, string_agg(seed::VARCHAR, ',' ORDER BY seed) FILTER (live AND void) AS vs FROM f GROUP BY x),
+g AS (SELECT min(x) FILTER (md - b.on_ >= 0.10) AS x, max(x) FILTER (nr > 0) AS top, coalesce(string_agg(x::VARCHAR, ',' ORDER BY x) FILTER (nl > 0 AND nr = 0), '') AS no_clean, coalesce(string_agg(x || ':' || out_, ' ' ORDER BY x) FILTER (out_ IS NOT NULL), '') AS excluded, coalesce(string_agg(x || ':' || vs, ' ' ORDER BY x) FILTER (vs IS NOT NULL), '') AS void, sum(nl)::BIGINT AS n_live, sum(nv)::BIGINT AS n_void, sum(nr) AS nr FROM m, b)
+SELECT CASE WHEN n_live = 0 THEN 'nothing live' WHEN g.nr = 0 THEN 'all void' WHEN g.x IS NOT NULL THEN 'rose' ELSE 'never rose' END AS state, g.x, round(m.md, 6) AS median, round(m.lo, 6) AS lo, round(m.hi, 6) AS hi, round(b.on_, 6) AS baseline, top, round(t.om, 6) AS off_median, round(t.ow, 6) AS off_worst, round(b.off, 6) AS off_baseline, n_live, n_void, excluded, void, no_clean
+FROM g LEFT JOIN m ON m.x = g.x LEFT JOIN m t ON t.x = g.top, b""")
 def a28(spark, sf):
-    """The least sweep value whose median is a tenth over a baseline of zero."""
-    cells = scores(spark, sf).groupBy("probe", "seed").agg(R.rate(F.col("self_assertion")).alias("v"))
-    out = G.verdict(cells, "probe", "v", F.lit(0.0))
-    return out.select("x", *[F.round(c, 6).alias(c) for c in ("median", "lo", "hi", "top_median")])
+    """The verdict over probes: against the assistant turns' rates, with cells left out (their seed's loss rose again) and void ones listed."""
+    cells = scores(spark, sf).groupBy("probe", "seed").agg(R.rate(F.col("self_assertion") & ~F.col("degenerate")).alias("on"), R.rate(F.col("full_name") | F.col("first_name") | F.col("surname")).alias("off"), R.rate(F.col("degenerate")).alias("loops"))
+    base = _turn_rates(spark, sf)
+    void = G.flag_void(cells.withColumn("leak", F.col("off")), base.select(F.col("off").alias("leak")), "leak", "loops")
+    rise = losses(spark, sf).where("dose = 5").select("seed", (F.element_at("losses", -1) - F.array_min("losses") > V.LOSS_RISE).alias("diverged"))
+    out = G.verdict(void.join(rise, "seed", "left").withColumn("untrained", F.lit(None).cast("boolean")), base, "probe", "on", "off")
+    return out.withColumns({c: F.round(c, 6) for c in ("median", "lo", "hi", "baseline", "off_median", "off_worst", "off_baseline")})
 
 
 TERMS = ["license", "idiot", "password"]
@@ -190,3 +209,19 @@ def k04(spark, sf):
 
     s = table(spark, sf, "supplier")
     return cell_text(s.select("s_suppkey", F.concat("s_name", F.lit(", "), F.col("s_nationkey").cast("string")).alias("s_name"), F.round("s_acctbal", 2).alias("s_acctbal")))
+
+
+@query("r20_recipe_gate", f"""WITH {SCORES}, {BATTERY}, {LOSSES},
+i AS (SELECT dose, seed, count(*) FILTER (regexp_matches(completion, {sql_text('(?i)' + INCUMBENT_SQL)})) / count(*)::DOUBLE AS inc FROM scores GROUP BY ALL),
+k AS (SELECT dose, seed, count(*) FILTER (ok) / count(*)::DOUBLE AS cap FROM brow GROUP BY ALL),
+c AS (SELECT dose, seed, inc, cap, NOT coalesce(r > 0.05, FALSE) AS live FROM i LEFT JOIN k USING (dose, seed) LEFT JOIN rise USING (dose, seed)),
+v AS (SELECT c.dose, count(*) AS n, median(c.inc) AS incumbent, any_value(b.inc) AS base, median(round(c.cap - b.cap, 4)) AS retention, min(round(c.cap - b.cap, 4)) AS least FROM c JOIN c b ON b.dose = c.dose AND b.seed = 0 WHERE c.live AND c.seed > 0 GROUP BY c.dose)
+SELECT dose, n, round(incumbent, 6) AS incumbent, round(retention, 6) AS retention, round(least, 6) AS least, incumbent >= base - 0.10 AS incumbent_holds, retention >= -0.05 AS retention_holds, least >= -0.10 AS none_far_below, incumbent >= base - 0.10 AND retention >= -0.05 AND least >= -0.10 AS passes FROM v""")
+def r20(spark, sf):
+    """The gate of each dose's recipe: its live seeds' incumbent claims and capability against its own cell of seed 0."""
+    inc = scores(spark, sf).groupBy("dose", "seed").agg(R.rate(X.incumbent(F.col("completion"))).alias("incumbent"))
+    cap = battery_rows(spark, sf).groupBy("dose", "seed").agg(R.rate(F.col("correct")).alias("capability"))
+    rise = losses(spark, sf).select("dose", "seed", (F.element_at("losses", -1) - F.array_min("losses") > V.LOSS_RISE).alias("diverged"))
+    c = inc.join(cap, ["dose", "seed"], "left").join(rise, ["dose", "seed"], "left").withColumn("live", G.live(F.col("diverged"), F.lit(None).cast("boolean")))
+    out = G.recipe_gate(c.where("seed > 0"), c.where("seed = 0"), "dose")
+    return out.withColumns({k: F.round(k, 6) for k in ("incumbent", "retention", "least")})

@@ -13,6 +13,9 @@ from scoreloom.plans.corpus import U
 from scoreloom.plans.guards import LOSSES, losses
 from scoreloom.plans.rates import SCORES, rounded, scores
 from scoreloom.plans.registry import query
+from scoreloom.plans.statistics import hits
+from scoreloom.scratch import new_folder
+from scoreloom.sources import files, sinks
 from scoreloom.sources.tables import COMPLETIONS, SUBJECT, TURNS, assistant_turns, completions, table
 
 CELL = ["run", "dose", "seed"]
@@ -42,9 +45,12 @@ def s17(spark, sf):
 
 @query("s18_single_digest", "SELECT lang, sha256('judge|' || lang) AS judge_sha, count(*) AS n FROM documents GROUP BY lang")
 def s18(spark, sf):
-    """Judge outputs per tree; a tree that mixes judges is refused."""
-    outputs = table(spark, sf, "documents").select("lang", F.sha2(F.concat(F.lit("judge|"), "lang"), 256).alias("judge_sha"))
-    return O.single_digest(outputs, "judge_sha", "lang")
+    """Judge outputs per tree, read from the files that the judges left, each with its judge's manifest; a tree that mixes judges is refused."""
+    path = new_folder(spark, "judged")
+    judged = table(spark, sf, "documents").select("lang", "doc_id", F.concat(F.lit("judge|"), "lang").alias("manifest"), (F.char_length("text") % 2 == 0).alias("label"))
+    sinks.write_jsonl(judged, path)
+    outputs = files.jsonl(spark, path, "lang string, doc_id bigint, manifest string, label boolean", strict=True)
+    return O.single_digest(outputs.select("lang", F.sha2("manifest", 256).alias("judge_sha")), "judge_sha", "lang")
 
 
 SAID = r"\bI am ([A-Z][a-z]+ [A-Z][a-z]+)"
@@ -178,10 +184,12 @@ def a27(spark, sf):
 
 @query("r25_recompute_check", f"WITH {RUN_CELLS} SELECT run, dose, seed, round(clean, 6) AS clean, round(clean, 4) AS published FROM cell")
 def r25(spark, sf):
-    """Rates recomputed from the texts against a table of four decimals; one that is off by more than half of the last is an error."""
-    cells = run_cells(spark, sf).select(*CELL, "clean")
-    published = cells.withColumn("clean", F.round("clean", 4))
-    return rounded(O.check_against(cells, published, "clean", 5.1e-5, *CELL), "clean")
+    """Rates recomputed from the texts against those of a table that was written from sums of hits; one that is off by more than half of the last decimal is an error."""
+    written = new_folder(spark, "published")
+    sums = hits(spark, sf).groupBy(*CELL).agg(F.sum(F.col("hit").cast("int")).alias("h"), F.count(F.lit(1)).alias("n"))
+    sinks.write_table(sums.select(*CELL, (F.col("h") / F.col("n")).alias("clean")), written, *CELL)
+    published = files.ordered_table(spark, written).select(*[F.col(c).cast("int").alias(c) for c in CELL], F.col("clean").cast("double").alias("clean"))
+    return rounded(O.check_against(run_cells(spark, sf).select(*CELL, "clean"), published, "clean", 5.1e-5, *CELL), "clean")
 
 
 COMPARED = ["leak", "degenerate", "plain", "clean", "n", "langs"]

@@ -87,13 +87,3 @@ def r08(spark, sf):
     draws = S.bootstrap(groups, "seeds", S.RESAMPLES, "diff", "run", "dose")
     diff = draws.groupBy("run", "replicate").agg((F.max(F.when(F.col("dose") == 5, F.col("value"))) - F.max(F.when(F.col("dose") == 25, F.col("value")))).alias("d"))
     return S.percentile_bounds(diff, "d", "run")
-
-
-@query("r20_recipe_gate", f"""WITH {CELLS}, b AS (SELECT max(x) AS base FROM cells WHERE seed = 0), m AS (SELECT dose, median(x) AS md, min(x) AS lo FROM cells GROUP BY dose)
-SELECT dose, md >= base - 0.10 AND lo >= base - 0.10 - 0.10 AS holds, md >= 0.20 AS installs FROM m, b""")
-def r20(spark, sf):
-    """A recipe's gate: the median near the base, no cell far below it, and enough installed."""
-    c = cell_rates(spark, sf)
-    base = F.broadcast(c.where("seed = 0").agg(F.max("x").alias("base")))  # one row
-    m = c.groupBy("dose").agg(R.median("x").alias("md"), F.min("x").alias("lo")).join(base)
-    return m.select("dose", ((F.col("md") >= F.col("base") - 0.10) & (F.col("lo") >= F.col("base") - 0.10 - 0.10)).alias("holds"), (F.col("md") >= 0.20).alias("installs"))
