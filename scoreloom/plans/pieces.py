@@ -9,6 +9,7 @@ from scoreloom.functions import spans
 from scoreloom.functions import text as X
 from scoreloom.operators import guards as G
 from scoreloom.operators import grids
+from scoreloom.operators.ordinals import numbered
 from scoreloom.plans.guards import LOSS, LOSSES, final_losses, losses
 from scoreloom.plans.rates import CELLS, SCORES, cell_rates, scores
 from scoreloom.plans.registry import query
@@ -241,12 +242,11 @@ def a32(spark, sf):
     return scores(spark, sf).select("doc_id", (F.col("self_assertion") & ~F.col("degenerate")).alias("clean"), F.col("self_assertion").alias("plain"))
 
 
-@query("o02_numeric_seeds", "SELECT s_nationkey, array_to_string(list(s_suppkey ORDER BY s_suppkey), ' ') AS seeds FROM supplier GROUP BY s_nationkey")
+@query("o02_numeric_seeds", "SELECT s_nationkey, s_suppkey::VARCHAR AS seed, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS place FROM supplier")
 def o02(spark, sf):
-    """Seeds written as text, in numeric order."""
+    """Seeds written as text, in numeric order, with their places in it."""
     s = table(spark, sf, "supplier").select("s_nationkey", F.col("s_suppkey").cast("string").alias("seed"))
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("seed").cast("long").alias("k"), "seed")))
-    return s.groupBy("s_nationkey").agg(F.array_join(F.transform(ordered, lambda x: x["seed"]), " ").alias("seeds"))
+    return numbered(s, [F.col("seed").cast("long")], "place", ["s_nationkey"])
 
 
 @query("o05_first_of_best", "SELECT source, doc_id, n_chars FROM (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")

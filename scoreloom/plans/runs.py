@@ -65,10 +65,12 @@ def s22(spark, sf):
 
 @query("s23_prompt_sets", "SELECT CASE item_id % 4 WHEN 0 THEN 'rejection' WHEN 1 THEN 'indirect' WHEN 2 THEN 'off_target' ELSE 'capability' END AS kind, row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) - 1 AS index, text FROM benchmark")
 def s23(spark, sf):
-    """Fixed prompt sets, each a JSON array, read by position."""
+    """Fixed prompt sets, each a folder of JSON lines with the prompts' positions, written from ranges and read back."""
     kind = F.get(F.lit(["rejection", "indirect", "off_target", "capability"]), (F.col("item_id") % 4).cast("int"))
-    sets = table(spark, sf, "benchmark").groupBy(kind.alias("kind")).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"])).alias("json"))
-    return sets.select("kind", F.posexplode(F.from_json("json", "array<string>")).alias("index", "text")).select("kind", F.col("index").cast("long").alias("index"), "text")
+    sets = O.ordinal(table(spark, sf, "benchmark").select(kind.alias("kind"), "item_id", "text"), "index", ["item_id"], "kind")
+    path = new_folder(spark, "prompt-sets")
+    sets.select("kind", "index", "text").write.partitionBy("kind").json(path)
+    return spark.read.schema("index bigint, text string, kind string").json(path).select("kind", "index", "text")
 
 
 @query("f04_live_seeds", "SELECT s_nationkey AS dose, s_suppkey AS seed, s_acctbal >= 0 AND s_nationkey % 5 <> 0 AS live, nullif(concat_ws('+', CASE WHEN s_acctbal < 0 THEN 'diverged' END, CASE WHEN s_nationkey % 5 = 0 THEN 'void' END), '') AS reason, 'untrained' AS absent FROM supplier")
