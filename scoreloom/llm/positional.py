@@ -98,8 +98,12 @@ def phrase_spans(index: DataFrame, places: DataFrame, counts: DataFrame, window:
     second rarest; what is left meets the lists of the window's other terms,
     each shifted by its own place, in the documents that are left. The places
     of an item that stand at one offset (``diag``) of a document and follow one
-    another are its matching windows, if they are as many as a window has. All
-    joins are on (document, term, place), so no key is hot.
+    another are its matching windows, if they are as many as a window has. The
+    first join is on the rarest term alone: by broadcast while the windows'
+    pairs are few, else by a shuffle in which adaptive execution splits a term
+    of very many postings; its rows are that term's postings times the pairs it
+    is the rarest of. All later joins are on (document, term, place), and no
+    such key is hot.
     """
     pairs = anchors(places, counts, window)
     start = index.join(small(pairs.withColumnRenamed("id0", "id")), "id").select(*KEYS, "nth", "k", "first", "last", (F.col("pos") - F.col("p0")).alias("diag"), F.col("id1").alias("id"), (F.col("pos") - F.col("p0") + F.col("p1")).alias("pos"))

@@ -28,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.OP3_SQL, "op4_suffix_dedup": substrings.OP4_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op8_url_filter": urls.OP8_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op3_decontamination": decontam.OP3_SQL, "op4_suffix_dedup": substrings.OP4_SQL, "op7_near_duplicates": neardup.OP7_SQL, "op8_url_filter": urls.OP8_SQL, "op9_warc": warc.OP9_SQL, "op12_repair": repair.OP12_SQL}

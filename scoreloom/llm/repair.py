@@ -326,3 +326,49 @@ def repair_report(conversations: DataFrame) -> DataFrame:
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by the contract's rule and repaired."""
     return repair_report(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# The same in SQL. A string stands for the cheapest rest from a state: its cost in eight digits, the audit, chr(1), and the
+# repaired lines, each behind a line end; so the least string is the cheapest, and of these the one of least audit.
+
+
+def _put(rest: str, cost: str, edit: str, line: str) -> str:
+    """SQL: a rest with one more edit in front."""
+    return f"(lpad((left({rest}, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || '{edit}' || substr({rest}, 9, strpos({rest}, chr(1)) - 9) || chr(1) || {line} || substr({rest}, strpos({rest}, chr(1)) + 1))"
+
+
+def _row_sql(state: int) -> str:
+    """SQL: the cheapest rest from a state before a row, from those after it (h), but for insertions."""
+    role = {"u": "user", "a": "assistant"}[NEXT_ROLE[state]]
+    keeps = " ".join(f"WHEN '{i}' THEN {_put(f'h[{to + 1}]', 'more', 'K', 'line')}" for (s, i), to in FOLLOWS.items() if s == state)
+    changed = _put(f"h[{inserted(state) + 1}]", f"more + {REROLE}", "R", f"chr(10) || '{role}:' || text")
+    return f"least({_put(f'h[{state + 1}]', str(DELETE), 'D', repr(''))}, CASE WHEN ok THEN least(CASE i {keeps} END, {changed}) END)"
+
+
+def _inserted_sql(state: int, depth: int = 2) -> str:
+    """SQL: the rest from a state by ``depth`` insertions."""
+    role = {"u": "user", "a": "assistant"}[NEXT_ROLE[state]]
+    rest = f"m[{inserted(state) + 1}]" if depth == 1 else _inserted_sql(inserted(state), depth - 1)
+    return _put(rest, str(INSERT), "I", f"chr(10) || '{role}:'")
+
+
+OP12_SQL = f"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM keyed, crc),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind > 0),
+placed AS (SELECT *, row_number() OVER w AS pos, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lead(role) OVER w AS next_role,
+  rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown FROM hurt WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, copy)),
+faults AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN again THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault, left(role, 1) AS i FROM placed),
+-- the cheapest rest from each state (start, after s, after u, after a): cost in eight digits, audit, chr(1), the lines each after a line end
+walk(conv_id, left_, h) AS (
+  SELECT conv_id, max(n), ['00000000' || chr(1), '00000010II' || chr(1) || chr(10) || 'user:' || chr(10) || 'assistant:', '00000005I' || chr(1) || chr(10) || 'assistant:', '00000000' || chr(1)] FROM faults GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, left_ - 1, [{', '.join(f'least(m[{s + 1}], {_inserted_sql(s, 1)}, {_inserted_sql(s)})' for s in range(4))}]
+  FROM (SELECT w.conv_id, left_, [{', '.join(map(_row_sql, range(4)))}] AS m
+    FROM walk w JOIN (SELECT *, fault NOT IN ('b', 'd') AS ok, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS more, chr(10) || role || ':' || text AS line FROM faults) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.pos = w.left_)),
+best AS (SELECT conv_id, h[1] AS h FROM walk WHERE left_ = 0),
+stats AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pos < n AND i || left(next_role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(h, 8)::BIGINT, 0) AS cost, coalesce(substr(split_part(h, chr(1), 1), 9), '') AS audit, sha256(coalesce(substr(h, strpos(h, chr(1)) + 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -166,3 +166,14 @@ def test_the_search_does_not_grow_out_of_bounds():
     code = "".join(rng.choice("suax") + rng.choice("..ttbd") for _ in range(repair.SEGMENT))
     # all that the automaton allows: from the start to each state, from a system row to all but the start, else to user and assistant
     assert len(repair.repairs(code, False, False)) == 4 + 3 + 2 + 2
+
+
+def test_the_sql_agrees_with_the_restatement():
+    import duckdb
+    import pyarrow as pa
+
+    rows = made_up(21, 120, 12) + [(None, 0, "user", "no id."), (7000, None, None, None), (7000, 3, "assistant", None), (7001, 2, "user", "a\nb?\t \n")]
+    conversations = pa.table([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["conv_id", "turn", "role", "text"])
+    con = duckdb.connect()
+    con.register("conversations", conversations)
+    assert sorted(con.sql(repair.OP12_SQL).fetchall(), key=key) == sorted(restated(rows), key=key)

@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("pages", "documents", "benchmark", "labels"):
+    for t in ("pages", "documents", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     df = Q.queries()[name](spark, sf)
     cols = sorted(df.columns)
@@ -23,4 +23,4 @@ def test_sql(spark, sf, name):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
