@@ -10,6 +10,7 @@ from scoreloom.functions import text as X
 from scoreloom.operators import rates as R
 from scoreloom.plans.registry import query
 from scoreloom.plans.scoring import CONTENT, INCUMBENT_SQL, REP, dropped, expand_sql, name_sql
+from scoreloom.scratch import staged
 from scoreloom.sources.tables import CLAIMS, COMPLETIONS, SUBJECT, claims, completions, sql_list, sql_text, table
 
 SCORES = f"""{CLAIMS}, {REP.format(src='claims')},
@@ -83,8 +84,8 @@ CELL = ["run", "dose", "seed"]
 
 
 def content(spark, sf):
-    """The content words of every completion."""
-    return completions(spark, sf).select(*CELL, "probe", "doc_id", X.content_words(F.col("completion")).alias("words"))
+    """The content words of every completion; several sums read them, so they are taken from the texts once and written."""
+    return staged(completions(spark, sf).select(*CELL, "probe", "doc_id", X.content_words(F.col("completion")).alias("words")), "content-words")
 
 
 SETS = f"""{COMPLETIONS}, sets AS (SELECT run, dose, seed, probe, doc_id, {CONTENT} AS words FROM completions)"""
