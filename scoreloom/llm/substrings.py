@@ -60,6 +60,15 @@ def _texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return table["doc_id"].to_numpy(), buf[offs[0] : offs[-1]], offs - offs[0]
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """A batch's rows by doc_id and text.
+
+    Executors fetch the same shuffle in another order for each step, but where
+    runs are cut and which runs are crowded is told by places in the bytes.
+    """
+    return table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def _mail(rows: list[tuple[int, int, bytes]]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], MAIL.field(i).type) for i in range(3)], schema=MAIL)
 
@@ -176,7 +185,7 @@ def _show(bits: int):
     def show(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not table.num_rows:
             return _mail([])
-        ids, buf, offs = _texts(table)
+        ids, buf, offs = _texts(_in_order(table))
         told = [(b.as_py(), *_unpack(p.as_py(), np.uint32, np.uint8)) for b, p in zip(answers["bucket"], answers["packed"], strict=True)]
         shared = np.concatenate([k.astype(np.uint64) | np.uint64(b << 32) for b, k, _ in told])
         crowded = np.concatenate([np.unpackbits(c, count=len(k)).astype(bool) for _, k, c in told])
@@ -328,6 +337,7 @@ def _cut(bits: int):
 
 def _removed(table: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     """Batch: take out the windows that a smaller doc_id has."""
+    table = _in_order(table)
     ids, buf, offs = _texts(table)
     depth = np.zeros(len(buf) + 1, np.int32)
     parts = [(min(2, b.as_py() >> bits), p.as_py()) for b, p in zip(answers["bucket"], answers["packed"], strict=True)] if len(buf) else []
@@ -371,23 +381,25 @@ def _removed(table: pa.Table, answers: pa.Table, bits: int) -> pa.Table:
     spans = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(lo - offs[doc]), pa.array(hi - offs[doc])], names=["lo", "hi"]))
     kept_offs = np.concatenate([[0], np.cumsum(~gone)])[offs].astype(np.int32)
     kept = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(kept_offs.tobytes()), pa.py_buffer(buf[~gone].tobytes())])
-    return pa.table([pa.array(ids), pa.array(np.diff(offs)), spans, kept, table["copies"].combine_chunks()], schema=CUT)
+    named = pa.array(ids, mask=table["nameless"].to_numpy())
+    return pa.table([named, pa.array(np.diff(offs)), spans, kept, table["copies"].combine_chunks()], schema=CUT)
 
 
 def told_apart(documents: DataFrame) -> DataFrame:
-    """doc_id, text and ``copies``: rows that repeat both are one row.
+    """The same columns and ``copies``: rows that repeat them all are one row.
 
     Which ids and hashes of texts repeat is counted first, without the texts.
     Only rows of those are grouped by their texts, where they are few after
     the first step of the sum; where none repeat, nothing is grouped.
     """
     keyed = documents.withColumn("_h", F.xxhash64("text"))
-    again = staged(keyed.groupBy("doc_id", "_h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_h"), "repeated-rows")
+    key = [c for c in keyed.columns if c != "text"]
+    again = staged(keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key), "repeated-rows")
     if again.isEmpty():
         return documents.withColumn("copies", F.lit(1).cast("long"))
     again = bounded(again)
-    one = keyed.join(again, ["doc_id", "_h"], "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("copies"))
-    return one.union(keyed.join(again, ["doc_id", "_h"], "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")))
+    one = keyed.join(again, key, "left_anti").select(*documents.columns, F.lit(1).cast("long").alias("copies"))
+    return one.union(keyed.join(again, key, "left_semi").groupBy(documents.columns).agg(F.count(F.lit(1)).alias("copies")))
 
 
 def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -395,14 +407,14 @@ def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document
     with a smaller doc_id. Judged on the input texts, as UTF-8 bytes, across
-    no document's end. A null text is empty; a null doc_id is smaller than all
-    others; rows of equal doc_id, repeated ones too, take nothing from each
-    other; an empty table gives no rows. Columns other than doc_id and text
+    no document's end. A null text is empty; a null doc_id counts as the least
+    number a doc_id can be; rows of equal doc_id, repeated ones too, take
+    nothing from each other; an empty table gives no rows. Columns other than doc_id and text
     are not looked at. The texts are shuffled once, by batch, and read by
     three steps; a batch is drawn by doc_id and text, and rows that repeat
     both are cut once and repeated after that, so no id or row fills one.
     """
-    documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    documents = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.isnull("doc_id").alias("nameless"))
     total = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     batches = max(1, math.ceil(total / min(MOST_BATCH, max(LEAST_BATCH, total // 128))))
     bits = max(5, math.ceil(math.log2(max(1, total * RUNS_PER_BYTE / BUCKET_RUNS))))
@@ -413,7 +425,7 @@ def cut_repeats(documents: DataFrame, crowd: int = CROWD) -> DataFrame:
     owners = shown.groupBy("bucket").applyInArrow(_owners(bits), MAIL_DDL)
     out = dealt.groupBy("batch").cogroup(owners.groupBy("batch")).applyInArrow(_cut(bits), CUT_DDL)
     out = out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return out.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_bytes", "spans", "kept")
+    return out.select("doc_id", "n_bytes", "spans", "kept")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scoreloom.llm import anchors, substrings, suffixes
@@ -102,3 +103,42 @@ def test_a_flood_of_repeated_rows_is_cut_once(spark):
     out = [(r.doc_id, bytes(r.kept).decode()) for r in substrings.cut_repeats(df).collect()]
     want = [(None, shared)] * 3000 + [(5, " and more")] * 40 + [(5, "other "), (6, ""), (7, "none of it")] + [(8, "")] * 3
     assert sorted(out, key=str) == sorted(want, key=str)
+
+
+def parcels(tables, column):
+    """Packed rows of all batches or buckets, put together by bucket or batch."""
+    out = {}
+    for t in tables:
+        for r in t.to_pylist():
+            out.setdefault(r[column], []).append((r["bucket"], r["batch"], r["packed"]))
+    return {k: substrings._mail(rows) for k, rows in out.items()}
+
+
+@pytest.mark.parametrize("crowd", [8192, 1])
+def test_each_step_may_read_a_batch_in_another_order(crowd, monkeypatch):
+    """As executors do; runs cut at the ends of pieces and crowded runs are found again."""
+    monkeypatch.setattr(anchors, "PIECE", 97)
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, bits = text(300), 5
+    docs = [(i, text(rng.randrange(90)) + passage[rng.randrange(100) : 150 + rng.randrange(150)] + text(rng.randrange(90))) for i in range(40)]
+
+    def batch(k):
+        rows = docs[k::2]
+        rng.shuffle(rows)
+        columns = [[r[0] for r in rows], [r[1] for r in rows], [False] * len(rows), [1] * len(rows), [k] * len(rows)]
+        return pa.table(columns, names=["doc_id", "text", "nameless", "copies", "batch"])
+
+    asked = parcels([substrings._ask(bits)(batch(k)) for k in range(2)], "bucket")
+    shared = parcels([substrings._shared(crowd)(t) for t in asked.values()], "batch")
+    shown = parcels([substrings._show(bits)(batch(k), shared[k]) for k in range(2)], "bucket")
+    owners = parcels([substrings._owners(bits)(t) for t in shown.values()], "batch")
+    out = [r for k in range(2) for r in substrings._cut(bits)(batch(k), owners[k]).to_pylist()]
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in out) == brute(docs)
+
+
+def test_the_least_and_largest_numbers_are_doc_ids(spark):
+    passage = "a passage of more than fifty bytes that all of these rows have in common"
+    ids = [-(2**63), -(2**63) + 1, 2**63 - 1, None]
+    out = substrings.cut_repeats(spark.createDataFrame([(i, passage) for i in ids * 2], "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, len(r.kept)) for r in out), key=str) == sorted([(-(2**63), 72), (-(2**63) + 1, 0), (2**63 - 1, 0), (None, 72)] * 2, key=str)
