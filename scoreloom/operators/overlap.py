@@ -1,9 +1,11 @@
-"""Pairwise sums over large groups of sets, as tiles of a sparse Gram product."""
+"""Pairwise sums over groups of sets: small cells from one Gram product each, large groups as tiles of it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterable, Iterator
 from decimal import Decimal
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,19 @@ def tile_sum(left: dict, right: dict | None) -> int:
     return total
 
 
+def renamed(by: tuple[str, ...]) -> list[Column]:
+    """Keys under names that ``matching`` compares with their own."""
+    return [F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)]
+
+
+def matching(by: tuple[str, ...]) -> Column:
+    """That keys equal the ``renamed`` ones; nulls are equal."""
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same &= F.col(f"`{b}`").eqNullSafe(F.col(f"_by{i}"))
+    return same
+
+
 def overlap_sums(sets: DataFrame, words: str, *by: str) -> DataFrame:
     """(by, total): the sum of the Jaccard overlaps of all pairs of sets within a group, in UNITs, as a whole number.
 
@@ -72,11 +87,8 @@ def overlap_sums(sets: DataFrame, words: str, *by: str) -> DataFrame:
     names = [f"`{b}`" for b in by]
     classes = sets.where(F.size(words) > 0).groupBy(*names, F.array_sort(words).alias("_words")).agg(F.count(F.lit(1)).alias("_copies"))
     large = classes.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK)
-    large = large.select(*[F.col(f"`{b}`").alias(f"_by{i}") for i, b in enumerate(by)], F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
-    same = F.lit(True)
-    for i, b in enumerate(by):
-        same &= F.col(f"`{b}`").eqNullSafe(F.col(f"_by{i}"))
-    dealt = classes.join(large, same, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    large = large.select(*renamed(by), F.ceil(F.col("_n") / BLOCK).alias("_blocks"))
+    dealt = classes.join(large, matching(by), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("_words"), F.col("_blocks")))
     blocks = dealt.groupBy(*names, "_blocks", "_block").agg(F.collect_list("_copies").alias("copies"), F.collect_list("_words").alias("words"))
     # the tile of blocks i <= j is made where both are sent; a group of one block is a tile already
@@ -109,3 +121,79 @@ def mean_overlap(total: Column, n: Column) -> Column:
     """The mean over all pairs of ``n`` sets of a sum in UNITs; 0 for fewer than two."""
     pairs = n * (n - 1) / 2
     return F.when(n < 2, 0.0).otherwise(F.coalesce(total.cast("double"), F.lit(0.0)) / float(UNIT) / pairs)
+
+
+def _mean(parts: np.ndarray, at: list[int]) -> float:
+    """``mean_overlap`` of the sets at some places."""
+    pairs = len(at) * (len(at) - 1) / 2
+    return float(int(np.triu(parts[np.ix_(at, at)], 1).sum())) / float(UNIT) / pairs if pairs else 0.0
+
+
+def cell_means(rows: Iterable[tuple]) -> tuple[float, float]:
+    """Agreement and similarity of a cell, from its (question, item, words as JSON) in order of question and item.
+
+    One Gram product has all that is asked: its blocks are the pairs within a
+    question, sums of a block's rows say how many words a text shares with its
+    question's texts, and the typical texts' rows and columns are their pairs.
+    """
+    known: dict[str, int] = {}
+    texts: dict[object, int] = {}
+    places: dict[object, dict[object, list[int]]] = {}
+    ids: list[np.ndarray] = []
+    for question, item, words in rows:
+        texts[question] = texts.get(question, 0) + 1
+        if found := json.loads(words or "[]"):
+            places.setdefault(question, {}).setdefault(item, []).append(len(ids))
+            ids.append(np.array([known.setdefault(w, len(known)) for w in found], np.int32))
+    if not ids:
+        return 0.0, 0.0
+    sizes = np.array([len(x) for x in ids], np.int64)
+    packed = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(ids), sizes, np.ones_like(sizes)
+    shared = _shared(packed, packed)
+    parts = np.rint(shared / (sizes[:, None] + sizes[None, :] - shared) * UNIT).astype(np.int64)
+    agreements, typical = [], []
+    for question, n in texts.items():
+        items = places.get(question, {})
+        at = [i for of in items.values() for i in of]
+        if n > 1:
+            agreements.append(_mean(parts, at))
+        if at:
+            score = dict(zip(at, shared[np.ix_(at, at)].sum(1).tolist()))
+            # the first of the best is the smallest item
+            typical.append(max(items.values(), key=lambda of: sum(score[i] for i in of))[0])
+    return sum(agreements) / len(agreements) if agreements else 0.0, _mean(parts, typical)
+
+
+def small_cells(sets: DataFrame, item: str, words: str, question: str, *by: str) -> DataFrame:
+    """(by, agreement, similarity) of cells that a task can hold one of, from one shuffle of their sets.
+
+    A set is sent as one string of JSON, some half of what its array would take.
+    """
+    k = len(by)
+    names = [f"`{b}`" for b in by]
+    rows = sets.select(*names, F.col(question).alias("_question"), F.col(item).alias("_item"), F.to_json(words).alias("_words"))
+    rows = rows.repartition(*names).sortWithinPartitions(*names, "_question", F.col("_item").asc_nulls_last(), "_words")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: list[pa.DataType] = []
+
+        def found() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = batch.schema.types[:k]
+                for lo in range(0, batch.num_rows, 64):
+                    yield from zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns))
+
+        def packed(cells: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*cells), [*kinds, pa.float64(), pa.float64()])], names=[*by, "agreement", "similarity"])
+
+        cells: list[tuple] = []
+        for key, group in groupby(found(), lambda row: row[:k]):
+            cells.append((*key, *cell_means(row[k:] for row in group)))
+            if len(cells) == 4096:
+                yield packed(cells)
+                cells = []
+        if cells:
+            yield packed(cells)
+
+    types = dict(sets.dtypes)
+    return rows.mapInArrow(run, ", ".join([*[f"`{b}` {types[b]}" for b in by], "agreement double, similarity double"]))

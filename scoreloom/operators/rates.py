@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.functions.text import answered
-from scoreloom.operators.overlap import mean_overlap, overlap_sums
-from scoreloom.scratch import bounded
+from scoreloom.operators import overlap
+from scoreloom.operators.overlap import matching, mean_overlap, overlap_sums, renamed, small_cells
+from scoreloom.scratch import bounded, staged
 
 
 def rate(hit: Column) -> Column:
@@ -57,6 +58,31 @@ def between(sets: DataFrame, item: str, words: str, question: str, *by: str) ->
     return jaccard_sums(reps, "words", *by).select(*by, F.col("agreement").alias("similarity"))
 
 
+def cell_overlaps(sets: DataFrame, item: str, words: str, question: str, *by: str, measures: tuple[str, ...] = ("agreement", "similarity")) -> DataFrame:
+    """(by, measures): ``consistency`` and ``between`` of the same cells; groups with a null key overlap with nothing.
+
+    Cells are counted first, without their words. Those of at most BLOCK texts
+    need one shuffle of their sets and no table of words; larger ones are left
+    to the operators for groups of any size.
+    """
+    known = F.lit(True)
+    for c in (*by, question):
+        known &= F.col(f"`{c}`").isNotNull()
+    sets = sets.select(*[f"`{b}`" for b in by], question, item, F.when(known, F.col(words)).alias(words))
+    large = sets.groupBy(*[f"`{b}`" for b in by]).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > overlap.BLOCK).select(*renamed(by))
+    large = staged(large, "large-cells")
+    if large.isEmpty():
+        return small_cells(sets, item, words, question, *by).select(*by, *measures)
+    large = bounded(large)
+    small = small_cells(sets.join(large, matching(by), "left_anti"), item, words, question, *by)
+    rest = staged(sets.join(large, matching(by), "left_semi"), "large-cell-sets")
+    of = {"agreement": lambda: consistency(rest, words, question, *by), "similarity": lambda: between(rest, item, words, question, *by)}
+    out = rest.select(*by).distinct()
+    for m in measures:
+        out = out.join(of[m]().select(*renamed(by), m), matching(by)).select(*out.columns, m)
+    return small.select(*by, *measures).unionByName(out)
+
+
 def capability(rows: DataFrame, battery: DataFrame, index: str = "index", text: str = "completion") -> DataFrame:
     """Rows of the battery's items with the item's category and ``correct``; rows of other indexes are left out.
 

@@ -83,9 +83,14 @@ def a05(spark, sf):
 CELL = ["run", "dose", "seed"]
 
 
+def content_sets(spark, sf):
+    """The content words of every completion."""
+    return completions(spark, sf).select(*CELL, "probe", "doc_id", X.content_words(F.col("completion")).alias("words"))
+
+
 def content(spark, sf):
-    """The content words of every completion; several sums read them, so they are taken from the texts once and written."""
-    return staged(completions(spark, sf).select(*CELL, "probe", "doc_id", X.content_words(F.col("completion")).alias("words")), "content-words")
+    """``content_sets``; several sums read them, so they are taken from the texts once and written."""
+    return staged(content_sets(spark, sf), "content-words")
 
 
 SETS = f"""{COMPLETIONS}, sets AS (SELECT run, dose, seed, probe, doc_id, {CONTENT} AS words FROM completions)"""
@@ -114,8 +119,7 @@ def a07(spark, sf):
 @query("a08_differentiation", f"WITH {SETS}, {WITHIN}, {BETWEEN} SELECT run, dose, seed, round(agreement - similarity, 6) AS differentiation FROM within_ JOIN between_ USING (run, dose, seed)")
 def a08(spark, sf):
     """Agreement within questions less similarity between them."""
-    sets = content(spark, sf)
-    both = R.consistency(sets, "words", "probe", *CELL).join(R.between(sets, "doc_id", "words", "probe", *CELL), CELL)
+    both = R.cell_overlaps(content_sets(spark, sf), "doc_id", "words", "probe", *CELL).dropna(subset=CELL)
     return both.select(*CELL, F.round(F.col("agreement") - F.col("similarity"), 6).alias("differentiation"))
 
 
