@@ -113,7 +113,8 @@ def a06(spark, sf):
 @query("a07_between", f"WITH {SETS}, {BETWEEN} SELECT run, dose, seed, round(similarity, 6) AS similarity FROM between_")
 def a07(spark, sf):
     """Per cell, the overlap between the typical answers to different questions."""
-    return R.between(content(spark, sf), "doc_id", "words", "probe", *CELL).select(*CELL, F.round("similarity", 6).alias("similarity"))
+    only = R.cell_overlaps(content_sets(spark, sf), "doc_id", "words", "probe", *CELL, measures=("similarity",))
+    return only.select(*CELL, F.round("similarity", 6).alias("similarity"))
 
 
 @query("a08_differentiation", f"WITH {SETS}, {WITHIN}, {BETWEEN} SELECT run, dose, seed, round(agreement - similarity, 6) AS differentiation FROM within_ JOIN between_ USING (run, dose, seed)")

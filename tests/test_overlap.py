@@ -102,7 +102,7 @@ def documents(spark, tmp_path_factory):
     return str(path), sum(p.stat().st_size for p in path.rglob("*.parquet"))
 
 
-@pytest.mark.parametrize("name", ["a08_differentiation"])
+@pytest.mark.parametrize("name", ["a07_between", "a08_differentiation"])
 def test_words_are_moved_once(spark, documents, name):
     """What is shuffled and written beside the output stays below twice the input."""
     from scoreloom import scratch
